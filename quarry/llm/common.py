@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.ship import ship
+
 #: Rows handed to Python at once; texts are long, so a batch stays a few MB.
 ARROW_ROWS = 256
 
@@ -60,9 +62,15 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """What Python stages need: the package on the executors, and batches of ``rows`` rows at most."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
     """``mapInArrow`` with batches of at most ``rows`` rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    prepare(df.sparkSession, rows)
     return df.mapInArrow(fn, schema)
 
 
