@@ -1,15 +1,22 @@
-"""Sub-word encoding with a cache of chunks, shared by the token writers and the packer."""
+"""Sub-word encoding through the parts of a ``tokenizers`` file, with caches.
+
+Most of the time of the whole pipeline of a tokenizer goes into bookkeeping that ids do not
+need.  So a text is cut into chunks, a chunk into the pieces of the file's pre-tokenizer,
+and a piece is encoded by the file's model; ids of chunks and of pieces are cached.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
-import numpy as np
+import regex
 
-#: Chunks whose ids are kept by a worker; about 60 MB.
-CACHE_CHUNKS = 300_000
+#: Chunks and pieces whose ids a worker keeps in each of two generations; about 200 MB in all.
+CACHE = 500_000
 #: Characters that are split into chunks at once, so a very long text needs no more memory than this.
 SEGMENT_CHARS = 1_000_000
 
@@ -19,40 +26,95 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 # supported pre-tokenizers cut between such chunks whatever stands around them, so the
 # ids of a text are the ids of its chunks in order.
 _CHUNKS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# Python's white space that is none to the pre-tokenizers.
+_SEPARATORS = re.compile("[\\x1c-\\x1f]")
 _CUT = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+# The pre-tokenizers' patterns, fixed by the files.
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+_PIECES = {
+    "bytes": regex.compile(_CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"\s", _SPACE, 1).replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")),
+    # White space never gets here in this one.
+    "words": regex.compile(_CONTRACTIONS + rf"|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"),
+}
+# The byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = str.maketrans({b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)})
+
+#: The last Latin letter that is handled here.
+_LATIN = "\u024f"
 
 _encoders: dict[int, "Encoder"] = {}
 
 
+class Cache(dict):
+    """Values by key, made when asked for.  A full cache becomes the old generation of the next."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self._size, self._make, self._old = CACHE, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._old.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(self) >= self._size:
+            self._old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+    """Ids of texts as little-endian unsigned 32-bit integers, without special tokens.
 
-    ``tokenizer_json`` is the content of a ``tokenizers`` file whose pre-tokenizer cuts
-    at white space.  Strings of special tokens in a text are ordinary text.
+    ``tokenizer_json`` is the content of a ``tokenizers`` file with a BPE model and a
+    byte-level pre-tokenizer that cuts at white space.  Strings of special tokens in a text
+    are ordinary text.
     """
 
     def __init__(self, tokenizer_json: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tok = Tokenizer.from_str(tokenizer_json.decode("utf-8"))
-        self._tok.encode_special_tokens = True
-        self._tok.no_padding()
-        self._tok.no_truncation()
-        self._cache: dict[str, bytes] = {}
-
-    def _join(self, lists: list[list[str]]) -> list[bytes]:
-        need = set().union(*lists)
-        missing = need.difference(self._cache)
-        if len(self._cache) + len(missing) > CACHE_CHUNKS:
-            self._cache.clear()
-            missing = need
-        new = list(missing)
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for chunk, e in zip(part, self._tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._cache[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self._cache.__getitem__, x)) for x in lists]
+        tok = Tokenizer.from_str(tokenizer_json.decode("utf-8"))
+        spec = json.loads(tokenizer_json)
+        self._model, self._normalizer, self._pre = tok.model, tok.normalizer, tok.pre_tokenizer
+        self._split = _PIECES["words" if spec["normalizer"] else "bytes"].findall
+        self._cache = Cache(self._encode_words if spec["normalizer"] else self._encode_bytes)
+        self._chunks = self._cut_words if spec["normalizer"] else _CHUNKS.findall
+
+    def _encode_mapped(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
+
+    def _encode_piece(self, piece: str) -> bytes:
+        return self._encode_mapped(piece.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS))
+
+    def _encode_other(self, chunk: str) -> bytes:
+        # Beyond Latin letters versions of Unicode differ; there the file's own parts split.
+        folded = self._normalizer.normalize_str(chunk) if self._normalizer else chunk
+        return b"".join(self._encode_mapped(p) for p, _ in self._pre.pre_tokenize_str(folded))
+
+    # A piece is a chunk that is split no further, so one cache serves both.
+
+    def _encode_bytes(self, chunk: str) -> bytes:
+        if max(chunk) > _LATIN:
+            return self._encode_other(chunk)
+        if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return self._encode_piece(chunk)
+        pieces = self._split(chunk)
+        return self._encode_piece(chunk) if len(pieces) == 1 else b"".join(map(self._cache.__getitem__, pieces))
+
+    def _cut_words(self, text: str) -> list[str]:
+        if text.isascii():
+            text = text.lower()
+        return (_CHUNKS.findall(text) if _SEPARATORS.search(text) else text.split()) if text else []
+
+    def _encode_words(self, chunk: str) -> bytes:
+        if max(chunk) > _LATIN:
+            return self._encode_other(chunk)
+        folded = chunk.lower() if chunk.isascii() else self._normalizer.normalize_str(chunk)
+        if folded != chunk or chunk.isalpha():
+            return self._encode_piece(folded) if folded.isalpha() else b"".join(self._encode_piece(p) for p in self._split(folded))
+        return b"".join(self._encode_piece(p) if p == chunk else self._cache[p] for p in self._split(chunk))
 
     def _segments(self, text: str) -> Iterator[str]:
         at = 0
@@ -65,19 +127,8 @@ class Encoder:
         yield text[at:] if at else text
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, lists, size = [], [], 0
-        for text in texts:
-            if len(text) > SEGMENT_CHARS:
-                out += self._join(lists)
-                lists, size = [], 0
-                out.append(b"".join(self._join([_CHUNKS.findall(x)])[0] for x in self._segments(text)))
-                continue
-            lists.append(_CHUNKS.findall(text))
-            size += len(text)
-            if size > SEGMENT_CHARS:
-                out += self._join(lists)
-                lists, size = [], 0
-        return out + self._join(lists)
+        ids, chunks = self._cache.__getitem__, self._chunks
+        return [b"".join(map(ids, chunks(t))) if len(t) <= SEGMENT_CHARS else b"".join(b"".join(map(ids, chunks(x))) for x in self._segments(t)) for t in texts]
 
 
 def encoder(tokenizer_json: bytes) -> Encoder:
