@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.binary_output import op8_token_files
 from quarry.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from quarry.llm.html_extract import op3_html_text
+from quarry.llm.near_dedup import op7_near_duplicates
 from quarry.llm.packing import op9_best_fit_packing
 from quarry.llm.toxicity import op4_toxicity
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_token_files": op8_token_files,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
