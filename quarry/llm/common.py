@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.ship import ship
@@ -83,3 +83,29 @@ def read_file(path: str) -> bytes:
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns under fixed names, null text as empty; other columns cannot clash."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+
+def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The 64-bit hash of identifier and text by which operators refer to rows."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
+def select_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each different ``row`` of ``keep`` that some row of ``docs`` has."""
+    counted = materialize(keep.groupBy("row").agg(F.count("*").alias("_copies")), "keep")
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    met = docs.withColumn(name, row_hash()).join(counted.withColumnRenamed("row", name), name)
+    if not counted.where(F.col("_copies") > 1).isEmpty():
+        met = met.where(F.col("_copies") == 1).unionByName(met.where(F.col("_copies") > 1).dropDuplicates([name]))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose hash is no ``row`` of ``gone``."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, row_hash()).join(materialize(gone.select(F.col("row").alias(name)).distinct(), "gone"), name, "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -97,8 +97,9 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row.
 
+    ``row`` is the 64-bit hash of identifier and text as they came.
     Texts are equal when identical after lower-casing A-Z.  A null text is empty and equals
     other empty texts.  Of rows that share both id and text each is returned, and each
     whose id is the kept one counts as kept.  A row without an id is kept only when no row
@@ -106,10 +107,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     text = normalized(F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("norm")).select("id", "norm", F.unhex(F.sha2("norm", 256)).alias("digest"))
-    ids = materialize(rows.select("id", "digest"), "digests")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("norm"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("row")).select("id", "row", "norm", F.unhex(F.sha2("norm", 256)).alias("digest"))
+    ids = materialize(rows.select("id", "row", "digest"), "digests")
     index = DigestIndex(spark, new_path(spark, "digest-index"), keep)
-    index.flush(ids)
+    index.flush(ids.select("id", "digest"))
     entries = index.compact()
 
     # Byte verification of the hits.  Rows that cannot be hits go on the map side, by digest
@@ -123,12 +124,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified = materialize(by_bytes.select("digest", "best", "size", F.count("*").over(_per_digest()).alias("texts"), F.when(F.count("*").over(_per_digest()) > 1, F.col("norm")).alias("norm")), "verified")
     settled = verified.where((F.col("texts") == 1) & (F.col("size") > 1)).select("digest", "best", "size")
     out = ids.join(settled.unionByName(entries.where(F.col("size") == 1)), "digest")
-    out = out.select("id", "best", "size", "digest")
+    out = out.select("id", "row", "best", "size", "digest")
     # Two texts under one digest: never seen, but then the bytes decide.
     if not verified.where(F.col("texts") > 1).isEmpty():
         split = verified.where(F.col("texts") > 1).select("digest", "norm", "best", "size")
-        out = out.unionByName(rows.join(split, ["digest", "norm"]).select("id", "best", "size", "digest"))
-    return out.select(F.col("id").alias("doc_id"), F.col("best").alias("keep_id"), F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("best")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        out = out.unionByName(rows.join(split, ["digest", "norm"]).select("id", "row", "best", "size", "digest"))
+    return out.select(F.col("id").alias("doc_id"), F.col("best").alias("keep_id"), F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("best")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
 
 
 def _per_digest() -> WindowSpec:
@@ -136,7 +137,7 @@ def _per_digest() -> WindowSpec:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
 
 
 OP6_SQL = """

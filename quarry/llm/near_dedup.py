@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with a weighted Jaccard similarity of at least ``similarity``, and chains of
     them, form a class; its id is its least doc_id, and that row is kept.  ``row`` is the
     64-bit hash of identifier and text.  Texts without a word are alone in their class, as
-    nulls are; rows that share identifier and text are all kept or all not; where only
-    rows without an identifier form a class its id is null and they are kept.
+    nulls are; rows that share identifier and text are all kept or all not; a class of
+    which no row has an identifier has none.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("id", "text"))
@@ -195,11 +195,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(members)
 
     own = materialize(signed.select("id", "row", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("id", "row", F.coalesce("component", "key").alias("class")), "classed")
-    groups = materialize(own.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    groups = materialize(own.where(F.col("class").isNotNull()).groupBy("class").agg(first, F.count("*").alias("class_size")), "classes")
     # Texts without words take no part in the join, so they don't meet under one null key.
-    out = own.where(F.col("class").isNotNull()).join(groups, "class").select("id", "class_id", "class_size", "row")
-    out = out.unionByName(own.where(F.col("class").isNull()).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "row"))
-    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "row")
+    out = own.where(F.col("class").isNotNull()).join(groups, "class").select("id", F.col("first.id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept"), "row")
+    out = out.unionByName(own.where(F.col("class").isNull()).select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), "row"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept", "row")
 
 
 def _members(nodes: DataFrame) -> DataFrame:

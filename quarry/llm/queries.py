@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.binary_output import op8_token_files
+from quarry.llm.decontaminate import op2_decontamination
 from quarry.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from quarry.llm.html_extract import op3_html_text
 from quarry.llm.near_dedup import op7_near_duplicates
@@ -14,6 +15,7 @@ from quarry.llm.packing import op9_best_fit_packing
 from quarry.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
