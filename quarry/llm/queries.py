@@ -10,18 +10,24 @@ from quarry.llm.binary_output import op8_token_files
 from quarry.llm.decontaminate import op2_decontamination
 from quarry.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from quarry.llm.html_extract import op3_html_text
+from quarry.llm.license_scan import op5_license_scan
 from quarry.llm.near_dedup import op7_near_duplicates
 from quarry.llm.packing import op9_best_fit_packing
+from quarry.llm.quality import op10_quality
+from quarry.llm.token_counts import op1_token_counts
 from quarry.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op3_html_text": op3_html_text,
     "op4_toxicity": op4_toxicity,
+    "op5_license_scan": op5_license_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_files": op8_token_files,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL}
