@@ -15,6 +15,8 @@ this loses no band match.  Everything is DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,23 +46,28 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "[^a-z0-9\\u0080-\\uffff]+"), lambda w: w != "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` and its lambdas use it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def _starts(words: Column) -> Column:
     """0-based starts of the shingles; none for fewer words than a shingle has."""
     return F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(0), F.size(words) - SHINGLE)).otherwise(F.array().cast("array<int>"))
 
 
 def _hashes(words: Column) -> Column:
-    return F.transform(_starts(words), lambda i: F.xxhash64(F.slice(words, i + 1, SHINGLE)))
+    return _let(words, lambda w: F.transform(_starts(w), lambda i: F.xxhash64(F.slice(w, i + 1, SHINGLE))))
 
 
 def _shingles(words: Column) -> Column:
-    return F.array_distinct(F.transform(_starts(words), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " ")))
+    return _let(words, lambda w: F.array_distinct(F.transform(_starts(w), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))))
 
 
 def _signature(hashes: Column) -> Column:
     """Minima under 48 orders of the hashes, each made by flipping the bits of its seed."""
     seeds = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b))
-    return F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(s))).bitwiseXOR(s))
+    return _let(hashes, lambda own: F.transform(seeds, lambda s: F.array_min(F.transform(own, lambda h: h.bitwiseXOR(s))).bitwiseXOR(s)))
 
 
 def _windows(place: Column, length: int) -> Column:
