@@ -1,4 +1,4 @@
-"""All queries of the library by name, with the SQL that checks them."""
+"""Registry of queries by name, with the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 FLAGSHIP = "r4_keyword_search"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function of (spark, sf_dir); ``sql`` is the same query for DuckDB."""
+
+    def put(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
