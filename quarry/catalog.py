@@ -1,7 +1,7 @@
 """Imports every module that registers queries."""
 
-from quarry.operators import aggregates, retrieval, windows
+from quarry.operators import aggregates, relations, retrieval, windows
 from quarry.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 
-MODULES = [retrieval, aggregates, windows]
+MODULES = [retrieval, aggregates, windows, relations]
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
