@@ -1,7 +1,8 @@
 """Imports every module that registers queries."""
 
 from quarry.operators import aggregates, relations, retrieval, windows
+from quarry.plans import graph, spectral
 from quarry.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 
-MODULES = [retrieval, aggregates, windows, relations]
+MODULES = [retrieval, aggregates, windows, relations, graph, spectral]
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
