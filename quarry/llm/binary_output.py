@@ -38,7 +38,7 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 HAS_CHECKSUM = 0x80
 
 #: Documents whose frames are flushed together, and the level of compression.
-LEVEL = 3
+LEVEL = 1
 #: Compressed bytes after which a task starts another file, so a reader's file stays small.
 FILE_BYTES = 32 << 20
 #: Frames of a file at most (its seek table is read whole).
@@ -186,10 +186,11 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer_path: str, end_id: in
     return spark.read.schema(manifest.schema).parquet(path)
 
 
-def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
+def read_token_files(spark: SparkSession, uri: str, with_ids: bool = True) -> DataFrame:
     """Every document of the files that the manifest names, in file order.
 
-    Columns: doc_id, start (ids of all documents before it), n_tokens, ids (array).
+    Columns: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and the
+    ids as an array if ``with_ids``.
     Checksums are verified; a damaged file raises.
     """
     manifest = spark.read.schema("file string, part int, seq int, frames long, tokens long").parquet(f"{uri}/_manifest")
@@ -215,12 +216,14 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
                         before += len(ids) // 4
                         size += len(ids)
                         k += 1
-                    flat = pa.array(np.frombuffer(b"".join(x[3] for x in rows), "<u4").astype(np.int32))
-                    offsets = pa.array(np.concatenate([[0], np.cumsum([x[2] for x in rows])]).astype(np.int32))
-                    crc = [zlib.crc32(x[3]) for x in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array([None if x[0] == NO_ID else x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    cols = [pa.array([None if x[0] == NO_ID else x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([zlib.crc32(x[3]) for x in rows], pa.int64())]
+                    if with_ids:
+                        flat = pa.array(np.frombuffer(b"".join(x[3] for x in rows), "<u4").astype(np.int32))
+                        cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([x[2] for x in rows])]).astype(np.int32)), flat))
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return arrow_map(files, task, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>", rows=1)
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    return arrow_map(files, task, schema, rows=1)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
@@ -230,4 +233,4 @@ def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None
     uri = new_path(spark, "token-files")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     write_token_files(docs, uri, tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return read_token_files(spark, uri).drop("ids")
+    return read_token_files(spark, uri, with_ids=False)
