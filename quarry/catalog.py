@@ -1,8 +1,9 @@
 """Imports every module that registers queries."""
 
-from quarry.operators import aggregates, relations, retrieval, windows
+from quarry.functions import code
+from quarry.operators import aggregates, logs, relations, retrieval, windows
 from quarry.plans import graph, spectral
 from quarry.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 
-MODULES = [retrieval, aggregates, windows, relations, graph, spectral]
+MODULES = [retrieval, aggregates, windows, relations, graph, spectral, logs, code]
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
