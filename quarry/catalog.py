@@ -2,10 +2,10 @@
 
 from quarry.functions import code
 from quarry.operators import aggregates, logs, relations, retrieval, windows
-from quarry.plans import graph, spectral
+from quarry.plans import composites, graph, spectral
 from quarry.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 from quarry.sources import files
 from quarry.streaming import events
 
-MODULES = [retrieval, aggregates, windows, relations, graph, spectral, logs, code, events, files]
+MODULES = [retrieval, aggregates, windows, relations, graph, spectral, logs, code, events, files, composites]
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
