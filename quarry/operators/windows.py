@@ -159,9 +159,9 @@ FOLD = {"error": 3.0, "signup": 10.0, "view": 1.0}
 
 def fragility(rows: DataFrame, key: str, order: str, kind: str) -> DataFrame:
     """Ordered fold per key: +10 trip, +3 error, +1 heal, halved by success; the steps do not commute."""
-    ordered = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, kind))), lambda x: x[kind]).alias("k"))
+    ordered = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, kind))), lambda x: x[kind]).alias("_kinds"))
     step = lambda s, k: F.when(k == "purchase", s * 0.5).when(k == "signup", s + 10.0).when(k == "error", s + 3.0).when(k == "view", s + 1.0).otherwise(s)
-    return ordered.select(key, F.round(F.aggregate("k", F.lit(0.0), step), 6).alias("score"))
+    return ordered.select(key, F.round(F.aggregate("_kinds", F.lit(0.0), step), 6).alias("score"))
 
 
 @query("x10_fragility", f"""WITH RECURSIVE {CALLS_SQL}, f AS (SELECT user_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS DOUBLE) AS score FROM (SELECT DISTINCT user_id FROM events)
