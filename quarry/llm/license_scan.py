@@ -94,6 +94,8 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     known = prepare_templates(templates.select("license_id", "text")).limit(MAX_TEMPLATES + 1).collect()
     if len(known) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates; scan them in parts")
+    if not known:
+        return spark.createDataFrame([], "doc_id long, license_id string, containment double, start_word int, row long")
     minima = sorted({x for r in known for x in r["signature"]})
     lengths = sorted({r["length"] for r in known})
     table = spark.createDataFrame([(r["license_id"], r["shingles"], r["n"], r["length"], b, x) for r in known for b, x in enumerate(r["signature"])], "license_id string, shingles array<string>, n int, length int, band int, least long")
