@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_map, materialize, read_file, texts_of
 from quarry.llm.tokens import encoder
 
+#: Cached chunks of a worker; less than the token writer's, as packing runs beside other stages.
+CACHE = 200_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
@@ -104,7 +107,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: in
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, me = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, me = encoder(tokenizer, CACHE), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]

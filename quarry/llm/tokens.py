@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import regex
 
-#: Chunks and pieces whose ids a worker keeps in each of two generations; about 200 MB in all.
+#: Chunks and pieces whose ids a worker keeps in each of two generations, unless told otherwise; about 200 MB in all.
 CACHE = 500_000
 #: Characters that are split into chunks at once, so a very long text needs no more memory than this.
 SEGMENT_CHARS = 1_000_000
@@ -49,8 +49,8 @@ _encoders: dict[int, "Encoder"] = {}
 class Cache(dict):
     """Values by key, made when asked for.  A full cache becomes the old generation of the next."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self._size, self._make, self._old = CACHE, make, {}
+    def __init__(self, size: int, make: Callable[[str], bytes]):
+        self._size, self._make, self._old = size, make, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self._old.get(key)
@@ -71,7 +71,7 @@ class Encoder:
     are ordinary text.
     """
 
-    def __init__(self, tokenizer_json: bytes):
+    def __init__(self, tokenizer_json: bytes, cache: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,7 +79,7 @@ class Encoder:
         spec = json.loads(tokenizer_json)
         self._model, self._normalizer, self._pre = tok.model, tok.normalizer, tok.pre_tokenizer
         self._split = _PIECES["words" if spec["normalizer"] else "bytes"].findall
-        self._cache = Cache(self._encode_words if spec["normalizer"] else self._encode_bytes)
+        self._cache = Cache(cache or CACHE, self._encode_words if spec["normalizer"] else self._encode_bytes)
         self._chunks = self._cut_words if spec["normalizer"] else _CHUNKS.findall
 
     def _encode_mapped(self, piece: str) -> bytes:
@@ -131,9 +131,10 @@ class Encoder:
         return [b"".join(map(ids, chunks(t))) if len(t) <= SEGMENT_CHARS else b"".join(b"".join(map(ids, chunks(x))) for x in self._segments(t)) for t in texts]
 
 
-def encoder(tokenizer_json: bytes) -> Encoder:
+def encoder(tokenizer_json: bytes, cache: int | None = None) -> Encoder:
     """One encoder per worker and file, kept over batches and tasks."""
     key = hash(tokenizer_json)
     if key not in _encoders:
-        _encoders[key] = Encoder(tokenizer_json)
+        _encoders.clear()
+        _encoders[key] = Encoder(tokenizer_json, cache)
     return _encoders[key]
