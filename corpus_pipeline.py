@@ -7,16 +7,20 @@ pipeline is tested against a brute-force version.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop_rows, materialize, select_rows
+from quarry.llm.common import discard, drop_rows, keep_rows, materialize, scratch
 from quarry.llm.decontaminate import contamination
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.near_dedup import near_duplicates
 from quarry.llm.packing import pack_documents
 from quarry.llm.toxicity import keep_clean
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
@@ -25,15 +29,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, that with the largest doc_id."""
-    kept = exact_dedup(docs).where("kept")
-    copies = F.count("*").alias("n")
-    kept = kept.groupBy("text_sha256", "row").agg(copies).groupBy("text_sha256").agg(F.min(F.struct("row", "n")).alias("first"))
-    return select_rows(docs, kept.select(F.explode(F.array_repeat("first.row", F.least("first.n", F.lit(2)).cast("int"))).alias("row")))
+    found = exact_dedup(docs).select("text_sha256", "row", "kept")
+    # Rows that share the kept identifier but differ in letter case: one of them stays.
+    several = found.where("kept").groupBy("text_sha256").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last")
+    also = found.where("kept").join(several, "text_sha256").where("row <> first").select("row", F.lit(False).alias("kept"))
+    decided = found.select("row", "kept").join(also.select("row"), "row", "left_anti").unionByName(also)
+    return keep_rows(docs, decided)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays."""
-    return select_rows(docs, near_duplicates(docs).where("kept").select("row"))
+    return keep_rows(docs, near_duplicates(docs).select("row", "kept"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,19 +54,31 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [
-    ("toxicity", toxicity),
-    ("exact_duplicates", exact_duplicates),
-    ("near_duplicates", near_duplicate_groups),
-    ("benchmark_leaks", benchmark_leaks),
-    ("packing", packing),
+def _stage(f: Stage) -> Stage:
+    """A stage's tables go when the next stage begins: by then what it returned is stored."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with scratch(spark, "pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _stage(toxicity)),
+    ("exact_duplicates", _stage(exact_duplicates)),
+    ("near_duplicates", _stage(near_duplicate_groups)),
+    ("benchmark_leaks", _stage(benchmark_leaks)),
+    ("packing", _stage(packing)),
 ]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return docs

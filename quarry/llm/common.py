@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -39,8 +41,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dir}"
 
 
+_scope = ""
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quarry/{_scope}{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables made inside lie in a folder of that name, which is emptied first.
+
+    For steps whose result is stored before the next step of that name begins: the tables
+    that it was read from are then of no more use.
+    """
+    global _scope
+    was, _scope = _scope, f"{name}-{spark.sparkContext.applicationId}/"
+    try:
+        delete(spark, f"{shared_dir(spark)}/quarry/{_scope}")
+        yield
+    finally:
+        _scope = was
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -55,13 +76,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``materialize`` that nothing lazy reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._quarry_path)
+def delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing lazy reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._quarry_path)
+
+
 def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """What Python stages need: the package on the executors, and batches of ``rows`` rows at most."""
     ship(spark)
@@ -71,7 +96,25 @@ def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ARROW_ROWS) -> DataFrame:
     """``mapInArrow`` with batches of at most ``rows`` rows."""
     prepare(df.sparkSession, rows)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(tidy(fn), schema)
+
+
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn``, after which a worker hands freed memory back, so that reused workers stay small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def read_file(path: str) -> bytes:
@@ -90,22 +133,38 @@ def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
-def select_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each different ``row`` of ``keep`` that some row of ``docs`` has."""
-    counted = materialize(keep.groupBy("row").agg(F.count("*").alias("_copies")), "keep")
+#: Prefixes of row hashes that may be broadcast: a proven bound of 2^20 numbers.
+PREFIXES = 1 << 20
+
+
+def _split(docs: DataFrame, rows: DataFrame) -> tuple[str, DataFrame, DataFrame]:
+    """Name of a row-hash column, the rows of ``docs`` that cannot be among ``rows``, and the others.
+
+    Told apart on the map side, so that only rows that may be among ``rows`` are shuffled later.
+    """
     name = "_row"
-    while name in docs.columns:
+    while name in docs.columns or name + "_p" in docs.columns:
         name += "_"
-    met = docs.withColumn(name, row_hash()).join(counted.withColumnRenamed("row", name), name)
-    if not counted.where(F.col("_copies") > 1).isEmpty():
-        met = met.where(F.col("_copies") == 1).unionByName(met.where(F.col("_copies") > 1).dropDuplicates([name]))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = F.pmod(F.col(name), F.lit(PREFIXES))
+    known = rows.select(F.pmod("row", F.lit(PREFIXES)).alias(name + "_p")).distinct()
+    marked = docs.withColumn(name, row_hash()).withColumn(name + "_p", prefix)
+    return name, marked.join(F.broadcast(known), name + "_p", "left_anti"), marked.join(F.broadcast(known), name + "_p", "left_semi")
 
 
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose hash is no ``row`` of ``gone``."""
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
-    out = docs.withColumn(name, row_hash()).join(materialize(gone.select(F.col("row").alias(name)).distinct(), "gone"), name, "left_anti")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = materialize(gone.select("row").distinct(), "gone")
+    name, clear, maybe = _split(docs, gone)
+    maybe = maybe.join(gone.withColumnRenamed("row", name), name, "left_anti")
+    return clear.unionByName(maybe.select(clear.columns)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``decided`` (row, kept) keeps; of rows with one hash only one."""
+    repeated = materialize(decided.where("kept").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "repeated")
+    if repeated.isEmpty():
+        return drop_rows(docs, decided.where(~F.col("kept")))
+    name, _, maybe = _split(docs, repeated)
+    once = maybe.join(repeated.withColumnRenamed("row", name), name, "left_semi").dropDuplicates([name])
+    rest = drop_rows(docs, decided.where(~F.col("kept")).select("row").unionByName(repeated))
+    return rest.unionByName(once.select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from quarry.llm.common import materialize, new_path
+from quarry.llm.common import delete, materialize, new_path
 
 #: Digest prefixes that filter rows before the byte verification: 2^20 at most, so the
 #: broadcast of those that occur in hits is bounded whatever the input.
@@ -53,12 +53,15 @@ class DigestIndex:
         self.spark, self.path, self.keep = spark, path, keep
         self.shards = shards or min(MAX_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self._level0: list[str] = []
+        self._written = 0
         self._base: str | None = None
 
     def _best(self, col: str) -> Column:
         return (F.max if self.keep == "max" else F.min)(col)
 
-    def _write(self, runs: DataFrame, path: str) -> str:
+    def _write(self, runs: DataFrame, level: int) -> str:
+        path = f"{self.path}/level{level}-{self._written}"
+        self._written += 1
         writer = runs.repartition(self.shards, "shard").sortWithinPartitions("shard", "digest").write
         writer.option("parquet.bloom.filter.enabled#digest", "true").partitionBy("shard").parquet(path)
         return path
@@ -70,7 +73,7 @@ class DigestIndex:
     def flush(self, rows: DataFrame) -> None:
         """Take in ``rows`` (digest, id) as one more set of sorted runs."""
         memtable = rows.groupBy("digest").agg(self._best("id").alias("best"), F.count("*").alias("size"))
-        self._level0.append(self._write(memtable.withColumn("shard", self._shard()), f"{self.path}/level0-{len(self._level0)}"))
+        self._level0.append(self._write(memtable.withColumn("shard", self._shard()), 0))
 
     def _runs(self) -> DataFrame:
         paths = self._level0 + ([self._base] if self._base else [])
@@ -83,8 +86,11 @@ class DigestIndex:
     def compact(self) -> DataFrame:
         """Merge all runs into one per shard and return the entries: digest, best, size."""
         merged = self._runs().groupBy("shard", "digest").agg(self._best("best").alias("best"), F.sum("size").alias("size"))
-        self._base = self._write(merged, f"{self.path}/level1-{len(self._level0)}")
+        old = self._level0 + ([self._base] if self._base else [])
+        self._base = self._write(merged, 1)
         self._level0 = []
+        for path in old:
+            delete(self.spark, path)
         return self.entries()
 
     def entries(self) -> DataFrame:

@@ -192,9 +192,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _members(nodes)
     links = _links(rows, nodes, members, size, similarity)
     labels = components(links)
-    discard(members)
+    discard(members, nodes)
 
     own = materialize(signed.select("id", "row", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("id", "row", F.coalesce("component", "key").alias("class")), "classed")
+    discard(signed, labels)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     groups = materialize(own.where(F.col("class").isNotNull()).groupBy("class").agg(first, F.count("*").alias("class_size")), "classes")
     # Texts without words take no part in the join, so they don't meet under one null key.
@@ -220,12 +221,13 @@ def _links(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int, sim
     met = members.join(hubs, "bucket").where(F.col("key") != F.col("b"))
     fits = F.least("weight", "w") >= F.greatest("weight", "w") * similarity
     pairs = materialize(met.where(fits).select(F.col("key").alias("a"), "b").distinct(), "pairs")
-    links = materialize(_verify(rows, nodes, pairs, size, similarity), "links")
+    links = _verify(rows, nodes, pairs, size, similarity)
     labels = components(links)
 
     # Hubs have met all their bucket; what is left of it may fall into several components.
     left = met.where(F.col("n") > 2).select("bucket", "key", "weight").join(labels.withColumnRenamed("node", "key"), "key", "left")
     left = materialize(left.select("bucket", "key", "weight", F.coalesce("component", "key").alias("component")), "left")
+    discard(hubs, pairs, labels)
     parts = left.groupBy("bucket", "component").agg(F.sum("weight").alias("size"))
     open_ = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main")).where(F.col("parts") > 1)
     blocks_of = lambda x: F.ceil(x / BLOCK_SHINGLES).cast("int")
@@ -241,7 +243,9 @@ def _links(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int, sim
     work = tasks.select("bucket", "task.i", "task.j", "key", "component", "outside").join(texts, "key")
     prepare(rows.sparkSession)
     more = work.groupBy("bucket", "i", "j").applyInArrow(_join_parts(size, similarity), "a binary, b binary")
-    return links.unionByName(materialize(more, "links"))
+    more = materialize(more, "links")
+    discard(left, open_)
+    return links.unionByName(more)
 
 
 def _join_parts(size: int, similarity: float):
@@ -287,7 +291,9 @@ def _verify(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, simi
     first = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     met = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-    return arrow_map(met, _compare(size, similarity), "a binary, b binary")
+    links = materialize(arrow_map(met, _compare(size, similarity), "a binary, b binary"), "links")
+    discard(texts)
+    return links
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
