@@ -32,3 +32,32 @@ def test_drop_and_keep_rows_with_clashing_columns(spark):
     assert kept.columns == d.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert drop_rows(d.limit(0), gone).count() == 0
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    import random
+
+    rng = random.Random(41)
+    text = lambda n: " ".join(f"t{rng.randrange(900)}" for _ in range(n))
+    sentences = lambda n: ". ".join(text(8) for _ in range(n))
+    items = [(k, text(40)) for k in range(5)]
+    rows = [(k, sentences(rng.randrange(4, 20))) for k in range(300)]
+    toxic = {k for k in range(300) if k % 6 == 0}
+    rows = [(k, t + ". you vileword and crudword person" if k in toxic else t) for k, t in rows]
+    by_id = dict(rows)
+    rows += [(400 + k, by_id[7 + 6 * k].upper()) for k in range(10)]  # exact copies: the larger id stays
+    rows += [(500 + k, by_id[8 + 6 * k] + " tail") for k in range(10)]  # near copies: the smaller id stays
+    rows += [(600 + k, sentences(4) + " " + items[k][1] + " " + text(9)) for k in range(5)]
+    labels = [(k, 1, int(k in toxic)) for k in range(300)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = ({k for k, _ in rows} - toxic - {7 + 6 * k for k in range(10)} - {500 + k for k in range(10)}) - {600 + k for k in range(5)}
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == want
+    for seq in {r.sequence_id for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.sequence_id == seq), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
