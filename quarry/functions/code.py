@@ -183,19 +183,31 @@ def blank_literals(code: Column) -> Column:
     return code
 
 
+# What raises the risk of a symbol.
+BRANCHES = r"\b(?:if|else|switch|case|catch|for|while)\b"
+TERNARIES = r"(?<!\?)\?(?![.:?])"
+CALLS = r"\b[a-zA-Z_]\w*\s*\("
+CHANGES = r"\+=|-=|\*=|/=|%=|\+\+|--|\.(?:push|pop|shift|unshift|splice|set|delete|clear|add)\("
+ARITHMETIC = r"(?:\w|\]|\))\s*(?:[-+*/%](?![=+*-]))\s*(?:\w|\(|\[)"
+BUSINESS_NAMES = "(?i)calculate|validate|process|compute|handle|update|sync|transform|parse|execute|mutate|match"
+MONEY_NAMES = "(?i)pnl|price|volume|amount|balance|margin|risk|vwap|liquidation|drawdown|position|order|fill|iceberg|trade"
+TYPE_GAPS = r"\bas\s+any\b|:\s*any\b"
+# Defects by name, on the source without literals and comments but for the second.
+EMPTY_CATCH = r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}"
+SUPPRESSED = r"@ts-(?:ignore|expect-error|nocheck)"
+ANY_ESCAPES = r"\bas\s+any\b|:\s*any\b|<\s*any\b|,\s*any\b"
+NON_NULL = r"\w+![.\[]"
+
+
 def triage_risk(name: Column, code: Column, lines: Column) -> Column:
     """HIGH from 5, MED from 3, else LOW, of an additive score over size, branches, calls, changes, names and arithmetic."""
     clean = blank_literals(F.coalesce(code, F.lit("")))
     n = lambda p: F.size(F.regexp_extract_all(clean, F.lit(p), F.lit(0)))
     step = lambda x, high, a, low, b: F.when(x > high, a).when(x > low, b).otherwise(0)
     size = F.when(lines <= 3, -2).when(lines > 50, 3).when(lines > 20, 1).otherwise(0)
-    branches = n(r"\b(?:if|else|switch|case|catch|for|while)\b") + n(r"(?<!\?)\?(?![.:?])")
-    changes = n(r"\+=|-=|\*=|/=|%=|\+\+|--|\.(?:push|pop|shift|unshift|splice|set|delete|clear|add)\(")
-    maths = n(r"(?:\w|\]|\))\s*(?:[-+*/%](?![=+*-]))\s*(?:\w|\(|\[)")
-    business = name.rlike("(?i)calculate|validate|process|compute|handle|update|sync|transform|parse|execute|mutate|match")
-    money = name.rlike("(?i)pnl|price|volume|amount|balance|margin|risk|vwap|liquidation|drawdown|position|order|fill|iceberg|trade")
+    branches, changes, maths = n(BRANCHES) + n(TERNARIES), n(CHANGES), n(ARITHMETIC)
     flag = lambda c, v: F.when(c, v).otherwise(0)
-    total = size + step(branches, 6, 3, 2, 1) + flag(n(r"\b[a-zA-Z_]\w*\s*\(") > 15, 1) + step(changes, 2, 2, 0, 1) + flag(business, 2) + flag(money, 2) + step(maths, 3, 2, 0, 1) + flag(clean.rlike(r"\bas\s+any\b|:\s*any\b"), 2)
+    total = size + step(branches, 6, 3, 2, 1) + flag(n(CALLS) > 15, 1) + step(changes, 2, 2, 0, 1) + flag(name.rlike(BUSINESS_NAMES), 2) + flag(name.rlike(MONEY_NAMES), 2) + step(maths, 3, 2, 0, 1) + flag(clean.rlike(TYPE_GAPS), 2)
     return F.when(F.coalesce(code, F.lit("")) == "", "LOW").when(total >= 5, "HIGH").when(total >= 3, "MED").otherwise("LOW")
 
 
@@ -203,10 +215,10 @@ def defects(code: Column) -> Column:
     """Names of the defects that a source shows, the severe ones first."""
     clean = blank_literals(code)
     found = F.array(
-        F.when(clean.rlike(r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}"), F.lit("swallowed-error")),
-        F.when(code.rlike(r"@ts-(?:ignore|expect-error|nocheck)"), F.lit("ts-suppress")),
-        F.when(clean.rlike(r"\bas\s+any\b|:\s*any\b|<\s*any\b|,\s*any\b"), F.lit("type-escape-any")),
-        F.when(clean.rlike(r"\w+![.\[]"), F.lit("non-null-assert")),
+        F.when(clean.rlike(EMPTY_CATCH), F.lit("swallowed-error")),
+        F.when(code.rlike(SUPPRESSED), F.lit("ts-suppress")),
+        F.when(clean.rlike(ANY_ESCAPES), F.lit("type-escape-any")),
+        F.when(clean.rlike(NON_NULL), F.lit("non-null-assert")),
     )
     return F.array_compact(found)
 

@@ -11,7 +11,11 @@ from quarry.functions.text import contains_error, error_fingerprint, normalize_l
 from quarry.registry import query
 from quarry.sources.tables import table
 
+# What library frames and errors look like.
 FRAME = r"node_modules[/\\]|\(internal/|node:internal/"
+CODED = r"error TS(\d+):\s*(.+)"
+NAMED = r"^(\w*Error):\s*(.+)"
+PACKAGE = r"(?i)^npm (?:ERR!|error)\s*(.+)"
 _FILES = r"[\w/.-]+\.(?:ts|tsx|js|jsx|py|go|mjs|cjs|mts|cts)"
 
 
@@ -82,13 +86,13 @@ def condense(logs: DataFrame, id_col: str, text_col: str, max_lines: int = 100)
 def error_summary(logs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, sorted distinct errors, the first one, and the files that are named."""
     lines = logs.select(F.col(id_col).alias("id"), F.posexplode(F.split(strip_ansi(F.col(text_col)), "\n", -1)).alias("p", "line"))
-    ts, node, npm, fail = (lambda p, k: F.regexp_extract("line", p, k)), r"^(\w*Error):\s*(.+)", r"(?i)^npm (?:ERR!|error)\s*(.+)", r"(?:FAIL|✕|×|✗)\s+(" + _FILES + ")"
-    coded = r"error TS(\d+):\s*(.+)"
+    fail = r"(?:FAIL|✕|×|✗)\s+(" + _FILES + ")"
+    part = lambda p, k: F.trim(F.regexp_extract("line", p, k))
     found = F.array(
-        F.when(F.col("line").rlike(coded), F.concat(F.lit("TS"), ts(coded, 1), F.lit(": "), F.trim(ts(coded, 2)))),
-        F.when(F.col("line").rlike(node), F.concat(ts(node, 1), F.lit(": "), F.trim(ts(node, 2)))),
-        F.when(F.col("line").rlike(npm), F.concat(F.lit("npm: "), F.trim(ts(npm, 1)))),
-        F.when(F.col("line").rlike(fail), F.concat(F.lit("FAIL: "), ts(fail, 1))),
+        F.when(F.col("line").rlike(CODED), F.concat(F.lit("TS"), part(CODED, 1), F.lit(": "), part(CODED, 2))),
+        F.when(F.col("line").rlike(NAMED), F.concat(part(NAMED, 1), F.lit(": "), part(NAMED, 2))),
+        F.when(F.col("line").rlike(PACKAGE), F.concat(F.lit("npm: "), part(PACKAGE, 1))),
+        F.when(F.col("line").rlike(fail), F.concat(F.lit("FAIL: "), part(fail, 1))),
     )
     files = F.regexp_extract_all("line", F.lit(r"(?:^|\s)(" + _FILES + r")\b"), F.lit(1))
     rows = lines.select("id", "p", F.array_compact(found).alias("e"), files.alias("f"))
