@@ -148,3 +148,20 @@ def test_imports_exports_and_defects(spark):
     assert one(spark, code.extract_exports(F.lit(src), F.lit(".ts"))) == ["K", "go"]
     assert one(spark, code.defects(F.lit(src))) == ["swallowed-error"]
     assert one(spark, code.normalize_web_symbol(F.lit(".foo, #bar"), F.lit(".css"))) == "foo bar"
+
+
+def test_structure_functions():
+    from quarry.functions import structure as s
+
+    assert s.remove_calls("a; console.log('x)', f(1)); b") == "a;  b"
+    assert s.remove_calls("print(1") == "print(1"
+    assert s.blank("x = 'a\\'b' // c\ny") == "x =              \ny".replace("             ", " " * 11)
+    assert s.signature("export function f(a: Map<string, number>, b = '{') : X {\n return 1 }") == "export function f(a: Map<string, number>, b = '{') : X"
+    assert s.signature("def g(a: int = 3) -> int:\n    pass") == "def g(a: int = 3) -> int"
+    assert s.signature("const h = (x) => { y }") == "const h = (x) =>"
+    assert s.clean_signature("export default async function f()") == "function f()"
+    assert s.dependencies('import { foo, bar as baz } from "./utils/math";\nimport {q} from "ext"', ".ts") == [("foo", "foo", "math"), ("bar", "baz", "math")]
+    assert s.dependencies('const { foo: f2 } = require("./m.js")', ".js") == [("foo", "f2", "m")]
+    assert s.dependencies("from pkg.mod import alpha, beta as b", ".py") == [("alpha", "alpha", "mod"), ("beta", "b", "mod")]
+    assert s.shorthand("func", "a\nb", 1, 2) == "[func] a\nb" and s.shorthand("func", "f() {\n a\n b\n}", 3, 6) == "[func] f() { /* L3-L6 */ }"
+    assert s.regressed("f(a: X): Y", "f(a: any): Y") and not s.regressed("f(a: any)", "f(a: any)")
