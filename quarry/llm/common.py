@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import shutil
@@ -35,17 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="quarry-")
-        import atexit
-
         atexit.register(shutil.rmtree, _local_dir, True)
     return f"file://{_local_dir}"
 
 
 _scope = ""
+_to_delete: set[str] = set()
+
+
+def _root(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it goes when the driver ends."""
+    root = f"{shared_dir(spark)}/quarry/{spark.sparkContext.applicationId}"
+    if root not in _to_delete:
+        _to_delete.add(root)
+        atexit.register(_delete_at_exit, spark, root)
+    return root
+
+
+def _delete_at_exit(spark: SparkSession, root: str) -> None:
+    # The JVM may be gone by then; what it leaves is a folder named after the application.
+    with contextlib.suppress(Exception):
+        delete(spark, root)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{_scope}{name}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{_scope}{name}-{uuid.uuid4().hex}"
 
 
 @contextlib.contextmanager
@@ -56,9 +71,9 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
     that it was read from are then of no more use.
     """
     global _scope
-    was, _scope = _scope, f"{name}-{spark.sparkContext.applicationId}/"
+    was, _scope = _scope, f"{name}/"
     try:
-        delete(spark, f"{shared_dir(spark)}/quarry/{_scope}")
+        delete(spark, f"{_root(spark)}/{_scope}")
         yield
     finally:
         _scope = was
