@@ -34,6 +34,9 @@ _FURNITURE_WORDS = re.compile(
 )
 _CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|posts|entry|story|body|text|prose|page-content|hentry)(?=$|[\s_-])", re.I)
 
+#: Classes of a layout that say what stands beside, as in has-sidebar.
+_LAYOUT_WORDS = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|show|hide|is|js)[-_][\w-]+", re.I)
+
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -60,7 +63,7 @@ def blocks_of(page: str) -> list[Block]:
     link_parts: list[str] = []
     # Open elements: (tag, article, furniture, named, dropped, heading, link).
     stack: list[tuple] = [("", False, False, False, False, False, False)]
-    at, n, lower = 0, len(page), None
+    at, n, lower, begun = 0, len(page), None, False
 
     def flush() -> None:
         if parts:
@@ -141,9 +144,12 @@ def blocks_of(page: str) -> list[Block]:
                     dropped |= bool(_HIDDEN.search(value))
                 elif key == "hidden" or key == "aria-hidden":
                     dropped |= key == "hidden" or value.lower() == "true"
-                elif tag not in ("body", "html"):
-                    named |= bool(_FURNITURE_WORDS.search(value))
+                elif tag not in ("body", "html") and not (tag == "header" and top[1]):
+                    named |= bool(_FURNITURE_WORDS.search(_LAYOUT_WORDS.sub("", value)))
                     said_content |= bool(_CONTENT_WORDS.search(value))
+        if tag in CONTENT and not begun and not top[2]:
+            # The page's first article or main part counts whatever its wrappers are named.
+            begun, named = True, named and not top[3]
         article = top[1] or tag in CONTENT or said_content and not named
         # A heading block of an article may stand in its own header element.
         furniture = top[2] or tag in FURNITURE and not (tag == "header" and top[1])
