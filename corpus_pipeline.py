@@ -51,7 +51,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens, one row per piece of a document."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # A smaller cache than the operator's own: workers still hold memory of the stages before.
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cached_chunks=200_000)
 
 
 def _stage(f: Stage) -> Stage:

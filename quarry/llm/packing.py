@@ -32,9 +32,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_map, materialize, read_file, texts_of
 from quarry.llm.tokens import encoder
 
-#: Cached chunks of a worker; less than the token writer's, as packing runs beside other stages.
-CACHE = 200_000
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
@@ -99,7 +96,7 @@ def cut(n: int, max_len: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(at, max_len) for at in range(head, n, max_len)]
 
 
-def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached_chunks: int | None = None) -> DataFrame:
     """One row per piece, with its rank among the pieces of its length in its task."""
     tokenizer = read_file(tokenizer_path)
     end = struct.pack("<I", end_id)
@@ -107,7 +104,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: in
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, me = encoder(tokenizer, CACHE), TaskContext.get().partitionId()
+        enc, me = encoder(tokenizer, cached_chunks), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
@@ -146,15 +143,16 @@ def pack(pieces: DataFrame, max_len: int) -> DataFrame:
     return placed.withColumn("sequence_id", F.col("sequence") + F.col("_rank") - F.col("lo")).drop("_rank", "before", "rank", "task", "lo", "hi", "sequence")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached_chunks: int | None = None) -> DataFrame:
     """Pack whole documents into sequences of at most ``max_len`` tokens.
 
     Only documents longer than that are cut, into full pieces after a first piece that may
     be shorter.  Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id,
-    offset, and the ids as bytes if ``with_ids``.  A null text is empty; an empty text is
+    offset, and the ids as bytes if ``with_ids``.  ``cached_chunks`` bounds the memory of a
+    worker (400 bytes each), not the result.  A null text is empty; an empty text is
     the end id alone; repeated or null ids stay separate rows; an empty table gives none.
     """
-    pieces = materialize(encode_pieces(docs, tokenizer_path, end_id, max_len, id_col, text_col, with_ids), "pieces")
+    pieces = materialize(encode_pieces(docs, tokenizer_path, end_id, max_len, id_col, text_col, with_ids, cached_chunks), "pieces")
     packed = pack(pieces, max_len)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
 
