@@ -28,7 +28,9 @@ def tokenize(text: Column) -> Column:
     """Index terms in order: parts of the identifiers of a text, without stop words and single characters."""
     words = F.filter(F.split(F.regexp_replace(text, "[^a-zA-Z0-9_.]", " "), " +"), lambda w: F.length(w) > 1)
     stop = [F.lit(w) for w in STOPWORDS]
-    return F.filter(F.flatten(F.transform(words, split_identifier)), lambda t: (F.length(t) > 1) & ~t.isin(*stop))
+    # Most words are plain; only the others need to be taken apart.
+    parts = lambda w: F.when(w.rlike("^[A-Z]?[a-z]+$"), F.array(F.lower(w))).otherwise(split_identifier(w))
+    return F.filter(F.flatten(F.transform(words, parts)), lambda t: (F.length(t) > 1) & ~t.isin(*stop))
 
 
 _STOP_SQL = ",".join(f"'{w}'" for w in STOPWORDS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +34,10 @@ def build_index(chunks: DataFrame) -> Index:
     return Index(chunks, chunks.select("id", F.posexplode(tokenize(F.col("raw"))).alias("pos", "term")))
 
 
+def _equals(word: str) -> Callable[[Column], Column]:
+    return lambda x: x == word
+
+
 def bm25(index: Index, query_terms: list[str], limit: int) -> DataFrame:
     """id, score of the best chunks.  Terms that are repeated in the query count again.
 
@@ -43,12 +48,19 @@ def bm25(index: Index, query_terms: list[str], limit: int) -> DataFrame:
     terms = sorted(set(query_terms))
     weight = {t: query_terms.count(t) for t in terms}
     pairs = [(a, b) for a, b in zip(query_terms, query_terms[1:], strict=False)]
-    toks = index.chunks.select("id", tokenize(F.col("raw")).alias("t"))
-    count = lambda w: F.size(F.filter("t", lambda x: x == w))
-    joined = F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" "))
-    counted = toks.select("id", F.size("t").alias("len"), *[count(t).alias(f"tf{k}") for k, t in enumerate(terms)], *[joined.contains(f" {a} {b} ").cast("int").alias(f"pair{k}") for k, (a, b) in enumerate(pairs)])
+
+    def counts(t: Column) -> Column:
+        joined = F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
+        tf = [F.size(F.filter(t, _equals(w))).alias(f"tf{k}") for k, w in enumerate(terms)]
+        return F.struct(F.size(t).alias("len"), *tf, *[joined.contains(f" {a} {b} ").cast("int").alias(f"pair{k}") for k, (a, b) in enumerate(pairs)])
+
+    # The tokens are bound once by the lambda, however often the counts use them.
+    count = lambda c: c.select("id", F.transform(F.array(tokenize(F.col("raw"))), counts).getItem(0).alias("c")).select("id", "c.*")
+    counted = count(index.chunks)
+    # Only a text that holds a term, in any case, can have a score.
+    maybe = count(index.chunks.where(F.lower("raw").rlike("|".join(map(regex_escape, terms)) or "$.^")))
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    full = counted.crossJoin(F.broadcast(stats))  # one row of statistics
+    full = maybe.crossJoin(F.broadcast(stats))  # one row of statistics
     score: Column = F.lit(0.0)
     for k, t in enumerate(terms):
         tf, df, n = F.col(f"tf{k}"), F.col(f"df{k}"), F.col("n")
