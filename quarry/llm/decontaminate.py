@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are taken in blocks of bounded size, each broadcast to one pass over all
 documents, so neither the items nor the documents have to fit anywhere.
 
-1. **Rarity.**  Document frequencies of the items' n-grams are counted over all documents.
-2. **Seeds.**  In every window of ``WINDOW`` consecutive n-grams of an item the rarest one is
-   a seed.  Rarity is relative to the item's own window, so an item that leaked a
-   thousand times keeps its seeds.
-3. **Join.**  A document meets an item where it holds one of its seeds; the seed's places
+1. **Seeds.**  Every n-gram of an item is a seed, however frequent: an edit removes the n-grams
+   around it, and any of the others may be all that an edited copy keeps.
+2. **Join.**  A document meets an item where it holds one of its seeds; the seed's places
    in both give the stretch of the document that the item can cover.
+3. **Bound.**  A stretch that lacks so many of the item's words that no alignment can reach the
+   threshold is left out; nothing is lost by that.
 4. **Alignment.**  The words of the item and of the stretch are aligned locally; the score is
-   divided by that of a perfect copy.  Changed, missing or added words cost, and do not hide, a copy.
+   divided by that of a perfect copy.  Changed, missing or added words cost, and do not hide, a copy
+   that keeps ``NGRAM`` consecutive words somewhere.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import arrow_map, prepare
 from quarry.llm.words import Words, blocks, hash_words, shingles
 
-#: Words of a seed, and consecutive seeds of which one at least is kept.
-NGRAM, WINDOW = 3, 4
+#: Words of a seed.
+NGRAM = 3
 #: Items, and characters of items, of a block at most.
 BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4_000_000
+#: Meetings of documents and seeds that are looked at together; a document with more comes alone.
+MEETINGS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of a perfect copy from which an item counts as leaked.
 THRESHOLD = 0.5
@@ -39,26 +42,15 @@ HITS = "doc_id long, item_id long, score double, start_word int, end_word int, r
 
 
 class Items:
-    """A block of test items: word hashes, n-grams and, once chosen, seeds."""
+    """A block of test items: word hashes, and n-grams as sorted seeds."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int = NGRAM):
         self.ids, self.n = ids, n
         self.words = hash_words(texts)
-        self.grams, self.item = shingles(self.words, n)
-        first = np.searchsorted(self.item, np.arange(len(ids)))
-        self.place = np.arange(len(self.item)) - first[self.item]
-        self.known = np.unique(self.grams)
-
-    def choose_seeds(self, frequency: np.ndarray, window: int = WINDOW) -> None:
-        """``frequency``: of each of ``known``."""
-        own = frequency[np.searchsorted(self.known, self.grams)]
-        keep = np.zeros(len(own), dtype=bool)
-        cut = np.searchsorted(self.item, np.arange(len(self.ids) + 1))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            for i in range(a, max(a + 1, b - window + 1)) if b > a else ():
-                keep[i + int(np.argmin(own[i : min(b, i + window)]))] = True
-        order = np.argsort(self.grams[keep], kind="stable")
-        self.seeds, self.seed_item, self.seed_place = (x[keep][order] for x in (self.grams, self.item, self.place))
+        grams, item = shingles(self.words, n)
+        first = np.searchsorted(item, np.arange(len(ids)))
+        order = np.argsort(grams, kind="stable")
+        self.seeds, self.seed_item, self.seed_place = grams[order], item[order], (np.arange(len(item)) - first[item])[order]
 
 
 def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
@@ -101,19 +93,30 @@ def _stretches(hits: np.ndarray, places: np.ndarray, length: int, n_words: int)
     return out
 
 
+def _runs(text: np.ndarray, meetings: np.ndarray) -> Iterator[slice]:
+    """Runs of whole texts of about ``MEETINGS``."""
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    total = np.add.reduceat(meetings, first)
+    cuts = first[np.flatnonzero(np.diff((np.cumsum(total) - total) // MEETINGS, prepend=-1))]
+    yield from map(slice, cuts, [*cuts[1:], len(text)])
+
+
 def _find(items: Items, threshold: float):
-    def one(words: Words, at: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+    def one(words: Words, text: np.ndarray, grams: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """Hits of a block: text number, item number, score, first and last word."""
-        grams, text = doc, at
         lo, hi = np.searchsorted(items.seeds, grams), np.searchsorted(items.seeds, grams, side="right")
         found = np.flatnonzero(hi > lo)
         if not len(found):
             return
-        reps = hi[found] - lo[found]
-        where = np.repeat(found, reps)
-        seed = np.repeat(lo[found], reps) + np.arange(len(where)) - np.repeat(np.cumsum(reps) - reps, reps)
         first = np.searchsorted(text, np.arange(len(words.starts)))
-        t, place, item, item_place = text[where], where - first[text[where]], items.seed_item[seed], items.seed_place[seed]
+        for run in _runs(text[found], (hi - lo)[found]):
+            at = found[run]
+            reps = hi[at] - lo[at]
+            where = np.repeat(at, reps)
+            seed = np.repeat(lo[at], reps) + np.arange(len(where)) - np.repeat(np.cumsum(reps) - reps, reps)
+            yield from aligned(words, text[where], where - first[text[where]], items.seed_item[seed], items.seed_place[seed])
+
+    def aligned(words: Words, t: np.ndarray, place: np.ndarray, item: np.ndarray, item_place: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         order = np.lexsort((item, t))
         t, place, item, item_place = t[order], place[order], item[order], item_place[order]
         cuts = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (item[1:] != item[:-1]), [True]]))
@@ -121,12 +124,15 @@ def _find(items: Items, threshold: float):
             k, i = int(t[a]), int(item[a])
             own = words.hashes[words.starts[k] : words.starts[k + 1]]
             wanted = items.words.hashes[items.words.starts[i] : items.words.starts[i + 1]]
+            least = threshold * MATCH * len(wanted)
             best = (0, 0, 0)
             for x, y in _stretches(place[a:b], item_place[a:b], len(wanted), len(own)):
+                if MATCH * np.count_nonzero(np.isin(wanted, own[x:y])) < least:
+                    continue
                 score, start, end = align(wanted, own[x:y])
                 if score > best[0]:
                     best = (score, x + start, x + end)
-            if best[0] >= threshold * MATCH * len(wanted):
+            if best[0] >= least:
                 yield k, i, best[0] / (MATCH * len(wanted)), best[1], best[2]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,25 +149,6 @@ def _find(items: Items, threshold: float):
     return task
 
 
-def _count(items: Items):
-    """How many documents of a task hold each n-gram of the items."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.known), dtype=np.int64)
-        for batch in batches:
-            for _, texts in blocks(batch.column(1).to_pylist()):
-                grams, text = shingles(hash_words(texts), items.n)
-                at = np.searchsorted(items.known, grams)
-                at[at == len(items.known)] = 0
-                hit = items.known[at] == grams
-                pairs = np.unique(text[hit] * len(items.known) + at[hit])
-                total += np.bincount(pairs % len(items.known), minlength=len(items.known))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["gram", "n"])
-
-    return task
-
-
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:
     """The items in blocks.  They come to the driver one partition at a time, and leave it block by block."""
     ids, texts, size = [], [], 0
@@ -192,13 +179,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     prepare(spark)
     out = None
     for block in item_blocks(items, item_id_col, item_text_col):
-        if not len(block.known):
+        if not len(block.seeds):
             continue
-        counted = arrow_map(rows.select("id", "text"), _count(block), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        frequency = np.zeros(len(block.known), dtype=np.int64)
-        for r in counted.collect():  # at most the n-grams of a block
-            frequency[r["gram"]] = r["n"]
-        block.choose_seeds(frequency)
         hits = arrow_map(rows, _find(block, threshold), HITS)
         out = hits if out is None else out.unionByName(hits)
     return out if out is not None else spark.createDataFrame([], HITS)

@@ -99,6 +99,28 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert all(r.score == 1 for r in got if r.doc_id != 200) and len(got) == 62  # the repeated item gives its own hits
 
 
+@pytest.mark.parametrize("verbatim", [0, 20])
+def test_edited_leaks_are_found(spark, verbatim):
+    rng = random.Random(11)
+    items = [(k, rand_text(rng, n, 3000)) for k, n in enumerate((16, 25, 40, 55) * 6)]
+    docs, want = [], set()
+    for k, text in items:
+        for step in (4, 5, 6):
+            edited = text.split()
+            for at in range(rng.randrange(step), len(edited), step):
+                edited[at] = f"changed{rng.randrange(10**6)}"
+            if smith_waterman(text.split(), edited) >= len(edited):  # half of the score of a perfect copy
+                want.add((len(docs), k))
+            docs.append((len(docs), f"{rand_text(rng, 60, 3000)} {' '.join(edited)} {rand_text(rng, 60, 3000)}"))
+    assert len(want) > 60
+    for k, text in items:
+        for _ in range(verbatim):
+            want.add((len(docs), k))
+            docs.append((len(docs), f"{rand_text(rng, 30, 3000)} {text} {rand_text(rng, 30, 3000)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(frame(spark, docs), bench).collect()} == want
+
+
 def test_contamination_on_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "same text"), (2, None)], "item_id long, text string")
     got = decontaminate.contamination(odd, bench).collect()
