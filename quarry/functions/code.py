@@ -139,8 +139,9 @@ def prune_tokens(docs: DataFrame, id_col: str, text_col: str, share: float, alph
     rows = scored.select("id", F.explode("at").alias("a"), F.round(score, 9).alias("s")).select("id", "a.pos", "a.w", "s")
     texts = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "w", "s"))).alias("l"))
     cut = F.element_at(F.sort_array(F.transform("l", lambda x: x["s"])), (F.floor(F.size("l") * share) + 1).cast("int"))
-    keep = F.filter("l", lambda x: (x["s"] >= F.col("cut")) | x["w"].rlike(r"^[A-Z]|[0-9]|\.\w"))
-    out = texts.withColumn("cut", cut).withColumn("kept", keep)
+    # Bound by an outer lambda: as a column of its own, the cut would be sorted anew for every word.
+    keep = F.transform(F.array(cut), lambda c: F.filter("l", lambda x: (x["s"] >= c) | x["w"].rlike(r"^[A-Z]|[0-9]|\.\w")))
+    out = texts.withColumn("kept", F.element_at(keep, 1))
     return out.select("id", F.size("l").cast("long").alias("words"), F.size("kept").cast("long").alias("kept"), F.array_join(F.transform("kept", lambda x: x["w"]), " ").alias("text"))
 
 
@@ -153,12 +154,12 @@ _PRUNE_SQL = r"""w AS (SELECT doc_id AS id, string_split_regex(trim(regexp_repla
 
 @query("t9_medium_pruning", "WITH " + _PRUNE_SQL.replace("ALPHA", "0.5").replace("SHARE", "0.3"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prune_tokens(table(spark, sf_dir, "documents").where("doc_id % 10 = 0"), "doc_id", "text", 0.30, 0.5).select("id", "words", "kept")
+    return prune_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", 0.30, 0.5).select("id", "words", "kept")
 
 
 @query("t11_aggressive_pruning", "WITH " + _PRUNE_SQL.replace("ALPHA", "0.7").replace("SHARE", "0.5"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prune_tokens(table(spark, sf_dir, "documents").where("doc_id % 10 = 0"), "doc_id", "text", 0.50, 0.7).select("id", "words", "kept")
+    return prune_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", 0.50, 0.7).select("id", "words", "kept")
 
 
 def extract_imports(code: Column, ext: Column) -> Column:

@@ -1,11 +1,15 @@
 """Closed forms and literals."""
 
+import collections
 import math
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.catalog import QUERIES
 from quarry.functions import code, text
 from quarry.operators import aggregates, logs, relations, retrieval, windows
 from quarry.plans import graph
@@ -165,3 +169,25 @@ def test_structure_functions():
     assert s.dependencies("from pkg.mod import alpha, beta as b", ".py") == [("alpha", "alpha", "mod"), ("beta", "b", "mod")]
     assert s.shorthand("func", "a\nb", 1, 2) == "[func] a\nb" and s.shorthand("func", "f() {\n a\n b\n}", 3, 6) == "[func] f() { /* L3-L6 */ }"
     assert s.regressed("f(a: X): Y", "f(a: any): Y") and not s.regressed("f(a: any)", "f(a: any)")
+
+
+def pruned(texts, share, alpha):
+    """id -> words and kept words, by brute force."""
+    corpus = collections.Counter(w.lower() for t in texts.values() for w in t.split())
+    out = {}
+    for k, t in texts.items():
+        tf = collections.Counter(w.lower() for w in t.split())
+        score = {w: round(alpha * -math.log2(corpus[w] / corpus.total()) + (1 - alpha) * n / max(tf.values()) * math.log2(1 + len(tf) / n), 9) for w, n in tf.items()}
+        all_ = sorted(score[w.lower()] for w in t.split())
+        cut = all_[math.floor(len(all_) * share)]
+        out[k] = (len(all_), sum(score[w.lower()] >= cut or bool(re.search(r"^[A-Z]|[0-9]|\.\w", w)) for w in t.split()))
+    return out
+
+
+@pytest.mark.parametrize(("name", "share", "alpha"), [("t9_medium_pruning", 0.3, 0.5), ("t11_aggressive_pruning", 0.5, 0.7)])
+def test_pruning_covers_every_document(spark, tmp_path, name, share, alpha):
+    rng = random.Random(13)
+    words = ["the", "of", "Graph", "node", "a.b", "x1", "edge", "Of", "rare", "path", "end."]
+    texts = {k: " ".join(rng.choices(words, range(len(words), 0, -1), k=rng.randrange(1, 60))) for k in range(1, 26)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id: (r.words, r.kept) for r in QUERIES[name](spark, str(tmp_path)).collect()} == pruned(texts, share, alpha)
