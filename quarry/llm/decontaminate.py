@@ -11,7 +11,8 @@ documents, so neither the items nor the documents have to fit anywhere.
    threshold is left out; nothing is lost by that.
 4. **Alignment.**  The words of the item and of the stretch are aligned locally; the score is
    divided by that of a perfect copy.  Changed, missing or added words cost, and do not hide, a copy
-   that keeps ``NGRAM`` consecutive words somewhere.
+   that keeps ``NGRAM`` consecutive words somewhere.  A passage as good as ``PASSAGE`` words in a
+   row, which chance does not give, is a leak at any share of a longer item.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ MEETINGS = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of a perfect copy from which an item counts as leaked.
 THRESHOLD = 0.5
+#: Matched words, less edits, from which a passage of a longer item counts as leaked at any share of its score.
+PASSAGE = 50
 #: Words that a stretch reaches beyond the item on either side, relative to its length.
 SLACK = 0.25
 
@@ -124,7 +127,7 @@ def _find(items: Items, threshold: float):
             k, i = int(t[a]), int(item[a])
             own = words.hashes[words.starts[k] : words.starts[k + 1]]
             wanted = items.words.hashes[items.words.starts[i] : items.words.starts[i + 1]]
-            least = threshold * MATCH * len(wanted)
+            least = MATCH * min(threshold * len(wanted), PASSAGE)
             best = (0, 0, 0)
             for x, y in _stretches(place[a:b], item_place[a:b], len(wanted), len(own)):
                 if MATCH * np.count_nonzero(np.isin(wanted, own[x:y])) < least:

@@ -121,6 +121,16 @@ def test_edited_leaks_are_found(spark, verbatim):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contamination(frame(spark, docs), bench).collect()} == want
 
 
+def test_long_passages_of_longer_items_are_found(spark):
+    rng = random.Random(17)
+    items = [(k, rand_text(rng, n, 3000)) for k, n in enumerate((200, 200, 1000, 200, 60))]
+    part = lambda k, a, b: " ".join(items[k][1].split()[a:b])
+    docs = [(k, f"{rand_text(rng, 80, 3000)} {p} {rand_text(rng, 80, 3000)}") for k, p in enumerate([part(0, 70, 160), part(1, 0, 52), part(2, 940, 1000), part(3, 20, 60), part(4, 0, 25)])]
+    got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (1, 1), (2, 2)}
+    assert next(r.score for r in got if r.doc_id == 0) == pytest.approx(0.45, abs=0.03)
+
+
 def test_contamination_on_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "same text"), (2, None)], "item_id long, text string")
     got = decontaminate.contamination(odd, bench).collect()
