@@ -64,11 +64,12 @@ class Cache(dict):
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, without special tokens.
+    """Ids of texts as little-endian unsigned 32-bit integers; none is added at the ends.
 
     ``tokenizer_json`` is the content of a ``tokenizers`` file with a BPE model and a
-    byte-level pre-tokenizer that cuts at white space.  Strings of special tokens in a text
-    are ordinary text.
+    byte-level pre-tokenizer that cuts at white space.  A special token's string in a text
+    is that token, as the library has it by default; the text around it is encoded part by
+    part.  Files whose added tokens take in white space or need normalized text are refused.
     """
 
     def __init__(self, tokenizer_json: bytes, cache: int | None = None):
@@ -81,6 +82,12 @@ class Encoder:
         self._split = _PIECES["words" if spec["normalizer"] else "bytes"].findall
         self._cache = Cache(cache or CACHE, self._encode_words if spec["normalizer"] else self._encode_bytes)
         self._chunks = self._cut_words if spec["normalizer"] else _CHUNKS.findall
+        added = spec["added_tokens"]
+        if any(t[k] for t in added for k in ("normalized", "single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens must be plain strings")
+        self._special = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        longest_first = sorted(self._special, key=len, reverse=True)
+        self._cut_special = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
 
     def _encode_mapped(self, piece: str) -> bytes:
         return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
@@ -126,14 +133,20 @@ class Encoder:
             at = cut.start()
         yield text[at:] if at else text
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _encode_plain(self, text: str) -> bytes:
         ids, chunks = self._cache.__getitem__, self._chunks
-        return [b"".join(map(ids, chunks(t))) if len(t) <= SEGMENT_CHARS else b"".join(b"".join(map(ids, chunks(x))) for x in self._segments(t)) for t in texts]
+        return b"".join(map(ids, chunks(text))) if len(text) <= SEGMENT_CHARS else b"".join(b"".join(map(ids, chunks(x))) for x in self._segments(text))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain, special, cut = self._encode_plain, self._special, self._cut_special
+        if cut is None:
+            return list(map(plain, texts))
+        return [plain(t) if cut.search(t) is None else b"".join(special[x] if x in special else plain(x) for x in cut.split(t)) for t in texts]
 
 
 def encoder(tokenizer_json: bytes, cache: int | None = None) -> Encoder:
-    """One encoder per worker and file, kept over batches and tasks."""
-    key = hash(tokenizer_json)
+    """One encoder per worker, kept over batches and tasks of one file and bound."""
+    key = hash((tokenizer_json, cache))
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(tokenizer_json, cache)

@@ -15,7 +15,6 @@ def both(name):
     if name not in _loaded:
         path = public_tokenizers.path(name)
         whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
         with open(path, "rb") as f:
             _loaded[name] = whole, tokens.Encoder(f.read())
     return _loaded[name]
@@ -26,6 +25,7 @@ def check(name, text):
     assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", "  "]
 ODD = st.text(alphabet=st.sampled_from(list("aBc'stréÈñßΣσς 1٣²½_.,!%$\t\n\r\x0b\x1c\x85\xa0᠎  ​́İ日🙂<|>")), max_size=40)
 
 
@@ -36,6 +36,20 @@ def test_same_ids_as_whole_tokenizer(name, text):
     check(name, text)
 
 
+@pytest.mark.parametrize("name", FILES)
+@settings(max_examples=200, deadline=None)
+@given(parts=st.lists(st.one_of(st.sampled_from(SPECIAL), ODD), max_size=8))
+def test_special_strings_are_their_tokens(name, parts):
+    check(name, "".join(parts))
+
+
+def test_other_kinds_of_added_tokens_are_refused():
+    with open(public_tokenizers.path(FILES[0]), "rb") as f:
+        changed = f.read().replace(b'"lstrip": false', b'"lstrip": true').replace(b'"lstrip":false', b'"lstrip":true')
+    with pytest.raises(ValueError):
+        tokens.Encoder(changed)
+
+
 @pytest.mark.parametrize("name", FILES)
 @pytest.mark.parametrize("text", ["", " ", "  \n", "it's  I'LL we'd", "<|endoftext|> a <|startoftext|>", "a" * 5000, "x́ ́y", "tabs\t\tand\nlines\n\n"])
 def test_fixed_texts(name, text):
