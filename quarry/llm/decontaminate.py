@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, prepare
+from quarry.llm.common import arrow_map, prepare, row_hash
 from quarry.llm.words import Words, blocks, hash_words, shingles
 
 #: Words of a seed.
@@ -41,7 +41,7 @@ PASSAGE = 50
 #: Words that a stretch reaches beyond the item on either side, relative to its length.
 SLACK = 0.25
 
-HITS = "doc_id long, item_id long, score double, start_word int, end_word int, row long"
+HITS = "doc_id long, item_id long, score double, start_word int, end_word int, row binary"
 
 
 class Items:
@@ -145,7 +145,7 @@ def _find(items: Items, threshold: float):
                 words = hash_words(texts)
                 grams, text = shingles(words, items.n)
                 out += [(ids[at + k], items.ids[i], score, a, b, rows[at + k]) for k, i, score, a, b in one(words, text, grams)]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.binary())
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word", "row"])
 
@@ -171,14 +171,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """The leaked items of every document: doc_id, item_id, score, start_word, end_word, row.
 
     ``score`` is 1 for a verbatim copy; words count from 0 in the document's words and
-    ``end_word`` is not included; ``row`` is the 64-bit hash of identifier and text.
+    ``end_word`` is not included; ``row`` is the digest of identifier and text.
     Documents and items without a word never meet.  An item of fewer words than a seed is
     found where a document consists of just these words.  Repeated rows and items give
     their own hits; null ids stay null; without hits, documents or items there are no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("id", "text"))
+    rows = rows.withColumn("row", row_hash("id"))
     prepare(spark)
     out = None
     for block in item_blocks(items, item_id_col, item_text_col):

@@ -1,30 +1,39 @@
 """Exact deduplication with a log-structured merge index of text digests.
 
-* **Memtable.**  Rows are taken in by blocks (memtables).  Within a block the rows of a digest meet in
-  map-side aggregation, so a text that fills a third of all rows leaves each task as one entry.
-* **Flush.**  A block is flushed as sorted digest runs, one per range of digests: Parquet
-  files sorted by digest, whose row-group statistics and Parquet Bloom filters on the
-  digest are the run's filters.
-* **Compaction.**  Runs are merged per digest range; of equal digests the entry with the preferred
-  identifier survives (the largest or the smallest) and sizes add up.
-* **Verification.**  A digest that occurs more than once is a hit.  Rows of hits are
-  compared by their bytes: texts are grouped by digest *and* bytes, so a collision of
-  digests splits the group instead of merging two texts.
+* **Memtable.**  The digests of all rows are taken in by blocks of arrivals.  A block is one
+  memtable, spread over the executors: rows of a digest meet in map-side aggregation, so a
+  text that fills a third of all rows leaves each task as one entry.
+* **Flush.**  A memtable is flushed as sorted digest runs, one per range of digests, with a
+  filter of its digests, a bounded bit table.
+* **Hits.**  A digest that a memtable holds twice is a hit, and one that an earlier run
+  holds: a memtable probes the earlier runs, and only digests that pass their filters are
+  looked up in them.
+* **Compaction.**  As soon as a level holds ``FANOUT`` runs they are merged into one of the
+  next level; of equal digests the preferred identifier survives (the largest or the
+  smallest) and sizes add up.  So a memtable probes few runs.
+* **Verification.**  Rows of hits are compared by their bytes: texts are grouped by digest
+  *and* bytes, so a collision of digests splits the group instead of merging two texts.
 
 All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from quarry.llm.common import delete, materialize, new_path
+from quarry.llm.common import KeyFilter, delete, discard, materialize, new_path, row_hash
 
-#: Digest prefixes that filter rows before the byte verification: 2^20 at most, so the
-#: broadcast of those that occur in hits is bounded whatever the input.
-PREFIX_BITS = 20
+#: Rows of a memtable.  There are four memtables at least and, as each is spread over all
+#: executors, 16 at most: then they grow with the table.
+MEMTABLE_ROWS, LEAST_MEMTABLES, MOST_MEMTABLES = 20_000_000, 4, 16
+#: Runs of a level that are merged into one of the next.
+FANOUT = 4
+#: Ranges of digests at most.
 MAX_SHARDS = 4096
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,101 +48,127 @@ def normalized(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _prefix(bits: int) -> Column:
-    """The first bits (32 at most) of the digest as a number."""
-    return F.shiftrightunsigned(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - bits)
+@dataclass
+class Run:
+    """A flushed or merged set of sorted runs, one per range of digests; its filter is made when it is first probed."""
+
+    path: str
+    level: int
+    filter: KeyFilter | None = None
 
 
 class DigestIndex:
-    """The runs below ``path``.  Levels are folders: 0 takes flushes, 1 holds the last compaction."""
+    """The runs below ``path``: entries of digest, preferred identifier and size."""
+
+    SCHEMA = "digest binary, best long, size long, shard int"
 
-    def __init__(self, spark: SparkSession, path: str, keep: str = "max", shards: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, keep: str = "max", shards: int | None = None, fanout: int = FANOUT):
         if keep not in ("max", "min"):
             raise ValueError("keep is 'max' or 'min'")
-        self.spark, self.path, self.keep = spark, path, keep
+        self.spark, self.path, self.keep, self.fanout = spark, path, keep, fanout
         self.shards = shards or min(MAX_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self._level0: list[str] = []
+        self.runs: list[Run] = []
         self._written = 0
-        self._base: str | None = None
+        self._hits: list[DataFrame] = []
 
     def _best(self, col: str) -> Column:
         return (F.max if self.keep == "max" else F.min)(col)
 
-    def _write(self, runs: DataFrame, level: int) -> str:
+    def _write(self, entries: DataFrame, level: int) -> Run:
         path = f"{self.path}/level{level}-{self._written}"
         self._written += 1
-        writer = runs.repartition(self.shards, "shard").sortWithinPartitions("shard", "digest").write
-        writer.option("parquet.bloom.filter.enabled#digest", "true").partitionBy("shard").parquet(path)
-        return path
+        first = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("long")
+        shard = F.floor(first * self.shards / 65536).cast("int")  # ranges of the digest
+        entries.withColumn("shard", shard).repartition(self.shards, "shard").sortWithinPartitions("shard", "digest").write.partitionBy("shard").parquet(path)
+        return Run(path, level)
 
-    def _shard(self) -> Column:
-        # Ranges of the digest.
-        return F.floor(_prefix(16) * self.shards / 65536).cast("int")
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(path)
 
     def flush(self, rows: DataFrame) -> None:
-        """Take in ``rows`` (digest, id) as one more set of sorted runs."""
+        """Take in a memtable of ``rows`` (digest, id): probe the runs, write its own, merge full levels."""
         memtable = rows.groupBy("digest").agg(self._best("id").alias("best"), F.count("*").alias("size"))
-        self._level0.append(self._write(memtable.withColumn("shard", self._shard()), 0))
-
-    def _runs(self) -> DataFrame:
-        paths = self._level0 + ([self._base] if self._base else [])
-        reads = [self.spark.read.schema("digest binary, best long, size long, shard int").parquet(p) for p in paths]
-        out = reads[0]
-        for r in reads[1:]:
-            out = out.unionByName(r)
-        return out
+        run = self._write(memtable, 0)
+        own = self._read(run.path)
+        hits = own.where(F.col("size") > 1).select("digest")
+        for earlier in self.runs:
+            hits = hits.unionByName(self._probe(own, earlier).select("digest"))
+        self._hits.append(materialize(hits, "hits"))
+        self.runs.append(run)
+        level = 0
+        while len(full := [r for r in self.runs if r.level == level]) >= self.fanout:
+            self._merge(full, level + 1)
+            level += 1
+
+    def _probe(self, digests: DataFrame, run: Run) -> DataFrame:
+        """Digests that a run holds, with its entries; its filter turns others away before they are looked up."""
+        if run.filter is None:
+            run.filter = KeyFilter(self._read(run.path), "digest")
+            run.filter.table = materialize(run.filter.table, "run-filter")
+        found = self._read(run.path).select("digest", F.col("best").alias("found"), F.col("size").alias("found_size"))
+        return run.filter.maybe(digests.select("digest"), "digest").join(found, "digest")
+
+    def _merge(self, runs: list[Run], level: int) -> None:
+        merged = reduce(DataFrame.unionByName, [self._read(r.path) for r in runs]).groupBy("digest").agg(self._best("best").alias("best"), F.sum("size").alias("size"))
+        new = self._write(merged, level)
+        self.runs = [r for r in self.runs if r not in runs] + [new]
+        for r in runs:
+            delete(self.spark, r.path)
+            if r.filter:
+                discard(r.filter.table)
 
     def compact(self) -> DataFrame:
-        """Merge all runs into one per shard and return the entries: digest, best, size."""
-        merged = self._runs().groupBy("shard", "digest").agg(self._best("best").alias("best"), F.sum("size").alias("size"))
-        old = self._level0 + ([self._base] if self._base else [])
-        self._base = self._write(merged, 1)
-        self._level0 = []
-        for path in old:
-            delete(self.spark, path)
-        return self.entries()
-
-    def entries(self) -> DataFrame:
-        return self._runs().select("digest", "best", "size")
+        """Merge all runs into one and return its entries: digest, best, size."""
+        if len(self.runs) > 1:
+            self._merge(self.runs, 1 + max(r.level for r in self.runs))
+        return self._read(self.runs[0].path).select("digest", "best", "size")
+
+    def hits(self) -> DataFrame:
+        """The digests that came more than once."""
+        return reduce(DataFrame.unionByName, self._hits).distinct()
 
     def probe(self, digests: DataFrame) -> DataFrame:
-        """Rows of ``digests`` that some run holds, with the kept identifier and the size."""
-        found = self._runs().groupBy("digest").agg(self._best("best").alias("best"), F.sum("size").alias("size"))
-        return digests.join(found, "digest")
+        """digest, best, size of those of ``digests`` that some run holds."""
+        found = reduce(DataFrame.unionByName, [self._probe(digests, r) for r in self.runs])
+        return found.groupBy("digest").agg(self._best("found").alias("best"), F.sum("found_size").alias("size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row.
 
-    ``row`` is the 64-bit hash of identifier and text as they came.
+    ``row`` is the digest of identifier and text as they came.
     Texts are equal when identical after lower-casing A-Z.  A null text is empty and equals
     other empty texts.  Of rows that share both id and text each is returned, and each
     whose id is the kept one counts as kept.  A row without an id is kept only when no row
     of its group has one.  Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    text = normalized(F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("norm"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("row")).select("id", "row", "norm", F.unhex(F.sha2("norm", 256)).alias("digest"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), normalized(F.col(f"`{text_col}`")).alias("norm"), row_hash(id_col, text_col).alias("row"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("norm", 256)))
     ids = materialize(rows.select("id", "row", "digest"), "digests")
+
     index = DigestIndex(spark, new_path(spark, "digest-index"), keep)
-    index.flush(ids.select("id", "digest"))
-    entries = index.compact()
+    n = min(MOST_MEMTABLES, max(LEAST_MEMTABLES, -(-ids.count() // memtable_rows)))
+    arrival = F.pmod(F.xxhash64("row"), F.lit(n))
+    for block in range(n):
+        index.flush(ids.where(arrival == block).select("digest", "id"))
 
-    # Byte verification of the hits.  Rows that cannot be hits go on the map side, by digest
-    # prefix.  Equal texts meet before the shuffle, so a frequent text costs a row per task.
+    # Byte verification of the hits.  Rows that cannot be hits go on the map side.  Equal
+    # texts meet before the shuffle, so a frequent text costs a row per task.
     # `texts` is 1 unless two texts share a digest.
-    hits = entries.where(F.col("size") > 1)
+    hits = materialize(index.hits(), "hits")
     best = F.max if keep == "max" else F.min
-    prefixes = hits.select(_prefix(PREFIX_BITS).alias("prefix")).distinct()
-    maybe = rows.withColumn("prefix", _prefix(PREFIX_BITS)).join(F.broadcast(prefixes), "prefix", "left_semi")
-    by_bytes = maybe.groupBy("digest", "norm").agg(best("id").alias("best"), F.count("*").alias("size"))
-    verified = materialize(by_bytes.select("digest", "best", "size", F.count("*").over(_per_digest()).alias("texts"), F.when(F.count("*").over(_per_digest()) > 1, F.col("norm")).alias("norm")), "verified")
+    by_bytes = KeyFilter(hits, "digest").maybe(rows, "digest").groupBy("digest", "norm").agg(best("id").alias("best"), F.count("*").alias("size"))
+    texts = F.count("*").over(_per_digest())
+    verified = materialize(by_bytes.select("digest", "best", "size", texts.alias("texts"), F.when(texts > 1, F.col("norm")).alias("norm")), "verified")
+    # Rows of no hit stand alone; so do those that only passed the filter.
     settled = verified.where((F.col("texts") == 1) & (F.col("size") > 1)).select("digest", "best", "size")
-    out = ids.join(settled.unionByName(entries.where(F.col("size") == 1)), "digest")
-    out = out.select("id", "row", "best", "size", "digest")
     # Two texts under one digest: never seen, but then the bytes decide.
-    if not verified.where(F.col("texts") > 1).isEmpty():
-        split = verified.where(F.col("texts") > 1).select("digest", "norm", "best", "size")
+    split = verified.where(F.col("texts") > 1).select("digest", "norm", "best", "size")
+    several = not split.isEmpty()
+    alone = ids.join(split.select("digest").distinct(), "digest", "left_anti") if several else ids
+    out = alone.join(settled, "digest", "left").select("id", "row", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("best")).alias("best"), F.coalesce("size", F.lit(1).cast("long")).alias("size"), "digest")
+    if several:
         out = out.unionByName(rows.join(split, ["digest", "norm"]).select("id", "row", "best", "size", "digest"))
     return out.select(F.col("id").alias("doc_id"), F.col("best").alias("keep_id"), F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("best")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
 

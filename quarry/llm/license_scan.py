@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import row_hash
+
 SHINGLE = 5
 BANDS = 48
 CONTAINMENT = 0.8
@@ -95,13 +97,13 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     if len(known) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates; scan them in parts")
     if not known:
-        return spark.createDataFrame([], "doc_id long, license_id string, containment double, start_word int, row long")
+        return spark.createDataFrame([], "doc_id long, license_id string, containment double, start_word int, row binary")
     minima = sorted({x for r in known for x in r["signature"]})
     lengths = sorted({r["length"] for r in known})
     table = spark.createDataFrame([(r["license_id"], r["shingles"], r["n"], r["length"], b, x) for r in known for b, x in enumerate(r["signature"])], "license_id string, shingles array<string>, n int, length int, band int, least long")
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), text).alias("row"), _words(text).alias("w"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), row_hash(id_col, text_col).alias("row"), _words(text).alias("w"))
     rows = rows.select("doc_id", "row", "w", _hashes(F.col("w")).alias("h")).where(F.arrays_overlap("h", F.array(*map(F.lit, minima)).cast("array<long>")))
     # Places of the few shingles, then the two windows of each class that hold the place.
     places = F.filter(F.transform("h", lambda h, i: F.when(h.isin(minima), i)), lambda i: i.isNotNull())

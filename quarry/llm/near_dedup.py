@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, discard, materialize, prepare
+from quarry.llm.common import KeyFilter, arrow_map, discard, materialize, prepare, row_hash
 from quarry.llm.graph import components
 from quarry.llm.words import binary, blocks, hash_words, mix, shingles
 
@@ -44,8 +44,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Shingles of the members that a block of an open bucket holds, about.
 BLOCK_SHINGLES = 1_000_000
-#: Identifiers' hashes that may be broadcast to find the rows of texts to compare.
-PREFIXES = 1 << 20
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -163,16 +161,9 @@ def _compare(size: int, similarity: float):
 
 
 def _texts(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key and text of the wanted nodes.
-
-    Rows are found by identifier and row hash.  Those that cannot be wanted go on the map
-    side, through a broadcast of at most ``PREFIXES`` numbers.
-    """
-    target = nodes.join(wanted, "key", "left_semi").select("row", "key")
-    bucket = F.pmod("row", F.lit(PREFIXES))
-    prefixes = target.select(bucket.alias("prefix")).distinct()
-    maybe = rows.withColumn("prefix", bucket).join(F.broadcast(prefixes), "prefix", "left_semi").select("row", "text")
-    return maybe.join(target, "row").select("key", "text").dropDuplicates(["key"])
+    """key and text of the wanted nodes, found by their rows; other rows go on the map side."""
+    target = materialize(nodes.join(wanted, "key", "left_semi").select("row", "key"), "wanted")
+    return KeyFilter(target, "row").maybe(rows, "row").select("row", "text").join(target, "row").select("key", "text").dropDuplicates(["key"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
@@ -180,13 +171,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with a weighted Jaccard similarity of at least ``similarity``, and chains of
     them, form a class; its id is its least doc_id, and that row is kept.  ``row`` is the
-    64-bit hash of identifier and text.  Texts without a word are alone in their class, as
+    digest of identifier and text.  Texts without a word are alone in their class, as
     nulls are; rows that share identifier and text are all kept or all not; a class of
     which no row has an identifier has none.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("id", "text"))
-    signed = materialize(arrow_map(rows, _sign(size, bands, band_rows), "id long, row long, key binary, weight long, buckets array<long>"), "signed")
+    rows = rows.withColumn("row", row_hash("id"))
+    signed = materialize(arrow_map(rows, _sign(size, bands, band_rows), "id long, row binary, key binary, weight long, buckets array<long>"), "signed")
     worded = signed.where(F.col("key").isNotNull())
     nodes = materialize(worded.select("key", "row", "weight", "buckets").dropDuplicates(["key"]), "nodes")
     members = _members(nodes)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import binary_output, decontaminate, exact_dedup, html_extract, license_scan, near_dedup, packing, quality, token_counts, toxicity
+from quarry.llm.common import KeyFilter, materialize
 from quarry.llm.words import hash_words, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, row string, id string, spans string"
@@ -245,14 +246,39 @@ def test_exact_duplicates_equal_brute_force(spark, keep):
 
 
 def test_index_probes_and_merges_later_runs(spark, tmp_path):
-    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", fanout=3)
     rows = lambda x: spark.createDataFrame(x, "digest binary, id long")
     index.flush(rows([(b"\x01" * 32, 5), (b"\x01" * 32, 7), (b"\xf0" * 32, 1)]))
-    index.compact()
     index.flush(rows([(b"\x01" * 32, 6), (b"\xaa" * 32, 9)]))
+    assert [r.level for r in index.runs] == [0, 0]
     probe = index.probe(spark.createDataFrame([(b"\x01" * 32,), (b"\x02" * 32,)], "digest binary")).collect()
     assert [(r.best, r.size) for r in probe] == [(7, 3)]
-    assert sorted((r.best, r.size) for r in index.compact().collect()) == [(1, 1), (7, 3), (9, 1)]
+    assert [bytes(r.digest) for r in index.hits().collect()] == [b"\x01" * 32]
+    index.flush(rows([(b"\xf0" * 32, 4)]))  # the third run fills the level
+    assert [r.level for r in index.runs] == [1]
+    index.flush(rows([(b"\xbb" * 32, 2)]))
+    assert [r.level for r in index.runs] == [1, 0]
+    assert {bytes(r.digest)[0] for r in index.hits().collect()} == {0x01, 0xF0}
+    assert sorted((r.best, r.size) for r in index.compact().collect()) == [(2, 1), (4, 2), (7, 3), (9, 1)]
+    assert len(index.runs) == 1
+
+
+def test_filters_turn_most_other_keys_away(spark):
+    keys = materialize(spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k")), "keys")
+    f = KeyFilter(keys, "k")
+    others = spark.range(20_000, 60_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    assert f.maybe(keys, "k").count() == 20_000 and f.never(keys, "k").count() == 0
+    passed = f.maybe(others, "k").count()
+    assert passed < 40_000 / 32 and f.never(others, "k").count() == 40_000 - passed
+    none = KeyFilter(materialize(keys.limit(0), "keys"), "k")
+    assert none.maybe(keys, "k").count() == 0 and none.never(keys, "k").count() == 20_000
+
+
+def test_memtables_do_not_change_the_result(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_MEMTABLES", 6)
+    rows = [(k, f"text {k % 37}") for k in range(120)]
+    few, many = (sorted(map(tuple, exact_dedup.exact_dedup(frame(spark, rows), memtable_rows=m).collect())) for m in (1000, 20))
+    assert few == many and {r[2] for r in few} == {3, 4}
 
 
 # --- near duplicates ------------------------------------------------------------------
