@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterable
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,7 +95,7 @@ class Counts(dict):
         return value
 
 
-_made: dict[int, Counts] = {}
+_made: dict[bytes, Counts] = {}
 
 
 def read_pieces(path: str) -> list[str]:
@@ -116,11 +117,12 @@ def token_counts(text: Column, pieces: list[str]) -> Column:
     An unknown word is one token.  Null and empty texts have none.  The pieces (a
     vocabulary file, a few hundred kB) travel with the tasks.
     """
+    key = blake2b("\n".join(pieces).encode("utf-8", "surrogatepass")).digest()
 
     @F.arrow_udf(COUNTED)
     def count(texts: pa.Array) -> pa.Array:
-        key = hash(tuple(pieces[:64])) ^ len(pieces)
         if key not in _made:
+            _made.clear()
             _made[key] = Counts(Automaton(pieces))
         of = _made[key].__getitem__
         words = [_WORDS.findall(t or "") for t in texts.to_pylist()]

@@ -19,14 +19,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import arrow_map, prepare
+from quarry.llm.common import arrow_map, materialize, prepare
 
-#: Labelled documents that the model is fitted on, at most (the smallest by hash of the id).
-MAX_TRAIN = 20_000
+#: Labelled documents that the model is fitted on, at most (the smallest by hash of the id), and
+#: the characters of their texts together; documents beyond either bound are scored, not fitted on.
+MAX_TRAIN, MAX_TRAIN_CHARS = 20_000, 200_000_000
 #: Features at most; they are broadcast with their weights.
 MAX_FEATURES = 4096
 #: A feature must occur in so many training documents, so many standard deviations too often in toxic ones.
@@ -58,9 +59,7 @@ class Model:
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score and (start, end, probability) of the sentences from one half."""
-        lower = text.lower()
-        if len(lower) != len(text):
-            lower = text  # so offsets stay true; rare characters whose lower case is longer
+        lower = lowered(text)
         known = {w for w in set(_WORDS.findall(lower)) if w in self.weights or any(len(w) > k and w[:k] + "*" in self.weights for k in PREFIXES)}
         none = -np.logaddexp(0, self.bias)  # log(1 - p) of a sentence without features
         log_clean, spans = 0.0, []
@@ -80,19 +79,35 @@ class Model:
         return float(-np.expm1(log_clean)), spans
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character where the whole would change its length: offsets stay true."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower()[0] for c in text)
+
+
 def features(words: set[str]) -> list[str]:
     """Each different word, and its beginnings; words with one beginning count one by one."""
     return [*words, *(w[:k] + "*" for w in words for k in PREFIXES if len(w) > k)]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
-    """text and label of at most ``max_train`` labelled documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
+    """_id, _text, _label, stored: one row for each of at most ``max_train`` labelled ids that are not held out.
+
+    Null ids and labels are left out; of conflicting labels of an id the higher counts, of
+    its texts the last in binary order, null as empty.  Documents of which the
+    characters up to them, in the order of the hash, exceed ``max_chars`` are left out.
+    Empty tables give no rows; other columns are ignored.
+    """
     key = F.col(f"`{id_col}`").cast("long")
     known = labels.select(key.alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isNotNull())
     known = known.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_label").alias("_label"))
     # Bounded by max_train rows of 12 bytes, hence the broadcast.
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    return docs.select(key.alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")).join(F.broadcast(some), "_id").select("_text", "_label")
+    texts = docs.select(key.alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")).join(F.broadcast(some), "_id")
+    rows = materialize(texts.groupBy("_id").agg(F.max("_text").alias("_text"), F.max("_label").alias("_label")), "training")
+    total = F.sum("_n").over(Window.orderBy(F.xxhash64("_id"), "_id"))  # over max_train rows at most
+    over = rows.select("_id", F.char_length("_text").cast("long").alias("_n")).select("_id", total.alias("_n")).where(F.col("_n") > max_chars)
+    return rows.join(F.broadcast(over), "_id", "left_anti")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -108,7 +123,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = set(features(set(_WORDS.findall(text.lower()))))
+            own = set(features(set(_WORDS.findall(lowered(text)))))
             docs.update(own)
             if label:
                 toxic.update(own)
@@ -127,7 +142,7 @@ def _bags(names: list[str]):
         for batch in batches:
             n, sentences = [], []
             for text in batch.column(0).to_pylist():
-                parts = [m for m in _SENTENCES.findall(text.lower()) if not m.isspace()]
+                parts = [m for m in _SENTENCES.findall(lowered(text)) if not m.isspace()]
                 hits = (sorted(index[f] for f in features(set(_WORDS.findall(p))) if f in index) for p in parts)
                 sentences.append([h for h in hits if h])
                 n.append(len(parts))
@@ -139,10 +154,10 @@ def _bags(names: list[str]):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
     """Fit on a bounded sample of the labelled rows.
 
-    The driver gets at most ``MAX_FEATURES`` features and ``max_train`` bags of their
-    numbers.  Without labels, or with labels of one kind, the model scores 0 everywhere.
+    The sample is stored once and read three times.  The driver gets at most
+    ``MAX_FEATURES`` features and ``max_train`` bags of their numbers.  Without labels, or with labels of one kind, the model scores 0 everywhere.
     """
-    rows = training_rows(docs, labels, id_col, text_col, label_col, max_train)
+    rows = training_rows(docs, labels, id_col, text_col, label_col, max_train).select("_text", "_label")
     totals = rows.agg(F.count("*").alias("n"), F.sum(F.col("_label").cast("long")).alias("toxic")).first()
     n, toxic = totals["n"], totals["toxic"] or 0
     if not 0 < toxic < n:
@@ -213,7 +228,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the fitted model does not call toxic."""
+    """The rows of ``docs``, all columns, that the fitted model does not call toxic.
+
+    Null and empty texts stay; repeated rows stay or go together; extra columns, clashing
+    ones too, come through; without labels, or for an empty table, nothing goes.
+    """
     model = fit(docs, labels, text_col=text_col)
     prepare(docs.sparkSession)
     return docs.where(toxicity(F.col(f"`{text_col}`"), model)["score"] < 0.5)

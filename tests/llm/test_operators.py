@@ -54,6 +54,13 @@ def test_longest_match_counts_equal_brute_force():
             assert a.count(s) == greedy(s, pieces)
 
 
+def test_vocabularies_that_begin_alike_do_not_share_counts(spark):
+    begin = ["▁", *(chr(0x4E00 + k) for k in range(70))]
+    d = frame(spark, [(1, "ab ab")])
+    of = lambda pieces: d.select(token_counts.token_counts(F.col("text"), begin + pieces).alias("c")).first().c.n_tokens
+    assert of(["▁ab", "a"]) == 2 and of(["a", "b"]) == 6
+
+
 def test_token_counts_on_odd_rows(spark, odd):
     got = token_counts.count_documents(odd, public_tokenizers.path("piece_bpe_32k.model"))
     rows = got.collect()
@@ -199,6 +206,22 @@ def test_toxicity_on_odd_rows_and_without_labels(spark, odd):
     assert toxicity.score_documents(odd, some).count() == len(ODD)
 
 
+def test_toxicity_scores_do_not_depend_on_letters_that_grow(spark):
+    model = toxicity.Model(-4.0, {"vileword": 8.0})
+    (plain, spans), (odd, odd_spans) = (model.score(t) for t in ("you VILEWORD", "you VILEWORD İ"))
+    assert plain == odd > 0.9 and spans[0][:2] == (0, 12) and odd_spans[0][:2] == (0, 14)
+    assert toxicity.lowered("İI") == "ii"
+
+
+def test_training_rows_are_one_an_id_and_bounded(spark):
+    rows = [(k % 50, "text " * (k % 7 + 1)) for k in range(400)] + [(None, "x"), (7, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.training_rows(frame(spark, rows), labels, "doc_id", "text", "toxic", 1000).collect()
+    assert len(got) == len({r._id for r in got}) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(50))
+    few = toxicity.training_rows(frame(spark, rows), labels, "doc_id", "text", "toxic", 1000, max_chars=300).collect()
+    assert 0 < len(few) < len(got) and sum(len(r._text) for r in few) <= 300
+
+
 # --- licenses -------------------------------------------------------------------------
 
 
