@@ -3,29 +3,29 @@
 View one is the text itself: shares of kinds of characters, repetition of words, the make-up
 of lines.  View two is what is known about the document without reading it: language,
 source, size and layout.  Each view has its own logistic classifier.  In each round, each
-classifier labels the documents of an unlabelled pool that it is surest about, as many of
-either kind as its training labels suggest, and hands them to the *other* one.  Then each view is
+classifier scores all unlabelled documents and labels those that it is surest about, as many
+of either kind as the labels suggest, and hands them to the *other* one.  Then each view is
 calibrated on labelled documents that took no part, and a logistic model over the two calibrated log-odds scores every document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, prepare
+from quarry.llm.common import KeyFilter, arrow_map, materialize, prepare
 from quarry.llm.words import blocks, hash_words, mix
 
-#: Labelled documents and documents of the pool that the models are fitted on, at most; the
-#: smallest by hash of the id.  The driver holds their features, some 100 numbers each.
-MAX_LABELLED, MAX_POOL = 20_000, 20_000
+#: Labelled documents that the models are fitted on, at most; the smallest by hash of the id.
+#: The driver holds their features, some 100 numbers each.
+MAX_LABELLED = 20_000
 ROUNDS = 4
-#: Share of the pool that a view hands over in a round, and how sure it must be.
+#: Documents that a view hands over in a round, as a share of the labelled ones, and how sure it must be.
 HANDED, SURE = 0.1, 0.95
 #: Every fifth labelled document is held out; of the others every fourth calibrates.
 FOLDS = 5
@@ -146,8 +146,12 @@ def _constant(width: int, p: float) -> Logistic:
     return Logistic(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(p / (1 - p))))
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> Model:
-    """Fit both views on labelled rows ``x, y`` with the help of the unlabelled ``pool``."""
+#: Of the views, numbers of documents wanted by kind, and ids that are taken: (view, kind, ids, features of both views).
+Hand = Callable[[list[Logistic], dict[float, int], set[int]], list[tuple[int, float, list[int], list[np.ndarray]]]]
+
+
+def co_train(x: list[np.ndarray], y: np.ndarray, hand: Hand, rounds: int = ROUNDS) -> Model:
+    """Fit both views on labelled rows ``x, y`` with the unlabelled ones that ``hand`` gives."""
     if len(y) < 8 or not 0 < y.mean() < 1:
         p = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         widths = [TEXT_FEATURES, META_FEATURES]
@@ -158,25 +162,18 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
     cal = kept if kept.any() else np.ones(len(y), dtype=bool)
     rows = [[f[~kept]] for f in x]
     labels = [[y[~kept]] for _ in x]
-    free = np.ones(len(pool[0]), dtype=bool)
-    share = y.mean()
+    taken: set[int] = set()
+    wanted = {kind: int(HANDED * len(y) * part) for kind, part in ((1.0, y.mean()), (0.0, 1 - y.mean()))}
     views = [fit_logistic(np.vstack(r), np.concatenate(v)) for r, v in zip(rows, labels, strict=True)]
-    for _ in range(rounds if len(free) else 0):
-        given = []
-        for k in (0, 1):
-            p = _sigmoid(views[k].logit(pool[k]))
-            for kind, part in ((1.0, share), (0.0, 1 - share)):
-                sure = p if kind else 1 - p
-                n = int(HANDED * len(free) * part)
-                best = np.argsort(-np.where(free, sure, -1), kind="stable")[:n]
-                best = best[free[best] & (sure[best] >= SURE)]
-                free[best] = False
-                given.append((1 - k, best, kind))
-        if not any(len(b) for _, b, _ in given):
+    for _ in range(rounds):
+        given = hand(views, wanted, taken)
+        if not any(ids for _, _, ids, _ in given):
             break
-        for k, best, kind in given:
-            rows[k].append(pool[k][best])
-            labels[k].append(np.full(len(best), kind))
+        for k, kind, ids, features in given:
+            other = 1 - k
+            taken.update(ids)
+            rows[other].append(features[other])
+            labels[other].append(np.full(len(ids), kind))
         views = [fit_logistic(np.vstack(r), np.concatenate(v)) for r, v in zip(rows, labels, strict=True)]
     own = [v.logit(f[cal])[:, None] for v, f in zip(views, x, strict=True)]
     calibration = [fit_logistic(o, y[cal]) for o in own]
@@ -191,13 +188,75 @@ def _columns(docs: DataFrame, cols: dict[str, str]) -> list[Column]:
     return [get("id", "long").alias("id"), text.alias("text"), get("lang", "string").alias("lang"), get("source", "string").alias("source"), F.char_length(text).alias("n_chars"), (F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1).alias("n_lines")]
 
 
-def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(x: np.ndarray) -> pa.ListArray:
+    width = x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * width + 1, width, dtype=np.int32)), pa.array(x.ravel()))
+
+
+def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text view takes the place of the text."""
     for batch in batches:
-        c = [x.to_pylist() for x in batch.columns]
-        both = np.hstack([text_features(c[1]), meta_features(*c[2:6])])
-        width = both.shape[1]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(both) * width + 1, width, dtype=np.int32)), pa.array(both.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(6), lists], ["id", "label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(text_features(batch.column(1).to_pylist())), *batch.columns[2:]], ["id", "x", *batch.schema.names[2:]])
+
+
+META = "lang string, source string, n_chars int, n_lines int"
+PICKED = "view int, kind double, sure double, place long, id long, both array<float>"
+
+
+def _both(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """Both views of the rows of a table of text views."""
+    return [batch.column(1).flatten().to_numpy().reshape(-1, TEXT_FEATURES), meta_features(*(c.to_pylist() for c in batch.columns[2:6]))]
+
+
+def _surest(views: list[Logistic], wanted: dict[float, int], taken: set[int]):
+    """Of a task's documents, those that each view is surest about; ties go by a hash of the id."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, float], tuple[np.ndarray, ...]] = {}
+        for batch in batches:
+            x, ids = _both(batch), batch.column(0).to_numpy()
+            free = ~np.isin(ids, list(taken))
+            place = (mix(ids.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+            for view in (0, 1):
+                p = _sigmoid(views[view].logit(x[view]))
+                for kind, n in wanted.items():
+                    sure = p if kind else 1 - p
+                    good = np.flatnonzero(free & (sure >= SURE))
+                    own = (sure[good], place[good], ids[good], np.hstack(x)[good])
+                    if (view, kind) in best:
+                        own = tuple(np.concatenate(c) for c in zip(best[view, kind], own, strict=True))
+                    top = np.lexsort((own[2], own[1], -own[0]))[:n]
+                    best[view, kind] = tuple(c[top] for c in own)
+        for (view, kind), (sure, place, ids, both) in best.items():
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([view] * n, pa.int32()), pa.array([kind] * n, pa.float64()), pa.array(sure, pa.float64()), pa.array(place, pa.int64()), pa.array(ids, pa.int64()), _lists(both.astype(np.float32))], [c.split()[0] for c in PICKED.split(", ")])
+
+    return task
+
+
+def unlabelled(pool: DataFrame) -> Hand:
+    """Hands over documents of a stored table of text views: id, x and the columns of ``META``.
+
+    A round is one pass over the table.  Each task hands on its surest documents, of which
+    the surest of all go to the driver, so many as are wanted.
+    """
+
+    def hand(views: list[Logistic], wanted: dict[float, int], taken: set[int]) -> list[tuple[int, float, list[int], list[np.ndarray]]]:
+        top = Window.partitionBy("view", "kind").orderBy(F.desc("sure"), "place", "id")
+        most = F.when(F.col("kind") > 0, wanted[1.0]).otherwise(wanted[0.0])
+        picked = arrow_map(pool, _surest(views, wanted, taken), PICKED).dropDuplicates(["view", "kind", "id"])
+        rows = picked.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= max(wanted.values())).where(F.col("rank") <= most).collect()
+        out, gone = [], set()
+        for view in (0, 1):
+            for kind in wanted:
+                own = [r for r in rows if (r["view"], r["kind"]) == (view, kind) and r["id"] not in gone]
+                own.sort(key=lambda r: r["rank"])
+                gone.update(r["id"] for r in own)
+                both = np.array([r["both"] for r in own], dtype=float).reshape(-1, TEXT_FEATURES + META_FEATURES)
+                out.append((view, kind, [r["id"] for r in own], [both[:, :TEXT_FEATURES], both[:, TEXT_FEATURES:]]))
+        return out
+
+    return hand
 
 
 def held_out(doc_id: Column) -> Column:
@@ -207,28 +266,31 @@ def held_out(doc_id: Column) -> Column:
 COLUMNS = {"id": "doc_id", "text": "text", "lang": "lang", "source": "source"}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", columns: dict[str, str] = COLUMNS, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
-    own = docs.select(*_columns(docs, columns))
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", columns: dict[str, str] = COLUMNS, max_labelled: int = MAX_LABELLED) -> Model:
+    """Fit on at most ``max_labelled`` labelled ids that are not held out, and on all unlabelled ones.
+
+    Null ids and labels take no part; of conflicting labels of an id the lower counts, of its
+    rows the greatest; an empty table or labels of one kind give a constant model.
+    """
+    own = docs.select(*_columns(docs, columns)).where(F.col("id").isNotNull())
+    read = materialize(arrow_map(own, _read_texts, f"id long, x array<float>, {META}"), "text-views")
     key = F.col(f"`{columns['id']}`").cast("long")
-    known = labels.select(key.alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
-    known = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    # The pool: documents without a label.  Both tables are bounded, hence the broadcasts.
-    names = labels.select(key.alias("id")).distinct()
-    pool = own.select("id").where(F.col("id").isNotNull()).join(names, "id", "left_anti").distinct().orderBy(F.xxhash64("id"), "id").limit(max_pool)
-    wanted = known.unionByName(pool.select("id", F.lit(None).cast("int").alias("label")))
-    rows = arrow_map(own.join(F.broadcast(wanted), "id").select("id", "text", "lang", "source", "n_chars", "n_lines", "label"), _featurize, "id long, label int, x array<float>").collect()
-    rows.sort(key=lambda r: (r["id"], r["x"]))
-    x = np.array([r["x"] for r in rows], dtype=float).reshape(-1, TEXT_FEATURES + META_FEATURES)
-    is_known = np.array([r["label"] is not None for r in rows], dtype=bool)
-    y = np.array([float(r["label"] > 0) for r in rows if r["label"] is not None])
-    views = [x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:]]
-    return co_train([v[is_known] for v in views], y, [v[~is_known] for v in views])
+    names = materialize(labels.select(key.alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(F.col("id").isNotNull()), "labels")
+    known = names.where(F.col("label").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    # Bounded by max_labelled rows of 12 bytes, hence the broadcast.
+    values = F.struct("lang", "source", "n_chars", "n_lines", "x")
+    rows = read.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.max(values).alias("v")).orderBy(F.xxhash64("id"), "id").collect()
+    x = [np.array([r["v"]["x"] for r in rows], dtype=float).reshape(-1, TEXT_FEATURES), meta_features(*([r["v"][c] for r in rows] for c in ("lang", "source", "n_chars", "n_lines")))]
+    y = np.array([float(r["label"] > 0) for r in rows])
+    labelled = KeyFilter(names, "id")
+    pool = labelled.never(read, "id").unionByName(labelled.maybe(read, "id").join(names, "id", "left_anti"))
+    return co_train(x, y, unlabelled(materialize(pool, "unlabelled")))
 
 
 SCORED = "struct<score: double, text_score: double, meta_score: double>"
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", columns: dict[str, str] = COLUMNS, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", columns: dict[str, str] = COLUMNS, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted, text_score, meta_score for every row of ``docs``.
 
     Scores are probabilities that the label is 1.  Nulls in any column are a value of their
@@ -236,7 +298,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     labels of one id the lower counts; without labels of both kinds every document gets
     one constant score; repeated rows each get a row.
     """
-    model = fit(docs, labels, label_col, columns, max_labelled, max_pool)
+    model = fit(docs, labels, label_col, columns, max_labelled)
 
     @F.arrow_udf(SCORED)
     def score(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array, n_lines: pa.Array) -> pa.Array:

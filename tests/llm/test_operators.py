@@ -503,3 +503,17 @@ def test_quality_held_out_accuracy(spark):
 def test_quality_on_odd_rows(spark, odd):
     rows = quality.score_documents(odd.drop("lang").withColumn("source", F.lit(None).cast("string")), spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert len(rows) == len(ODD) and len({round(r.score, 9) for r in rows}) == 1
+
+
+def test_pseudo_labels_are_the_surest_of_all_documents(spark):
+    rng = np.random.default_rng(37)
+    rows = [(int(k), rng.random(quality.TEXT_FEATURES).astype(np.float32).tolist(), "en", "s", 100, 2) for k in range(500)]
+    pool = spark.createDataFrame(rows, f"id long, x array<float>, {quality.META}").repartition(7)
+    w = rng.normal(size=quality.TEXT_FEATURES) * 4
+    views = [quality.Logistic(np.zeros(len(w)), np.ones(len(w)), w, -float(w.sum()) / 2), quality._constant(quality.META_FEATURES, 0.5)]
+    taken = {3, 5, 8}
+    got = quality.unlabelled(materialize(pool, "pool"))(views, {1.0: 12, 0.0: 7}, taken)
+    p = {r[0]: 1 / (1 + np.exp(-views[0].logit(np.array(r[1])[None])[0])) for r in rows if r[0] not in taken}
+    for view, kind, ids, both in got:
+        want = sorted((i for i in p if (p[i] if kind else 1 - p[i]) >= quality.SURE), key=lambda i: -p[i] if kind else p[i])[: 12 if kind else 7] if view == 0 else []
+        assert ids == want and both[0].shape == (len(ids), quality.TEXT_FEATURES)
