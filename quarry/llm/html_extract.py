@@ -2,7 +2,7 @@
 
 A page becomes a flat list of text blocks.  A block knows its word count, its link density
 (share of its words inside links), the same of its two neighbours, and where it stands
-(inside an article, inside page furniture, under a class or id that names furniture).  A
+(inside an article, inside page furniture, and how surely a class or id names furniture).  A
 decision tree, trained on the labelled table below, tells content from the rest.
 """
 
@@ -27,11 +27,17 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 FURNITURE = {"nav", "footer", "aside", "form", "menu", "dialog", "header", "fieldset"}
 CONTENT = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words in class, id or role that name page furniture, and those that name content.
+#: Words in class, id or role that name page furniture, alone or in a longer name.
 _FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|toast|sidebar|side|rail|widget\w*|menu\w*|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|discussion|disqus|share\w*|sharing|social\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|search\w*|popup|modal|overlay|paywall|pagination|pager|tags|taglist|copyright|legal|disclaimer|skip\w*|navigation|complementary|contentinfo)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|toast|sidebar|widget\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|toolbar|comments?|commentlist|respond|replies|disqus|share|sharing|social\w*|related|recommend\w*|newsletter|subscri\w*|signup|login|searchbox|searchform|popup|modal|overlay|paywall|pagination|pager|taglist|complementary|contentinfo)(?=$|[\s_-])|(?:^|\s)(?:site|page|top|global)[_-]header(?=$|\s)",
     re.I,
 )
+#: Words that name furniture when they are the whole name of a container, and say little otherwise.
+_WEAK = "side|rail|foot|header|alert|legal|discussion|search\\w*|nav\\w*|tags|copyright|disclaimer|skip\\w*|reply|shar\\w+"
+_WEAK_NAMES = re.compile(rf"(?:^|(?<=\s))(?:{_WEAK})(?=$|\s)", re.I)
+_WEAK_WORDS = re.compile(rf"(?:^|[\s_-])(?:{_WEAK})(?=$|[\s_-])", re.I)
+#: Headers of an article, whatever element they are.
+_OWN_HEADER = re.compile(r"(?:^|(?<=\s))(?:entry|article|post|story|content|section)[_-]?header(?=$|\s)", re.I)
 _CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|posts|entry|story|body|text|prose|page-content|hentry)(?=$|[\s_-])", re.I)
 
 #: Classes of a layout that say what stands beside, as in has-sidebar.
@@ -41,8 +47,21 @@ _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: Elements whose end closes furniture are tracked up to this depth; deeper ones count as their parent.
-MAX_DEPTH = 10_000
+#: Elements that hold text themselves; a weak name says less about them than about a container.
+TEXTUAL = HEADINGS | INLINE | {"p", "li", "pre", "blockquote", "td", "th", "dt", "dd", "figcaption"}
+#: Elements that a stray end tag of an inner element doesn't close.
+BARRIERS, INNER = FURNITURE | CONTENT, INLINE | {"p", "li"}
+
+
+def _named(value: str, tag: str, in_article: bool) -> float:
+    """How surely a class, id or role names page furniture: 1, 0.5 or 0."""
+    value = _OWN_HEADER.sub("", _LAYOUT_WORDS.sub("", value))
+    if _FURNITURE_WORDS.search(value):
+        return 1.0
+    weak = _WEAK_NAMES.search(value)
+    if weak and tag not in TEXTUAL:
+        return 0.0 if in_article and weak[0].lower() == "header" else 1.0
+    return 0.5 if _WEAK_WORDS.search(value) else 0.0
 
 
 @dataclass
@@ -52,7 +71,7 @@ class Block:
     link_words: int
     article: bool
     furniture: bool
-    named: bool
+    named: float
     heading: bool
 
 
@@ -62,7 +81,10 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     link_parts: list[str] = []
     # Open elements: (tag, article, furniture, named, dropped, heading, link).
-    stack: list[tuple] = [("", False, False, False, False, False, False)]
+    stack: list[tuple] = [("", False, False, 0.0, False, False, False)]
+    # Places in the stack by tag, and of the elements that stray end tags don't leave.
+    places: dict[str, list[int]] = {}
+    barriers: list[int] = [0]
     at, n, lower, begun = 0, len(page), None, False
 
     def flush() -> None:
@@ -76,6 +98,13 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
             link_parts.clear()
 
+    def close(depth: int) -> None:
+        """Close all elements from ``depth`` on."""
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
+        while barriers[-1] >= depth:
+            barriers.pop()
+
     def add(text: str) -> None:
         if text and not stack[-1][4]:
             parts.append(text)
@@ -116,12 +145,8 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if stack[k][0] in FURNITURE | CONTENT and tag in INLINE | {"p", "li"}:
-                    break  # a stray inner end tag doesn't close the furniture around it
+            if (own := places.get(tag)) and (tag not in INNER or own[-1] > barriers[-1]):
+                close(own[-1])
             continue
         if tag in RAW:
             if lower is None:
@@ -134,9 +159,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or m[2].endswith("/"):
             continue
         if tag == "p" and stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li":
-            stack.pop()
+            close(len(stack) - 1)
         top = stack[-1]
-        named, dropped, said_content = top[3], top[4] or tag in DROPPED, False
+        own_name, dropped, said_content = 0.0, top[4] or tag in DROPPED, False
         if m[2]:
             for key, a, b, c in _ATTR.findall(m[2]):
                 value, key = a or b or c, key.lower()
@@ -145,16 +170,19 @@ def blocks_of(page: str) -> list[Block]:
                 elif key == "hidden" or key == "aria-hidden":
                     dropped |= key == "hidden" or value.lower() == "true"
                 elif tag not in ("body", "html") and not (tag == "header" and top[1]):
-                    named |= bool(_FURNITURE_WORDS.search(_LAYOUT_WORDS.sub("", value)))
+                    own_name = max(own_name, _named(value, tag, top[1]))
                     said_content |= bool(_CONTENT_WORDS.search(value))
+        named = max(top[3], own_name)
         if tag in CONTENT and not begun and not top[2]:
             # The page's first article or main part counts whatever its wrappers are named.
-            begun, named = True, named and not top[3]
+            begun, named = True, 0.0 if top[3] else own_name
         article = top[1] or tag in CONTENT or said_content and not named
         # A heading block of an article may stand in its own header element.
         furniture = top[2] or tag in FURNITURE and not (tag == "header" and top[1])
-        if len(stack) < MAX_DEPTH:
-            stack.append((tag, article, furniture, named, dropped, top[5] or tag in HEADINGS, top[6] or tag == "a"))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BARRIERS:
+            barriers.append(len(stack))
+        stack.append((tag, article, furniture, named, dropped, top[5] or tag in HEADINGS, top[6] or tag == "a"))
     flush()
     return out
 
@@ -210,6 +238,12 @@ LABELLED = np.array([
     [2, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 1], [8, 0.0, 2, 1.0, 70, 0.0, 0, 0, 0, 1, 1], [5, 0.0, 60, 0.0, 80, 0.0, 0, 0, 0, 1, 1],
     [200, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1], [100, 0.2, 5, 1.0, 5, 1.0, 0, 0, 0, 0, 1], [50, 0.3, 60, 0.0, 60, 0.0, 0, 0, 0, 0, 1],
     [30, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 1], [70, 0.0, 10, 0.0, 0, 0.0, 0, 0, 0, 0, 1],
+    # weak names: words and links decide
+    [40, 0.0, 10, 0.0, 40, 0.0, 1, 0, 0.5, 0, 1], [90, 0.0, 4, 0.0, 0, 0.0, 1, 0, 0.5, 0, 1], [7, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0.5, 0, 1],
+    [5, 0.0, 0, 0.0, 40, 0.0, 1, 0, 0.5, 1, 1], [2, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0.5, 0, 1], [15, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0.5, 0, 1],
+    [60, 0.0, 3, 0.0, 50, 0.0, 0, 0, 0.5, 0, 1], [30, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0.5, 0, 1], [80, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0.5, 0, 1],
+    [3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0.5, 0, 0], [6, 0.0, 60, 0.0, 2, 0.0, 0, 0, 0.5, 0, 0], [12, 0.3, 3, 0.0, 5, 0.0, 0, 0, 0.5, 0, 0],
+    [4, 1.0, 3, 1.0, 3, 1.0, 1, 0, 0.5, 0, 0], [6, 1.0, 20, 0.0, 6, 1.0, 0, 0, 0.5, 0, 0], [3, 1.0, 80, 0.0, 3, 1.0, 1, 0, 0.5, 0, 0],
 ])
 
 

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -165,6 +166,77 @@ def test_malformed_pages_do_not_raise(page):
     assert isinstance(html_extract.main_text(page, TREE), str)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><div class="entry-header"><h1>The head line</h1></div><p>Some text of the article.</p></article>', "The head line Some text of the article."),
+        ('<article><div class="left-side"><p>Some text of the article.</p><p>And more of it here.</p></div></article>', "Some text of the article. And more of it here."),
+        ('<article><h1>Head</h1><div class="discussion-section"><p>Some text of the article.</p></div></article>', "Head Some text of the article."),
+        ('<article><p>Some text.</p><p class="legal">The court has ruled on it.</p></article>', "Some text. The court has ruled on it."),
+        ('<article><p>Some text.</p></article><div class="sidebar">' + "<div>" * 10_050 + "Buy this" + "</div>" * 10_050 + "</div>", "Some text."),
+        ('<article><p>Some text.</p><section class="comments"><p>Reader: no.</p></section></article>', "Some text."),
+        ('<div class="site-header">My Site</div><main><p>Some text of it.</p></main><div class="alert">Read me now</div><div class="legal">All rights reserved</div>', "Some text of it."),
+        ('<article><p>One.</p></nav></div></section><p>Two.</p></article>', "One. Two."),
+    ],
+)
+def test_names_are_weak_where_they_may_mean_layout(page, text):
+    assert html_extract.main_text(page, TREE) == text
+
+
+def test_stray_tags_take_linear_time():
+    begun = time.perf_counter()
+    html_extract.blocks_of("<div>" * 100_000 + "<p>x" + "</section></i>" * 60_000 + "</div>" * 100_000)
+    assert time.perf_counter() - begun < 8
+
+
+def held_out_pages(n):
+    """Pages made from other parts than the tree's table, with the text that an editor would take."""
+    rng = random.Random(43)
+    words = lambda a, b: " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(a, b))).capitalize() + "."
+    link = lambda: f"<a href=/x>{words(1, 4)}</a>"
+    before = [
+        lambda: f"<nav class=primary><ul>{''.join(f'<li>{link()}</li>' for _ in range(6))}</ul></nav>",
+        lambda: f"<div id='top-menu'>{link()} | {link()} | {link()}</div>",
+        lambda: f"<header role=banner><a href=/>{words(1, 3)}</a><p>{words(4, 9)}</p></header>",
+        lambda: f"<div class='cookie-consent'>{words(15, 30)}</div>",
+        lambda: f"<div class='breadcrumb'>{link()} &gt; {link()}</div>",
+        lambda: f"<table class=masthead><tr><td>{words(2, 5)}</td></tr></table>",
+    ]
+    after = [
+        lambda: f"<footer><p>{words(5, 25)}</p>{link()}</footer>",
+        lambda: f"<aside><h3>{words(1, 3)}</h3>{link()}{link()}</aside>",
+        lambda: f"<div class='related-posts'><h2>{words(1, 3)}</h2><p>{words(20, 60)}</p></div>",
+        lambda: f"<section id='comments'><div class='comment'><p>{words(10, 80)}</p></div></section>",
+        lambda: f"<form action=/s><label>{words(2, 6)}</label><input></form>",
+        lambda: f"<div class='social-share'>{link()}{link()}</div>",
+        lambda: f"<ul>{''.join(f'<li>{link()}</li>' for _ in range(5))}</ul>",
+    ]
+    wrappers = ["<article>{}</article>", "<main id=main>{}</main>", "<div class='post-content'>{}</div>", "<div class='left-side'>{}</div>", "<div>{}</div>", "<article class='has-sidebar'><div class='entry-body'>{}</div></article>"]
+    for _ in range(n):
+        parts, out = [], []
+        head = words(3, 9)
+        parts.append(rng.choice(["<h1>{}</h1>", "<div class='entry-header'><h1>{}</h1></div>", "<h1 class=title>{}</h1>"]).format(head))
+        out.append(head)
+        for _ in range(rng.randrange(3, 8)):
+            t = words(20, 90)
+            parts.append(rng.choice(["<p>{}</p>", "<p>{}", "<p class=lead>{}</p>", "<blockquote>{}</blockquote>"]).format(t))
+            out.append(t)
+        body = rng.choice(wrappers).format("\n".join(parts))
+        page = "<html><body>" + "".join(f() for f in rng.sample(before, 3)) + body + "".join(f() for f in rng.sample(after, 3)) + "</body></html>"
+        yield page, " ".join(out)
+
+
+def test_main_text_of_held_out_pages():
+    right = shared = wanted = taken = 0
+    for page, text in held_out_pages(200):
+        got = html_extract.main_text(page, TREE)
+        right += got == text
+        a, b = collections.Counter(got.split()), collections.Counter(text.split())
+        shared, wanted, taken = shared + sum((a & b).values()), wanted + sum(b.values()), taken + sum(a.values())
+    print(f"whole pages {right / 200:.3f}, words found {shared / wanted:.4f}, words right {shared / taken:.4f}")
+    assert right >= 170 and shared / wanted > 0.99 and shared / taken > 0.97
+
+
 def test_tree_fits_its_table():
     assert (TREE.predict(html_extract.LABELLED[:, :-1]) == html_extract.LABELLED[:, -1]).all()
 
