@@ -1,29 +1,42 @@
 """Bulk-synchronous best-fit packing of token pieces into sequences of a fixed length.
 
-Lengths are integers from 1 to the sequence length, so the range-sorted documents and the
-range-sorted gaps are both sorted sequences of *runs*: a run of pieces is all pieces of one
-length, a run of gaps is an interval of sequences with one free length.  A superstep takes
-the next run of pieces (longest first), sweeps the gaps from its successor (the smallest
-gap that holds the length) upwards, lets ranks settle who gets which gap (piece ``i`` of
-the run takes gap ``i`` of the sweep, the rest moves on to the next gap or opens
-sequences), cuts the gap runs that were hit, and repeats.  A superstep therefore moves whole
-runs, not pieces: the plan is made of at most a few thousand runs whatever the number of
-documents, and only its application touches the pieces:
-
-1. executors encode texts and cut them; each piece is written with its rank among the
-   pieces of its length in its task (no shuffle),
-2. pieces per (length, task) are counted and prefix-summed: the rank in the whole run,
-3. the driver gets one count per length (``max_len`` rows at most) and plans,
-4. the plan's runs are broadcast (a bounded table) and joined on length and rank.
+Lengths are integers from 1 to the sequence length, so the range-sorted pieces and the
+range-sorted gaps are both sorted tables of *runs*: a run of pieces is all pieces of one
+length, known by rank; a run of gaps is an interval of sequences with one free length.  The
+runs take part in supersteps until no piece is left:
+
+1. **Sort.**  The gaps and the longest pieces left (those longer than half of the longest)
+   are sorted together by size, gaps before pieces of the same size.
+2. **Sweep.**  Longest first, each run of pieces sweeps the gaps from its successor, the smallest
+   that holds it, upwards.  Prefix sums tell how many gaps lie open at every place of the
+   order; a piece takes the gap that was opened last at the depth which it closes, as
+   brackets match.
+3. **Conflicts.**  Pieces of a run, and runs that want the same gaps, are settled by rank: by
+   their place in the order and then within the run.  Who gets none waits for the next superstep.
+4. **Update.**  Gaps that took pieces are cut; where a piece finds no gap at all,
+   sequences are opened.
+
+A sequence takes as many pieces of one length at once as its run's successor holds, so the number of
+supersteps grows with the logarithm of the length and not with the documents.  All
+tables of a superstep are DataFrames of at most a few thousand rows, whatever the number of
+documents, so each is held in one partition and its windows shuffle nothing.  Only the
+first and the last step touch pieces:
+
+* executors encode texts and cut them; each piece is written with its rank among the pieces
+  of its length in its task (no shuffle); pieces per (length, task) are counted and
+  prefix-summed, which gives the rank in the whole run,
+* the runs of the result are broadcast (a bounded table) and joined on length and rank.
 """
 
 from __future__ import annotations
 
+import contextlib
+import math
 import struct
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
-from dataclasses import dataclass
+from fractions import Fraction
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,57 +48,105 @@ from quarry.llm.tokens import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
 
-@dataclass(frozen=True)
-class Placed:
-    """Pieces of ``length`` with ranks from ``lo`` to before ``hi`` lie in sequences from ``sequence``, at ``offset``."""
-
-    length: int
-    lo: int
-    hi: int
-    sequence: int
-    offset: int
-
-
-def plan(counts: dict[int, int], max_len: int) -> list[Placed]:
-    """Best-fit decreasing over runs.  ``counts``: pieces of each length.
-
-    The result equals best fit one piece at a time, ties broken by rank: within a run each
-    piece takes the smallest gap that holds it, counting gaps that the run itself has cut.
+#: A row of what a superstep leaves.  ``gap``: sequences from ``lo`` to before ``hi`` have ``size`` free.  ``placed``:
+#: pieces of length ``size`` with ranks from ``lo`` to before ``hi`` lie in sequences from ``sequence`` on,
+#: ``per`` in each, the first at ``offset``.
+RUNS = "kind string, size long, lo long, hi long, per long, sequence long, offset long"
+#: Pieces that are left: their length and ranks.
+LEFT = "size long, lo long, hi long"
+
+
+def _run(kind: str, **columns: str) -> str:
+    names = [c.split()[0] for c in RUNS.split(", ")][1:]
+    values = ", ".join(f"'{n}', cast({columns.get(n, 'null')} as bigint)" for n in names)
+    return f"named_struct('kind', '{kind}', {values})"
+
+
+def _events(gaps: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Sorted gaps and pieces of a superstep (is_piece): place, size, lo and hi of pieces, how many fit a gap, and the depths they open or close."""
+    order = Window.orderBy(F.desc("size"), "is_piece")
+    gaps = gaps.groupBy("size").agg(F.sum(F.expr("hi - lo")).alias("hi")).select("size", F.lit(False).alias("is_piece"), F.lit(0).cast("long").alias("lo"), "hi")
+    both = gaps.unionByName(pieces.select("size", F.lit(True).alias("is_piece"), "lo", "hi"))
+    successor = F.last(F.when(~F.col("is_piece"), F.col("size")), ignorenulls=True).over(order)
+    both = both.withColumn("per", F.when(F.col("is_piece"), F.floor(successor / F.col("size"))).otherwise(1)).where("per is not null")
+    # Open gaps after each row: a prefix sum that does not fall below none.
+    units = F.expr("if(is_piece, -ceil((hi - lo) / per), hi - lo)").cast("long")
+    both = both.withColumn("total", F.sum(units).over(order)).withColumn("after", F.col("total") - F.least(F.min("total").over(order), F.lit(0)))
+    both = both.withColumn("before", F.coalesce(F.lag("after").over(order), F.lit(0))).withColumn("place", F.row_number().over(order))
+    return both.select("place", "size", "is_piece", "lo", "hi", "per", F.least("before", "after").alias("bottom"), F.greatest("before", "after").alias("top")).where("bottom < top")
+
+
+def _matches(events: DataFrame) -> DataFrame:
+    """Rows of one depth range: the pieces (is_piece, or gaps that stay open), the gaps' size, the first units of either, and how many."""
+    everything = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cuts = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("bottom", "top")).over(everything))))
+    reach = F.expr("slice(cuts, array_position(cuts, bottom), array_position(cuts, top) - array_position(cuts, bottom) + 1)")
+    ranges = F.expr("transform(slice(cuts, 1, size(cuts) - 1), (c, i) -> struct(c as from_, cuts[i + 1] as to_))")
+    parts = events.withColumn("cuts", cuts).withColumn("cuts", reach).withColumn("part", F.explode(ranges)).drop("cuts")
+    # At one depth gaps and pieces take turns.
+    turns = Window.partitionBy("part.from_").orderBy("place")
+    parts = parts.withColumn("gap", F.lag(F.struct("size", "bottom")).over(turns)).withColumn("taken", F.lead("place").over(turns).isNotNull()).where("is_piece or not taken")
+    return parts.select("size", "is_piece", "lo", "hi", "per", F.expr("top - part.to_").alias("unit"), F.expr("if(is_piece, gap.size, size)").alias("gap_size"), F.expr("part.from_ - if(is_piece, gap.bottom, bottom)").alias("gap"), F.expr("part.to_ - part.from_").alias("n"))
+
+
+def superstep(gaps: DataFrame, pieces: DataFrame, max_len: int) -> DataFrame:
+    """``RUNS`` that are there after ``pieces`` (``LEFT``) swept ``gaps`` (size, lo, hi)."""
+    runs = gaps.withColumn("cum", F.sum(F.expr("hi - lo")).over(Window.partitionBy("size").orderBy("lo")) - F.expr("hi - lo"))
+    runs = runs.select(F.col("size").alias("gap_size"), "cum", F.col("lo").alias("begin"), F.expr("hi - lo").alias("width"))
+    both = _matches(_events(gaps, pieces)).join(runs, "gap_size").withColumn("a", F.greatest("gap", "cum")).withColumn("b", F.expr("least(gap + n, cum + width)")).where("a < b")
+    both = both.withColumn("at", F.expr("begin + a - cum")).withColumn("r0", F.expr("lo + (unit + a - gap) * per")).withColumn("r1", F.expr("least(hi, lo + (unit + b - gap) * per)"))
+    placed = _run("placed", size="size", lo="r0", hi="r1", per="per", sequence="at", offset=f"{max_len} - gap_size")
+    full = _run("gap", size="gap_size - size * per", lo="at", hi="at + (r1 - r0) div per")
+    part = _run("gap", size="gap_size - size * ((r1 - r0) % per)", lo="at + (r1 - r0) div per", hi="at + (r1 - r0) div per + if((r1 - r0) % per > 0, 1, 0)")
+    still = _run("gap", size="gap_size", lo="at", hi="at + b - a")
+    return both.select(F.explode(F.expr(f"if(is_piece, array({placed}, {full}, {part}), array({still}))")).alias("run")).select("run.*").where("size > 0 and lo < hi")
+
+
+@contextlib.contextmanager
+def _tiny(spark: SparkSession) -> Iterator[None]:
+    """For tables of a few thousand rows code is not worth generating, nor plans worth changing as they run."""
+    keys = ("spark.sql.codegen.wholeStage", "spark.sql.adaptive.enabled")
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "false")
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def plan(counts: DataFrame, max_len: int) -> DataFrame:
+    """Where the pieces lie: ``RUNS`` of kind ``placed``.  ``counts``: length, n of all pieces.
+
+    Of each superstep the driver gets one number a length, the pieces placed, and the
+    largest gap, to tell how many sequences the next one opens.
     """
-    out: list[Placed] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # free length -> intervals of sequences
-    sizes: list[int] = []  # its keys, sorted
-    opened = 0
-
-    def put(size: int, first: int, n: int) -> None:
-        if size > 0 and n > 0:
-            if size not in gaps:
-                gaps[size] = []
-                insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        if not 0 < length <= max_len:
-            raise ValueError(f"a piece of {length} tokens does not fit into {max_len}")
-        rank, left = 0, counts[length]
+    spark = counts.sparkSession
+    left = {r["length"]: (0, r["n"]) for r in counts.collect()}
+    if any(not 0 < x <= max_len for x in left):
+        raise ValueError(f"pieces must have 1 to {max_len} tokens")
+    gaps, out, opened, widest = spark.createDataFrame([], "size long, lo long, hi long"), [], 0, 0
+    with _tiny(spark):
         while left:
-            k = bisect_left(sizes, length)
-            if k == len(sizes):
-                # No gap holds it: open sequences for what fits in them, and sweep again.
-                n = -(-left // (max_len // length))
-                put(max_len, opened, n)
+            most = max(left)
+            own = sorted((x, lo, hi) for x, (lo, hi) in left.items() if x * 2 > most)
+            alone = [(hi - lo, max_len // x) for x, lo, hi in own if x > widest]
+            if alone:
+                # So many sequences hold them if each is filled with pieces of one length.
+                n = math.ceil(sum(Fraction(c, fit) for c, fit in alone))
+                gaps = gaps.unionByName(spark.createDataFrame([(max_len, opened, opened + n)], "size long, lo long, hi long"))
                 opened += n
-                k = bisect_left(sizes, length)
-            size = sizes[k]
-            first, n = gaps[size].pop()
-            if not gaps[size]:
-                del gaps[size], sizes[k]
-            take = min(n, left)
-            out.append(Placed(length, rank, rank + take, first, max_len - size))
-            put(size - length, first, take)
-            put(size, first + take, n - take)
-            rank, left = rank + take, left - take
-    return out
+            runs = materialize(superstep(gaps.coalesce(1), spark.createDataFrame(own, LEFT).coalesce(1), max_len).coalesce(1), "runs")
+            seen = runs.groupBy("kind", "size").agg(F.max("hi").alias("hi")).collect()
+            widest = max((r["size"] for r in seen if r["kind"] == "gap"), default=0)
+            for r in seen:
+                if r["kind"] == "placed":
+                    left[r["size"]] = (r["hi"], left[r["size"]][1])
+            left = {x: (lo, hi) for x, (lo, hi) in left.items() if lo < hi}
+            gaps = runs.where("kind = 'gap'").select("size", "lo", "hi")
+            out.append(runs.where("kind = 'placed'"))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], RUNS)
 
 
 def cut(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -127,20 +188,19 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: in
 def pack(pieces: DataFrame, max_len: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a *stored* table of pieces.
 
-    The table must be stored, since ranks refer to the tasks that wrote it.
+    The table must be stored, since ranks refer to the tasks that wrote it.  Ties of length go
+    by rank; other columns come through; an empty table gives none.
     """
-    spark = pieces.sparkSession
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     w = Window.partitionBy("length").orderBy("task")
     before = per_task.select("length", "task", (F.sum("n").over(w) - F.col("n")).alias("before"))
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = [(x.length, x.lo, x.hi, x.sequence, x.offset) for x in plan(counts, max_len)]
-    # The plan has a few runs per length at most; wide plans are cut by length, so a row
-    # meets only the runs of its own length.
-    table = F.broadcast(spark.createDataFrame(runs, "length long, lo long, hi long, sequence long, offset long"))
+    placed = plan(pieces.groupBy("length").agg(F.count("*").alias("n")), max_len)
+    # The plan has a few runs per length, so a row meets only the runs of its own length.
+    table = F.broadcast(placed.select(F.col("size").alias("length"), "lo", "hi", "per", "sequence", F.col("offset").alias("from")))
     ranked = pieces.join(before, ["length", "task"]).withColumn("_rank", F.col("before") + F.col("rank"))
-    placed = ranked.join(table, "length").where((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    return placed.withColumn("sequence_id", F.col("sequence") + F.col("_rank") - F.col("lo")).drop("_rank", "before", "rank", "task", "lo", "hi", "sequence")
+    out = ranked.join(table, "length").where((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).withColumn("_at", F.col("_rank") - F.col("lo"))
+    out = out.withColumn("sequence_id", F.expr("sequence + _at div per")).withColumn("offset", F.expr("`from` + (_at % per) * length"))
+    return out.drop("_rank", "_at", "before", "rank", "task", "lo", "hi", "per", "sequence", "from")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached_chunks: int | None = None) -> DataFrame:

@@ -511,25 +511,38 @@ def best_fit(counts, size):
     return len(gaps)
 
 
-def test_plan_is_valid_and_as_good_as_best_fit():
-    rng = random.Random(29)
-    for _ in range(60):
-        size = rng.randrange(5, 60)
-        counts = {k: rng.randrange(1, 30) for k in rng.sample(range(1, size + 1), rng.randrange(1, min(12, size)))}
-        used, placed = collections.defaultdict(list), collections.Counter()
-        for p in packing.plan(counts, size):
-            for r in range(p.lo, p.hi):
-                used[p.sequence + r - p.lo].append((p.offset, p.length))
-                placed[p.length] += 1
-        assert placed == counts
-        for parts in used.values():
-            at = 0
-            for offset, length in sorted(parts):
-                assert offset == at
-                at += length
-            assert at <= size
-        assert len(used) <= best_fit(counts, size) + 1
-        assert sorted(used) == list(range(len(used)))
+def check_plan(spark, counts, size):
+    """Whether the plan is whole and without overlap; how many sequences it takes."""
+    used, placed = collections.defaultdict(list), collections.defaultdict(list)
+    for p in packing.plan(spark.createDataFrame(sorted(counts.items()), "length long, n long"), size).collect():
+        for r in range(p.lo, p.hi):
+            used[p.sequence + (r - p.lo) // p.per].append((p.offset + (r - p.lo) % p.per * p.size, p.size))
+            placed[p.size].append(r)
+    assert {k: sorted(v) for k, v in placed.items()} == {k: list(range(n)) for k, n in counts.items()}
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= size
+    assert sorted(used) == list(range(len(used)))
+    return len(used)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_is_valid_and_as_good_as_best_fit(spark, seed):
+    rng = random.Random(29 + seed)
+    size = rng.randrange(20, 120)
+    counts = {k: rng.randrange(1, 30) for k in rng.sample(range(1, size + 1), rng.randrange(5, 18))}
+    assert check_plan(spark, counts, size) <= best_fit(counts, size) + 1
+
+
+def test_plan_of_one_length_and_of_none(spark):
+    assert check_plan(spark, {7: 1000}, 64) == -(-1000 // 9)
+    assert check_plan(spark, {64: 3, 1: 5}, 64) == 4
+    assert packing.plan(spark.createDataFrame([], "length long, n long"), 64).count() == 0
+    with pytest.raises(ValueError):
+        packing.plan(spark.createDataFrame([(65, 1)], "length long, n long"), 64)
 
 
 def test_packed_documents(spark, odd):
