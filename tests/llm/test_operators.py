@@ -297,7 +297,9 @@ def test_training_rows_are_one_an_id_and_bounded(spark):
 # --- licenses -------------------------------------------------------------------------
 
 
-def test_licenses_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [200, 9])
+def test_licenses_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(license_scan, "BLOCK_TEMPLATES", block)
     rng = random.Random(13)
     rows = []
     for k in range(30):
