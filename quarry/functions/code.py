@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.ship import ship
 from quarry.functions.text import extension, identifiers, split_identifier, token_estimate
 from quarry.registry import query
+from quarry.sources.snippets import CODE, expected_sql, snippets
 from quarry.sources.tables import table
 
 # --- Porter stemmer, from the published algorithm --------------------------------------
@@ -121,53 +122,14 @@ def strip_comments(code: Column) -> Column:
     return F.regexp_replace(code, r"^\s+|\s+$", "")
 
 
-def prune_tokens(docs: DataFrame, id_col: str, text_col: str, share: float, alpha: float) -> DataFrame:
-    """Drops the least informative words of each text, keeping order.
-
-    A word scores ``alpha`` times its self-information in the corpus plus the rest times its
-    relative frequency weighed by how diverse the text is; words from element
-    floor(n share) of the sorted scores on stay, and so do numbers, capitalized and dotted words.
-    """
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(F.filter(F.split(text_col, r"\s+"), lambda w: w != "")).alias("pos", "w"))
-    words = words.withColumn("k", F.lower("w"))
-    own = words.groupBy("id", "k").agg(F.count("*").alias("tf"), F.collect_list(F.struct("pos", "w")).alias("at"))
-    corpus = own.groupBy("k").agg(F.sum("tf").alias("cf"))
-    total = F.broadcast(corpus.agg(F.sum("cf").alias("all")))
-    doc = own.groupBy("id").agg(F.max("tf").alias("top"), F.count("*").alias("unique"))
-    scored = own.join(corpus.crossJoin(total), "k").join(doc, "id")
-    score = alpha * -F.log2(F.col("cf") / F.col("all")) + (1 - alpha) * (F.col("tf") / F.col("top")) * F.log2(1 + F.col("unique") / F.col("tf"))
-    rows = scored.select("id", F.explode("at").alias("a"), F.round(score, 9).alias("s")).select("id", "a.pos", "a.w", "s")
-    texts = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "w", "s"))).alias("l"))
-    cut = F.element_at(F.sort_array(F.transform("l", lambda x: x["s"])), (F.floor(F.size("l") * share) + 1).cast("int"))
-    # Bound by an outer lambda: as a column of its own, the cut would be sorted anew for every word.
-    keep = F.transform(F.array(cut), lambda c: F.filter("l", lambda x: (x["s"] >= c) | x["w"].rlike(r"^[A-Z]|[0-9]|\.\w")))
-    out = texts.withColumn("kept", F.element_at(keep, 1))
-    return out.select("id", F.size("l").cast("long").alias("words"), F.size("kept").cast("long").alias("kept"), F.array_join(F.transform("kept", lambda x: x["w"]), " ").alias("text"))
-
-
-_PRUNE_SQL = r"""w AS (SELECT doc_id AS id, string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS l FROM documents WHERE doc_id % 10 = 0), x AS (SELECT id, unnest(l) AS w, unnest(range(0, len(l))) AS pos FROM w), t AS (SELECT id, pos, w, lower(w) AS k FROM x WHERE w <> ''),
-  own AS (SELECT id, k, count(*) AS tf FROM t GROUP BY 1, 2), c AS (SELECT k, sum(tf) AS cf FROM own GROUP BY 1), d AS (SELECT id, max(tf) AS top, count(*) AS u FROM own GROUP BY 1),
-  s AS (SELECT t.id, pos, w, round(ALPHA * -log2(cf / (SELECT sum(cf) FROM c)) + (1 - ALPHA) * (tf / top) * log2(1 + u / tf), 9) AS s FROM t JOIN own USING (id, k) JOIN c USING (k) JOIN d USING (id)),
-  q AS (SELECT id, list_sort(list(s))[CAST(floor(count(*) * SHARE) AS BIGINT) + 1] AS cut, count(*) AS words FROM s GROUP BY 1)
-  SELECT id, any_value(words) AS words, count(*) FILTER (WHERE s >= cut OR regexp_matches(w, '^[A-Z]|[0-9]|\.[0-9A-Za-z_]')) AS kept FROM s JOIN q USING (id) GROUP BY 1"""
-
-
-@query("t9_medium_pruning", "WITH " + _PRUNE_SQL.replace("ALPHA", "0.5").replace("SHARE", "0.3"))
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prune_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", 0.30, 0.5).select("id", "words", "kept")
-
-
-@query("t11_aggressive_pruning", "WITH " + _PRUNE_SQL.replace("ALPHA", "0.7").replace("SHARE", "0.5"))
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prune_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", 0.50, 0.7).select("id", "words", "kept")
-
-
 def extract_imports(code: Column, ext: Column) -> Column:
-    """Imported module names of TypeScript, JavaScript and Python sources, sorted, each once."""
+    """Imported module names of TypeScript, JavaScript, Python and Go sources, sorted, each once."""
     all_ = lambda p: F.regexp_extract_all(code, F.lit(p), F.lit(1))
     script = F.concat(all_(r"from\s+['\"]([^'\"]+)['\"]"), all_(r"require\(\s*['\"]([^'\"]+)['\"]\s*\)"), all_(r"import\(\s*['\"]([^'\"]+)['\"]\s*\)"), all_(r"(?m)^\s*import\s+['\"]([^'\"]+)['\"]"))
     python = F.concat(all_(r"(?m)^\s*from\s+([\w.]+)\s+import"), all_(r"(?m)^\s*import\s+([\w.]+)"))
-    return F.sort_array(F.array_distinct(F.when(ext == ".py", python).otherwise(script)))
+    blocks = F.array_join(all_(r"(?m)^import\s*\(([^)]*)\)"), "\n")
+    go = F.concat(all_(r'(?m)^import\s+(?:[\w.]+\s+)?"([^"]+)"'), F.regexp_extract_all(blocks, F.lit('"([^"]+)"'), F.lit(1)))
+    return F.sort_array(F.array_distinct(F.when(ext == ".py", python).when(ext == ".go", go).otherwise(script)))
 
 
 def extract_exports(code: Column, ext: Column) -> Column:
@@ -178,6 +140,12 @@ def extract_exports(code: Column, ext: Column) -> Column:
     return F.sort_array(F.array_distinct(F.when(ext == ".py", python).when(ext == ".go", go).otherwise(script)))
 
 
+def is_exported(name: Column, code: Column, ext: Column) -> Column:
+    """Whether a symbol is visible outside its file: a capital in Go, no underscore in front in Python, ``export`` elsewhere."""
+    line = F.regexp_extract(code, r"(?m)^([^\n]*\b(?:function\*?|class|interface|enum|const|let|var|type)\s[^\n]*)$", 1)
+    return F.when(ext == ".go", name.rlike("^[A-Z]")).when(ext == ".py", (name != "") & ~name.startswith("_")).otherwise((name != "") & line.rlike(r"^\s*export\b"))
+
+
 def blank_literals(code: Column) -> Column:
     for p in (r"(?s)/\*.*?\*/", r"//[^\n]*", r"'(?:[^'\\\n]|\\.)*'", r'"(?:[^"\\\n]|\\.)*"', r"(?s)`(?:[^`\\]|\\.)*`"):
         code = F.regexp_replace(code, p, "")
@@ -250,19 +218,36 @@ def sample_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(k == 0, "a.ts").when(k == 1, "b.py").otherwise("c.go").alias("path"), code.alias("code"))
 
 
-@query("t22_exports", f"WITH {CODE_SQL} SELECT id, regexp_extract(code, '(?:function|def|func) ([A-Za-z0-9]+)', 1) AS exports FROM code")
+@query("t22_exports", expected_sql(CODE, "exports"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippets(spark, sf_dir, CODE).select("id", F.array_join(extract_exports(F.col("code"), extension(F.col("path"))), ",").alias("exports"))
+
+
+@query("t23_imports", expected_sql(CODE, "imports"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_code(spark, sf_dir).select("id", F.array_join(extract_exports(F.col("code"), extension(F.col("path"))), ",").alias("exports"))
+    return snippets(spark, sf_dir, CODE).select("id", F.array_join(extract_imports(F.col("code"), extension(F.col("path"))), ",").alias("imports"))
 
 
-@query("t23_imports", f"WITH {CODE_SQL} SELECT id, CASE id % 3 WHEN 0 THEN regexp_extract(code, '''([^'']+)''', 1) WHEN 1 THEN regexp_extract(code, 'from ([a-z0-9.]+)', 1) ELSE '' END AS imports FROM code")
+def symbol_name(code: Column) -> Column:
+    """The first name that a source defines, by patterns tried in this order; empty if none fits."""
+    patterns = [r"\b(?:function\*?|def|func)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)", r"\b(?:class|interface|enum)\s+([A-Za-z_$][\w$]*)", r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\(|function\b)"]
+    return F.coalesce(*(F.nullif(F.regexp_extract(code, p, 1), F.lit("")) for p in patterns), F.lit(""))
+
+
+@query("t27_symbol_names", expected_sql(CODE, "name"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    only = F.regexp_extract("code", r"\b(?:function\*?|def|func)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)", 1)
+    return snippets(spark, sf_dir, CODE).select("id", F.when(only != "", symbol_name(F.col("code"))).otherwise("").alias("name"))
+
+
+@query("c3_export_status", expected_sql(CODE, "exported"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_code(spark, sf_dir).select("id", F.array_join(extract_imports(F.col("code"), extension(F.col("path"))), ",").alias("imports"))
+    return snippets(spark, sf_dir, CODE).select("id", is_exported(symbol_name(F.col("code")), F.col("code"), extension(F.col("path"))).cast("string").alias("exported"))
 
 
-@query("r10_outline_risk", f"WITH {CODE_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'LOW' ELSE 'LOW' END AS risk, '' AS defects FROM code")
+@query("r10_outline_risk", expected_sql(CODE, "risk", "defects"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = sample_code(spark, sf_dir)
+    c = snippets(spark, sf_dir, CODE)
     lines = F.size(F.split("code", "\n"))
     return c.select("id", triage_risk(F.regexp_extract("code", r"(?:function|def|func) (\w+)", 1), F.col("code"), lines).alias("risk"), F.array_join(defects(F.col("code")), ",").alias("defects"))
 
@@ -271,3 +256,19 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = F.concat(F.lit("/* head\n */"), "code", F.lit("  \n// tail\n\n\n\nconsole.log(1);\ndebugger;"))
     return sample_code(spark, sf_dir).select("id", strip_comments(noisy).alias("code"))
+
+
+def escape_angles(text: Column) -> Column:
+    """For display between tags."""
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def short_import(module: Column) -> Column:
+    """For display: the last part of a relative path without its extension; other modules as they are."""
+    return F.when(module.startswith("."), F.regexp_replace(F.regexp_extract(module, r"([^/]*)$", 1), r"\.(?:js|ts|jsx|tsx|mjs|cjs)$", "")).otherwise(module)
+
+
+@query("t31_display_forms", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped, regexp_replace(url, '^.*/', '') AS short FROM pages")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    module = F.concat(F.lit("./"), F.regexp_replace("url", "^.*/", ""), F.lit(".ts"))
+    return table(spark, sf_dir, "pages").select("page_id", escape_angles(F.col("html")).alias("escaped"), short_import(module).alias("short"))

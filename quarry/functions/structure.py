@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.ship import ship
 from quarry.functions.text import extension
 from quarry.registry import query
+from quarry.sources.snippets import CODE, LITERALS, expected_sql, snippets
 from quarry.sources.tables import table
 
 QUOTES = "'\"`"
@@ -137,16 +138,17 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_code(spark, sf_dir)
 
 
-@query("t8_call_removal", "SELECT doc_id, 'a;' || chr(10) || doc_id || ';' AS code FROM documents")
+@query("t8_call_removal", "SELECT doc_id, 'a;' || chr(10) || text || chr(10) || chr(10) || doc_id || ';' AS code FROM documents")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noisy = F.concat(F.lit("a;\nconsole.log('x)', (1 + (2)));"), F.col("doc_id").cast("string"), F.lit(";"))
+    # The text is an argument's neighbour, so its own quotes and brackets must come through.
+    noisy = F.concat(F.lit("a;\nconsole.log('x)', (1 + (2)));"), "text", F.lit("\nprint(\"it's (\");"), F.lit("\n"), F.col("doc_id").cast("string"), F.lit(";"))
+    noisy = F.replace(noisy, F.lit("\n\n"), F.lit("\n"))
     return table(spark, sf_dir, "documents").select("doc_id", apply(spark, remove_calls, "string", noisy).alias("code"))
 
 
-@query("t19_blank_literals", "SELECT doc_id, length(text) AS n, len(string_split(text, chr(10))) AS lines FROM documents")
+@query("t19_blank_literals", expected_sql(LITERALS, "blank"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("b", apply(spark, blank, "string", F.col("text")))
-    return d.select("doc_id", F.length("b").cast("long").alias("n"), F.size(F.split("b", "\n", -1)).cast("long").alias("lines"))
+    return snippets(spark, sf_dir, LITERALS).select("id", apply(spark, blank, "string", F.col("code")).alias("blank"))
 
 
 @query("t20_signatures", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'import x from ''./m' || user_id || ''';' || ' export function calc' || user_id || '(a)' WHEN 1 THEN 'def run' || user_id || '()' ELSE 'func Get' || user_id || '()' END AS sig FROM events")
@@ -155,10 +157,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _code(spark, sf_dir).select("id", apply(spark, signature, "string", code).alias("sig"))
 
 
-@query("t24_dependencies", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '' ELSE '' END AS deps FROM events")
+@query("t24_dependencies", expected_sql(CODE, "dependencies"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = lambda c, p: ",".join(x[0] for x in dependencies(c, p))
-    return _code(spark, sf_dir).select("id", apply(spark, names, "string", F.col("code"), extension(F.col("path"))).alias("deps"))
+    listed = lambda c, p: ",".join(">".join(x) for x in dependencies(c, p))
+    files = snippets(spark, sf_dir, CODE)
+    return files.select("id", apply(spark, listed, "string", F.col("code"), extension(F.col("path"))).alias("dependencies"))
 
 
 @query("t26_shorthand", "SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) <= 2 THEN '[' || lang || '] ' || text END AS whole FROM documents")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.code import CODE_SQL, defects, extract_exports, extract_imports, sample_code, strip_comments, triage_risk
+from quarry.functions.code import CODE_SQL, defects, extract_exports, extract_imports, sample_code, triage_risk
 from quarry.functions.ship import ship
 from quarry.functions.text import extension, has_symbol, round_half_up
 from quarry.operators.aggregates import bucket_score, bucket_score_inverse, normalized_entropy, score_label
@@ -161,11 +161,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return focus(d, "center")
 
 
-@query("r12_light_level", f"WITH {CODE_SQL} SELECT id, CAST(length(code) AS BIGINT) AS light FROM code")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_code(spark, sf_dir).select("id", F.length(strip_comments(F.concat("code", F.lit(" // note")))).cast("long").alias("light"))
-
-
 def health_audit(vertices: DataFrame, edges: DataFrame, tested: DataFrame) -> DataFrame:
     """One row per component of the health index, and the index itself (fast form).
 

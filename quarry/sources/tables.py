@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it has fewer partitions than the session has cores.
+
+    A table in one small file is one task otherwise; a large table has partitions enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 #: Folders that documents are dealt to, so that every path rule has rows.
 FOLDERS = ["src", "test", "lib", "dist", "node_modules", "docs"]
 
@@ -20,8 +29,9 @@ CHUNKS_SQL = """chunks AS (
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: id, path, raw, node_type, symbol_name."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"))
     folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("/"), folder, F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"),
         F.col("text").alias("raw"),
