@@ -15,7 +15,8 @@ from quarry.operators import aggregates, logs, relations, retrieval, windows
 from quarry.plans import graph
 from quarry.plans.spectral import spectrum
 from quarry.sources.files import admission
-from quarry.streaming.events import detect, token_bucket
+from quarry.streaming.breaker import Breaker, Call, Ledger, Rules, trend
+from quarry.streaming.events import token_bucket
 
 
 def one(spark, expr):
@@ -101,15 +102,72 @@ def test_admission(spark):
     assert not any(ok(f"x{s}", 1) for s in (".min.js", ".map", ".wasm", ".png", ".exe", ".lock"))
 
 
-def test_loop_detector():
-    errors = lambda n: [(k, "error", True) for k in range(n)]
-    assert [t[:2] for t in detect(errors(3), [], 0, 0)[0]] == [(2, "streak")]
-    mixed = [(k, "error" if k % 2 else "view", bool(k % 2)) for k in range(6)]
-    assert [t[:2] for t in detect(mixed, [], 0, 0)[0]] == [(5, "repeated")]
-    assert [t[2] for t in detect(errors(12), [], 0, 0)[0]] == [1, 2, 3, 3]
-    whole = detect(mixed * 4, [], 0, 0)
-    first = detect((mixed * 4)[:7], [], 0, 0)
-    assert whole[0] == first[0] + detect((mixed * 4)[7:], *first[1:])[0]
+def run_calls(calls, state=None, rules=None):
+    state = state or Breaker()
+    return [state.call(Call(1000 * k, *c), rules or Rules()) for k, c in enumerate(calls)], state
+
+
+def test_breaker_patterns():
+    same, state = run_calls([("read", "e1", None)] * 3)
+    assert [x[0] for x in same] == ["", "", "same error"] and state.level == 1 and state.saved == 10_000
+    assert not any(x[0] for x in run_calls([("read", f"e{k}", None) for k in range(3)])[0])
+    assert run_calls([("edit", None, "a")] * 5)[0][-1][0] == "same file"
+    assert not any(x[0] for x in run_calls([("edit", None, f"f{k}") for k in range(5)])[0])
+    assert not any(x[0] for x in run_calls([("read", None, "a")] * 9)[0])
+    cycle = [c for k in range(3) for c in (("edit", None, f"f{k}"), ("bash", None, None), ("bash", f"e{k}", None))]
+    assert [x[0] for x in run_calls(cycle)[0]][-1] == "cycle"
+    assert not any(x[0] for x in run_calls([("edit", None, "f"), ("bash", None, None)] * 2)[0])
+    assert run_calls([(t, f"e{k}", "a") for k, t in enumerate(("read", "edit", "bash"))])[0][-1][0] == "file failures"
+
+
+def test_breaker_resets_and_levels():
+    trip = [("read", "e1", "a")] * 3
+    got, state = run_calls([*trip, ("read", None, "a"), *trip, ("read", None, "a"), *trip, ("read", None, "a"), ("read", None, "a")])
+    assert [x[1] for x in got] == [0, 0, 1, 1, 0, 0, 2, 2, 0, 0, 3, 3, 3]  # a blocked call resets softly, but not at the last level
+    assert [x[2] for x in got].count(True) == 4 and state.redirects == 2 and state.loops == 3
+    assert state.call(Call(13_000, "other", None, "b"), Rules())[0] == ""  # another tool: softly, the level stays
+    assert state.level == 3 and state.redirects_worked == 1
+    again, state = run_calls(trip)
+    assert state.call(Call(2000 + 60_000, "read", None, "a"), Rules())[2]  # not longer than the limit
+    again, state = run_calls(trip)
+    assert state.call(Call(2000 + 60_001, "read", None, "a"), Rules())[0] == "" and state.level == 0
+    old = Breaker()
+    assert [old.call(Call(t, "read", "e1"), Rules())[0] for t in (0, 1, 300_002)] == ["", "", ""]  # calls are forgotten after five minutes
+    assert [Breaker().call(Call(t, "read", "e1"), Rules())[0] for t in (0, 1, 300_000)] == ["", "", ""]
+    gone = Breaker()
+    for t, f in ((0, "a"), (1, "a"), (300_002, "b")):
+        gone.call(Call(t, "read", f"e{t}", f), Rules())
+    assert gone.failures == {"b": 1}  # and with them the failures of their files
+    assert Breaker.load(state.dump()) == state
+    long = Breaker()
+    for k in range(80):
+        long.call(Call(k, "read", None, None), Rules())
+    assert len(long.history) == 50 and long.calls == 80
+
+
+def test_ledger():
+    book, seen = Ledger(), []
+    for kind in ("trip", "error", "heal", "success"):
+        book.step(kind, 1)
+        seen.append(book.score)
+    book.decay(3)
+    seen.append(book.score)
+    book.step("regressions", 3, ["a", "b", "c"])
+    assert seen == pytest.approx([10, 13, 14, 7, 5.0575]) and book.score == pytest.approx(16.269078) and book.alert
+    book.step("restored", 3, ["a"])
+    assert sorted(book.debts) == ["b", "c"]
+    book.decay(60)
+    assert book.score == 0 and book.debts  # debts are never forgotten
+    two = Ledger(20.0, 1)
+    two.decay(6)
+    assert two.score == pytest.approx(20 * 0.85**5)
+    many = Ledger()
+    many.step("regressions", 1, [f"s{k}" for k in range(20)])
+    assert 105 < many.score < 115
+    for k in range(60):
+        many.step("regressions", 2 + k, [f"t{k}"])
+    assert len(many.debts) == 50 and "s0" not in many.debts
+    assert [trend(3, n) for n in (1, 3, 9)] == ["improving", "stable", "degrading"]
 
 
 def test_token_bucket():
