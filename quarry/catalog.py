@@ -1,11 +1,11 @@
 """Imports every module that registers queries."""
 
 from quarry.functions import code, compress, structure
-from quarry.operators import aggregates, logs, relations, retrieval, windows
+from quarry.operators import aggregates, logs, relations, retrieval, stored_index, windows
 from quarry.plans import composites, graph, spectral
 from quarry.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 from quarry.sources import files
 from quarry.streaming import events
 
-MODULES = [retrieval, aggregates, windows, relations, graph, spectral, logs, code, events, files, composites, structure, compress]
+MODULES = [retrieval, stored_index, aggregates, windows, relations, graph, spectral, logs, code, events, files, composites, structure, compress]
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]

@@ -58,15 +58,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).withColumn("r", r).where("r <= 20").select("id")
 
 
-@query("c5_incremental_index", "WITH old AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents) SELECT count(CASE WHEN o.h IS NULL OR o.h <> n.h THEN 1 END) AS indexed, count(CASE WHEN o.h = n.h THEN 1 END) AS skipped FROM new n LEFT JOIN old o USING (doc_id)")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    old = d.where("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("was"))
-    new = d.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("h"))
-    same = F.coalesce(F.col("was") == F.col("h"), F.lit(False))
-    return new.join(old, "doc_id", "left").agg(F.count_if(~same).alias("indexed"), F.count_if(same).alias("skipped"))
-
-
 def cosine(a: Column, b: Column) -> Column:
     wide = lambda v: F.transform(v, lambda x: x.cast("double"))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)

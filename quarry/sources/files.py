@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.ship import ship
 from quarry.functions.text import basename, extension
-from quarry.plans.stored import shared_dir
+from quarry.plans.stored import new_path
 from quarry.registry import query
 from quarry.sources.tables import table
 
@@ -86,7 +85,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s6_json_lines", "SELECT event_id, event_type AS tool_name, CAST(floor(value) AS BIGINT) AS input_tokens FROM events WHERE event_id % 7 <> 0")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/quarry/json-{uuid.uuid4().hex}"
+    path = new_path(spark, "json")
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool_name"), F.floor("value").cast("long").alias("input_tokens"))
     line = F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("event_id", "tool_name", "input_tokens")))
     rows.select(line.alias("value")).write.text(path)
@@ -95,7 +94,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s9_vector_files", "SELECT vec_id AS id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) + 0.0 AS total FROM embeddings")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/quarry/vectors-{uuid.uuid4().hex}"
+    path = new_path(spark, "vectors")
     ship(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +134,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k10_json_append", "SELECT count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/quarry/append-{uuid.uuid4().hex}"
+    path = new_path(spark, "append")
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     for half in (0, 1):
         e.where(F.col("event_id") % 2 == half).write.mode("append").json(path)
@@ -144,7 +143,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k13_versions", "SELECT s_suppkey, s_acctbal FROM supplier")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/quarry/versions-{uuid.uuid4().hex}"
+    path = new_path(spark, "versions")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
     first = save_with_backup(s, path, 1)
     save_with_backup(s.withColumn("s_acctbal", F.lit(0.0)), path, 2)

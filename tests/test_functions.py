@@ -249,3 +249,25 @@ def test_pruning_covers_every_document(spark, tmp_path, name, share, alpha):
     texts = {k: " ".join(rng.choices(words, range(len(words), 0, -1), k=rng.randrange(1, 60))) for k in range(1, 26)}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.id: (r.words, r.kept) for r in QUERIES[name](spark, str(tmp_path)).collect()} == pruned(texts, share, alpha)
+
+
+def test_stored_index_follows_its_chunks(spark, tmp_path):
+    from quarry.operators.stored_index import StoredIndex, boosted
+
+    rows = [(k, f"/src/f{k}", f"alpha beta{k} gammaDelta word{k % 3}") for k in range(12)]
+    frame = lambda r: spark.createDataFrame(r, "id long, path string, raw string")
+    index = StoredIndex(spark, f"file://{tmp_path}/a")
+    assert index.search(["alpha"], 5).count() == 0
+    assert index.update(frame(rows)) == {"indexed": 12, "skipped": 0, "removed": 0}
+    changed = [*rows[:5], (5, "/src/f5", "delta alpha alpha"), *rows[6:10], (20, "/src/new", "gamma delta"), (21, "/src/empty", None)]
+    assert index.update(frame(changed)) == {"indexed": 3, "skipped": 9, "removed": 2}
+    whole = StoredIndex(spark, f"file://{tmp_path}/b")
+    whole.update(frame(changed))
+    found = lambda i: [(r.id, r.score) for r in i.search(["gamma", "delta", "alpha"], 50).collect()]
+    direct = [(r.id, r.score) for r in retrieval.bm25(retrieval.build_index(frame(changed).na.fill("")), ["gamma", "delta", "alpha"], 50).collect()]
+    assert found(index) == found(whole) == direct == found(StoredIndex.open(spark, index.path)) == found(index.vacuum(f"file://{tmp_path}/c"))
+    assert [r.id for r in boosted(index, ["delta"], 1).collect()] == [20]
+    index.remove(spark.createDataFrame([(20,), (99,)], "id long"))
+    assert index.docs().count() == 11 and 20 not in dict(found(index))
+    index.wipe()
+    assert StoredIndex.open(spark, index.path).docs().count() == 0
