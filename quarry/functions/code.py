@@ -95,7 +95,7 @@ def stem_terms(terms: DataFrame, column: str = "term") -> DataFrame:
 
 @query("t3_porter_stems")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
     return stem_terms(words)
 
 

@@ -45,9 +45,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(F.col("path").rlike("|".join(ENTRY_FILES)))
 
 
-@query("f13_pin_admission", "SELECT doc_id FROM (SELECT doc_id, substr(text, 1, 120) AS pin FROM documents) WHERE length(pin) BETWEEN 1 AND 200 AND NOT contains(pin, chr(10)) AND NOT regexp_matches(pin, '(?i)ignore (all|previous)|system prompt|<script') ORDER BY doc_id LIMIT 10")
+@query("f13_pin_admission", "SELECT doc_id FROM (SELECT doc_id, text AS pin FROM documents) WHERE length(pin) BETWEEN 1 AND 200 AND NOT contains(pin, chr(10)) AND NOT regexp_matches(pin, '(?i)ignore (all|previous)|system prompt|<script') ORDER BY doc_id LIMIT 10")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pins = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 120).alias("pin"))
+    pins = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pin"))
     good = F.length("pin").between(1, 200) & ~F.col("pin").contains("\n") & ~F.col("pin").rlike("(?i)ignore (all|previous)|system prompt|<script")
     return pins.where(good).select("doc_id").orderBy("doc_id").limit(10)
 

@@ -130,25 +130,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers(ranks, e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))).select("node", "tier")
 
 
-@query("g6_reachable", f"WITH RECURSIVE {TRADE_SQL}, e AS (SELECT src, dst FROM trade WHERE weight % 4 = 0), r AS (SELECT 3 AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
+@query("g6_reachable", f"WITH RECURSIVE {TRADE_SQL}, e AS (SELECT src, dst FROM trade), r AS (SELECT 3 AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = cut(trade(spark, sf_dir).where("weight % 4 = 0").select("src", "dst"))
+    e = cut(trade(spark, sf_dir).select("src", "dst"))
     return reachable(e, spark.createDataFrame([(3,)], "node int"))
 
 
-_CIRCUIT = "e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM trade WHERE weight % 4 = 0), v AS (SELECT n_nationkey AS node FROM nation), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT node, node AS hit FROM v UNION SELECT r.node, b.b FROM r JOIN b ON b.a = r.hit)"
+_CIRCUIT = "e AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM trade), v AS (SELECT n_nationkey AS node FROM nation), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT node, node AS hit FROM v UNION SELECT r.node, b.b FROM r JOIN b ON b.a = r.hit)"
 
 
 @query("g7_circuit_rank", f"WITH RECURSIVE {TRADE_SQL}, {_CIRCUIT}, c AS (SELECT node, min(hit) AS c FROM r GROUP BY 1), k AS (SELECT (SELECT count(*) FROM e) AS e, (SELECT count(*) FROM v) AS v, (SELECT count(DISTINCT c) FROM c) AS c) SELECT e, v, c, e - v + c AS rank FROM k")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
-    return circuit_rank(v, cut(trade(spark, sf_dir).where("weight % 4 = 0").select("src", "dst")))
+    return circuit_rank(v, cut(trade(spark, sf_dir).select("src", "dst")))
 
 
 @query("g7_components", f"WITH RECURSIVE {TRADE_SQL}, {_CIRCUIT} SELECT node, min(hit) AS component FROM r GROUP BY 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
-    return components(v, cut(trade(spark, sf_dir).where("weight % 4 = 0").select("src", "dst")))
+    return components(v, cut(trade(spark, sf_dir).select("src", "dst")))
 
 
 @query("j20_ego_graph", f"WITH {TRADE_SQL} SELECT DISTINCT src, dst FROM trade WHERE src = 3 OR dst = 3")
