@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.ship import ship
 from quarry.functions.text import contains_error, error_fingerprint, normalize_line, strip_ansi
 from quarry.registry import query
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 # What library frames and errors look like.
 FRAME = r"node_modules[/\\]|\(internal/|node:internal/"
@@ -44,19 +47,33 @@ def collapse(lines: list[str], longest: int = 20) -> list[str]:
     return out
 
 
-def _collapse_udf():
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: collapse(list(t)) if t is not None else None)
+# The same keys as of ``normalize_line``, for lines that are in Python already.
+_ALWAYS = [(re.compile("0x[a-f0-9]+", re.I), "0xADDR"), (re.compile("[0-9]{13,}"), "TIMESTAMP")]
+_LIBRARY = [(re.compile(":[0-9]+:[0-9]+"), ":L:C"), *_ALWAYS, (re.compile(r":[0-9]+\)"), ":N)")]
+_FRAME = re.compile(FRAME)
+
 
-    return run
+def line_key(line: str) -> str:
+    for pattern, to in _LIBRARY if "node_modules" in line or "internal/" in line or "<anonymous>" in line else _ALWAYS:
+        line = pattern.sub(to, line)
+    return line.strip(" ")
 
 
-def first_of_key(lines: Column) -> Column:
-    """Lines whose normalized form has not occurred before in the array."""
-    keyed = F.transform(lines, lambda l, i: F.struct(i.alias("i"), l.alias("l"), normalize_line(l).alias("k")))
-    keys = F.transform(lines, normalize_line)
-    return F.transform(F.filter(keyed, lambda x: F.array_position(keys, x["k"]) == x["i"] + 1), lambda x: x["l"])
+def first_of_key(lines: list[str]) -> list[str]:
+    """Lines whose normalized form has not occurred before."""
+    first: dict[str, str] = {}
+    for x in lines:
+        first.setdefault(line_key(x), x)
+    return list(first.values())
+
+
+def marked(lines: list[str]) -> list[str]:
+    """Consecutive library frames become one line with their number."""
+    out: list[str] = []
+    for frame, group in groupby(lines, key=lambda x: bool(_FRAME.search(x))):
+        own = list(group)
+        out += [f"  [{len(own)} frames in node_modules/internal]"] if frame else own
+    return out
 
 
 def mark_frames(lines: Column) -> Column:
@@ -74,13 +91,20 @@ def mark_frames(lines: Column) -> Column:
 def condense(logs: DataFrame, id_col: str, text_col: str, max_lines: int = 100) -> DataFrame:
     """id, lines, n_lines, reduction (percent of characters) of each log text."""
     ship(logs.sparkSession)
-    rows = logs.select(F.col(id_col).alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("before"), F.split(strip_ansi(F.coalesce(text_col, F.lit(""))), "\n", -1).alias("l"))
-    rows = rows.withColumn("l", _collapse_udf()("l"))
-    rows = rows.withColumn("l", mark_frames(first_of_key(F.col("l"))))
-    more = F.size("l") - max_lines
-    rows = rows.withColumn("l", F.when(more > 0, F.concat(F.slice("l", 1, max_lines), F.array(F.concat(F.lit("... ["), more.cast("string"), F.lit(" lines truncated]"))))).otherwise(F.col("l")))
-    after = F.length(F.array_join("l", "\n"))
-    return rows.select("id", "l", F.size("l").cast("long").alias("n_lines"), F.greatest(F.lit(0), F.floor((1 - after / F.greatest("before", F.lit(1))) * 100 + 0.5)).cast("long").alias("reduction")).withColumnRenamed("l", "lines")
+
+    @F.pandas_udf("array<string>")
+    def short(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> list[str]:
+            lines = marked(first_of_key(collapse(text.split("\n"))))
+            more = len(lines) - max_lines
+            return [*lines[:max_lines], f"... [{more} lines truncated]"] if more > 0 else lines
+
+        return texts.map(one)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = logs.select(F.col(id_col).alias("id"), F.length(text).alias("before"), short(strip_ansi(text)).alias("lines"))
+    after = F.length(F.array_join("lines", "\n"))
+    return rows.select("id", "lines", F.size("lines").cast("long").alias("n_lines"), F.greatest(F.lit(0), F.floor((1 - after / F.greatest("before", F.lit(1))) * 100 + 0.5)).cast("long").alias("reduction"))
 
 
 def error_summary(logs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,7 +167,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r14_log_filter")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return condense(docs, "doc_id", "text", 50).select(F.col("id").alias("doc_id"), "n_lines", "reduction", F.array_join("lines", "\n").alias("text"))
 
 

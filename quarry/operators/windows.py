@@ -69,12 +69,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("event_id", F.col("f").isNotNull().alias("hit"), F.round(F.log1p(F.coalesce("f.value", F.lit(0.0))), 6).alias("size"), F.coalesce((F.col("f.seq") - F.col("seq")).cast("long"), F.lit(10).cast("long")).alias("distance"))
 
 
-def decayed_sum(rows: DataFrame, key: str, order: str, seconds: str, half_life: float) -> DataFrame:
-    """Running sum in which each earlier row counts 2^(-age / half life), by scaling with the key's first time."""
-    w = Window.partitionBy(key)
-    age = F.col(seconds) - F.min(seconds).over(w)
-    grown = F.pow(F.lit(2.0), age / half_life)
-    return rows.withColumn("_g", grown).withColumn("decayed", F.sum("_g").over(w.orderBy(order)) / F.col("_g")).drop("_g")
+#: Half-lives in a block of time; what is two blocks old counts less than 2^-500, that is, nothing.
+BLOCK = 500
+
+
+def decayed_sum(rows: DataFrame, key: str, order: str, seconds: str, half_life: float, least: float = 0.01) -> DataFrame:
+    """Running sum in which each earlier row counts 2^(-age / half life); sums below ``least`` are null.
+
+    Sums are scaled within blocks of time, so they stay finite however long a key lives.
+    """
+    block = F.floor(F.col(seconds) / (half_life * BLOCK)).cast("long")
+    rows = rows.withColumn("_b", block).withColumn("_g", F.pow(F.lit(2.0), F.col(seconds) / half_life - F.col("_b") * BLOCK))
+    own = F.sum("_g").over(Window.partitionBy(key, "_b").orderBy(order))
+    before = F.coalesce(F.sum("_g").over(Window.partitionBy(key).orderBy("_b").rangeBetween(-1, -1)), F.lit(0.0))
+    decayed = own / F.col("_g") + before * F.pow(F.lit(2.0), F.lit(-float(BLOCK))) / F.col("_g")
+    return rows.withColumn("decayed", decayed).withColumn("decayed", F.when(F.col("decayed") >= least, F.col("decayed"))).drop("_g", "_b")
 
 
 @query("w7_decayed_sum", f"WITH {CALLS_SQL}, s AS (SELECT *, epoch_us(ts) / 1e6 AS t FROM calls) SELECT a.event_id, round(sum(pow(2.0, (b.t - a.t) / 259200.0)), 4) AS decayed FROM s a JOIN s b ON a.user_id = b.user_id AND b.seq <= a.seq GROUP BY 1")

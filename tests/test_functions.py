@@ -271,3 +271,41 @@ def test_stored_index_follows_its_chunks(spark, tmp_path):
     assert index.docs().count() == 11 and 20 not in dict(found(index))
     index.wipe()
     assert StoredIndex.open(spark, index.path).docs().count() == 0
+
+
+def test_line_keys_are_those_of_columns(spark):
+    rng = random.Random(5)
+    lines = ["".join(rng.choice(["a", ":12:3", "0xAf", " ", "1234567890123", "node_modules/", ":7)", "internal/", "<anonymous>", "x)"]) for _ in range(rng.randrange(6))) for _ in range(300)]
+    got = spark.createDataFrame([(x,) for x in lines], "l string").select("l", text.normalize_line(F.col("l")).alias("k")).collect()
+    assert [r.k for r in got] == [logs.line_key(r.l) for r in got]
+
+
+def test_decayed_sums_of_long_lived_keys(spark):
+    rows = [("a", k, float(t)) for k, t in enumerate([0, 1, 2, 499, 500, 501, 1100, 1101, 90_000])]
+    got = windows.decayed_sum(spark.createDataFrame(rows, "k string, seq int, t double"), "k", "seq", "t", 1.0).orderBy("seq").collect()
+    want = [sum(2.0 ** -(t - x) for _, _, x in rows if x <= t) for _, _, t in rows]
+    assert [r.decayed for r in got] == pytest.approx(want)
+
+
+def test_late_events_are_dropped_and_windows_close(spark, tmp_path):
+    from quarry.streaming.events import EVENTS, run, windowed
+
+    def put(name, rows):
+        frame = spark.createDataFrame([(k, t, 1, "view", 1.0, "{}") for k, t in rows], EVENTS.replace("timestamp_ntz", "string")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        frame.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+
+    put("a", [(1, "2024-01-01 00:10:00"), (2, "2024-01-01 05:00:00")])
+    put("b", [(3, "2024-01-02 00:00:00")])
+    put("c", [(7, "2024-01-02 01:00:00")])
+    put("d", [(4, "2024-01-01 00:20:00"), (5, "2024-01-03 00:00:00")])  # the first one is a day late
+    put("e", [(6, "2024-01-04 00:00:00")])
+    import os
+    import time as clock
+
+    for k, name in enumerate("abcde"):
+        for base, _, files in os.walk(f"{tmp_path}/{name}"):
+            for f in files:
+                os.utime(os.path.join(base, f), (clock.time() - 1000 + 10 * k,) * 2)
+    rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").parquet(str(tmp_path))
+    out = run(windowed(rows.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours"), "append")
+    assert sorted((str(r.start), r.n) for r in out.collect()) == [("2024-01-01 00:00:00", 2), ("2024-01-02 00:00:00", 2), ("2024-01-03 00:00:00", 1)]
