@@ -228,15 +228,34 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets(spark, sf_dir, CODE).select("id", F.array_join(extract_imports(F.col("code"), extension(F.col("path"))), ",").alias("imports"))
 
 
+# Fixed order: a function, a class or the like, a constant that is a function.
+NAME_PATTERNS = [r"\b(?:function\*?|def|func)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)", r"\b(?:class|interface|enum)\s+([A-Za-z_$][\w$]*)", r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\(|function\b)"]
+
+
 def symbol_name(code: Column) -> Column:
     """The first name that a source defines, by patterns tried in this order; empty if none fits."""
-    patterns = [r"\b(?:function\*?|def|func)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)", r"\b(?:class|interface|enum)\s+([A-Za-z_$][\w$]*)", r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\(|function\b)"]
-    return F.coalesce(*(F.nullif(F.regexp_extract(code, p, 1), F.lit("")) for p in patterns), F.lit(""))
+    return F.coalesce(*(F.nullif(F.regexp_extract(code, p, 1), F.lit("")) for p in NAME_PATTERNS), F.lit(""))
+
+
+def file_outline(files: DataFrame) -> DataFrame:
+    """id, path, line (from 1), name, kind, exported of the definitions of (id, path, code)."""
+    lines = files.select("id", "path", F.posexplode(F.split("code", "\n", -1)).alias("p", "text"))
+    rows = lines.withColumn("name", symbol_name(F.col("text"))).where("name <> ''")
+    kind = F.when(F.col("text").rlike(NAME_PATTERNS[0]), "func").when(F.col("text").rlike(NAME_PATTERNS[1]), "class").otherwise("const")
+    return rows.select("id", "path", (F.col("p") + 1).alias("line"), "name", kind.alias("kind"), is_exported(F.col("name"), F.col("text"), extension(F.col("path"))).alias("exported"))
+
+
+@query("c4_file_outline", expected_sql(CODE, "outline"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = snippets(spark, sf_dir, CODE)
+    rows = file_outline(files).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["name"])), ",")
+    return files.select("id").join(rows, "id", "left").select("id", F.coalesce(text, F.lit("")).alias("outline"))
 
 
 @query("t27_symbol_names", expected_sql(CODE, "name"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    only = F.regexp_extract("code", r"\b(?:function\*?|def|func)\s+(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)", 1)
+    only = F.regexp_extract("code", NAME_PATTERNS[0], 1)
     return snippets(spark, sf_dir, CODE).select("id", F.when(only != "", symbol_name(F.col("code"))).otherwise("").alias("name"))
 
 

@@ -74,7 +74,7 @@ def scored(text: str, alpha: float, common: dict[str, float]) -> list[tuple[int,
     value = {k: round(alpha * -math.log2(common.get(k, RARE)) + (1 - alpha) * (n / most) * math.log2(1 + len(times) / n), 9) for k, n in times.items()}
     names = set(KEYWORDS)
     after = [False, *(k in names for k in keys[:-1])]
-    return [(m.start(), m.end(), value[k], bool(_KEPT.search(m[0])) or k in names or a) for m, k, a in zip(found, keys, after, strict=True)]
+    return [(m.start(), m.end(), value[k], bool(_KEPT.search(m[0])) or k in names or a) for m, k, a in zip(found, keys, after, strict=False)]
 
 
 def kept_words(words: list[tuple[int, int, float, bool]], share: float) -> list[tuple[int, int, float, bool]]:

@@ -114,13 +114,29 @@ def shorthand(kind: str, code: str, first: int, last: int) -> str:
     return f"[{kind}] {code}" if code.count("\n") < 2 else f"[{kind}] {signature(code)} {{ /* L{first}-L{last} */ }}"
 
 
+# Types that say nothing, in TypeScript, Python and Go.
+TOXIC_TYPES = r"\b(?:any|unknown|Function|object|Any)\b|\binterface\{\}"
+
+
 def regressed(before: str, after: str) -> bool:
-    """Whether a signature lost a type: it came to hold any, or lost an annotation."""
-    toxic = lambda s: len(re.findall(r"\b(?:any|unknown|Function|object)\b", s))
-    typed = lambda s: len(re.findall(r":\s*\w", s))
+    """Whether a signature lost a type: it came to hold one that says nothing, or lost an annotation or a result."""
+    toxic = lambda s: len(re.findall(TOXIC_TYPES, s))
+    typed = lambda s: len(re.findall(r":\s*\w|->\s*\w", s))
     return toxic(after) > toxic(before) or typed(after) < typed(before)
 
 
+def occurrences(code: str, symbol: str) -> list[tuple[int, str]]:
+    """(line, confidence) of a symbol: ``high`` where it is code, ``review`` in strings, comments and keys of objects."""
+    alone = re.compile(rf"(?<![\w$]){re.escape(symbol)}(?![\w$])")
+    clean, found = blank(code), {}
+    for m in alone.finditer(code):
+        line = code.count("\n", 0, m.start()) + 1
+        key = re.match(r"\s*:(?!:)", clean[m.end() :]) and re.search(r"[{,]\s*$", clean[: m.start()])
+        sure = clean[m.start() : m.end()] == m[0] and not key
+        found[line] = "high" if sure and found.get(line, "high") == "high" else "review"
+    return sorted(found.items())
+
+
 def apply(spark: SparkSession, f: Callable, kind: str, *cols: Column) -> Column:
     """A plain function of strings as a vectorized column; a null argument gives null."""
     ship(spark)
@@ -170,7 +186,28 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(F.split("text", "\n", -1)) <= 2, short).alias("whole"))
 
 
-@query("t29_signature_regressions", "SELECT o_orderkey, o_orderkey % 3 = 0 AS regressed FROM orders")
+# Signatures before and after, and whether a type was lost.
+CHANGES = [
+    ("f(a: number): string", "f(a: any): string", True),
+    ("f(a: number): string", "f(a: number): number", False),
+    ("f(a: number): string", "f(a): string", True),
+    ("def f(a: int) -> str", "def f(a: int)", True),
+    ("def f(a: int) -> str", "def f(a: int) -> Any", True),
+    ("def f(a)", "def f(a: int)", False),
+    ("func F(a int) string", "func F(a interface{}) string", True),
+    ("func F(a int) string", "func F(a int, b int) string", False),
+]
+
+
+@query("t29_signature_regressions", "SELECT o_orderkey, o_orderkey % 8 IN (0, 2, 3, 4, 6) AS regressed FROM orders")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = (F.col("o_orderkey") % len(CHANGES) + 1).cast("int")
+    side = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in CHANGES)), at)
+    return table(spark, sf_dir, "orders").select("o_orderkey", apply(spark, regressed, "boolean", side(0), side(1)).alias("regressed"))
+
+
+@query("r16_refactoring_preview", expected_sql(CODE, "occurrences"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = F.when(F.col("o_orderkey") % 3 == 0, "f(a: any): string").otherwise("f(a: number): string")
-    return table(spark, sf_dir, "orders").select("o_orderkey", apply(spark, regressed, "boolean", F.lit("f(a: number): string"), after).alias("regressed"))
+    """Where x would be renamed; comments of Python are not told from code."""
+    listed = lambda c: ",".join(f"{n}:{how}" for n, how in occurrences(c, "x"))
+    return snippets(spark, sf_dir, CODE).select("id", apply(spark, listed, "string", F.col("code")).alias("occurrences"))

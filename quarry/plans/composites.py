@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from quarry.functions.code import CODE_SQL, defects, extract_exports, extract_imports, sample_code, triage_risk
 from quarry.functions.ship import ship
-from quarry.functions.text import extension, has_symbol, round_half_up
+from quarry.functions.text import contains_error, extension, has_symbol, round_half_up
 from quarry.operators.aggregates import bucket_score, bucket_score_inverse, normalized_entropy, score_label
+from quarry.operators.logs import sample_logs
 from quarry.plans.graph import circuit_rank, pagerank, tiers
 from quarry.plans.spectral import frame_spectrum, verdict
 from quarry.plans.stored import cut
 from quarry.registry import query
+from quarry.sources.snippets import CODE, expected_sql, snippets
 from quarry.sources.tables import CALLS_SQL, CHUNKS_SQL, TRADE_SQL, calls, chunks, table, trade
 
 # Patterns of signatures, cosmetic changes and entry files.
@@ -78,11 +80,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n"))
 
 
-@query("g9_spectral_verdict")
+_VERDICT_SQL = """WITH s AS (SELECT s_suppkey AS id, 1 + s_suppkey % 7 / 2.0 AS l0, 1 + s_suppkey % 5 / 2.0 AS l1, 3 + s_suppkey % 4 AS v0, 2 + s_suppkey % 6 AS v1, 40 + s_suppkey % 90 AS n0, 40 + s_suppkey % 70 AS n1 FROM supplier),
+  p AS (SELECT *, n1 < n0 AS shrunk, CASE WHEN n1 < n0 THEN l0 / n0 ELSE l0 * v0 / n0 END AS a, CASE WHEN n1 < n0 THEN l1 / n1 ELSE l1 * v1 / n1 END AS b, least(0.30, greatest(0.10, 0.15 * sqrt(50.0 / n1))) AS tolerance FROM s)
+  SELECT id, CASE WHEN (a - b) / a > tolerance THEN CASE WHEN shrunk THEN 'APPROVED_DECOUPLING' ELSE 'REJECTED_ENTROPY' END ELSE 'APPROVED' END AS verdict FROM p"""
+
+
+@query("g9_spectral_verdict", _VERDICT_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(3.0, 2.0, 3.0, 1.0, 3, 3), (3.0, 2.0, 3.0, 1.0, 3, 2), (2.0, 1.3, 5.0, 3.0, 4, 4), (1.0, 1.0, 4.0, 4.0, 10, 10)]
-    df = spark.createDataFrame(rows, "l0 double, l1 double, v0 double, v1 double, n0 int, n1 int")
-    return df.withColumn("verdict", verdict(*[F.col(c) for c in ("l0", "l1", "v0", "v1", "n0", "n1")]))
+    k = F.col("s_suppkey")
+    args = [1 + k % 7 / 2, 1 + k % 5 / 2, 3 + k % 4, 2 + k % 6, 40 + k % 90, 40 + k % 70]
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), verdict(*args).alias("verdict"))
 
 
 @query("x3_sessions_by_gap", f"WITH {CALLS_SQL}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY seq) > INTERVAL '2 hours' THEN 1 ELSE 0 END AS edge FROM calls) SELECT event_id, CAST(sum(edge) OVER (PARTITION BY user_id ORDER BY seq) AS BIGINT) AS session FROM g")
@@ -93,15 +100,21 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).withColumn("edge", edge).select("event_id", F.sum("edge").over(w).alias("session"))
 
 
-@query("x5_error_classes", f"WITH {CALLS_SQL} SELECT event_id, CASE WHEN tool IN ('view', 'click') THEN failed ELSE failed OR value > 90 END AS is_error FROM calls")
+@query("x5_error_classes", f"WITH {CALLS_SQL} SELECT event_id, CASE WHEN tool IN ('view', 'click') THEN failed ELSE failed OR event_id % 6 < 4 END AS is_error FROM calls")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls(spark, sf_dir).select("event_id", F.when(F.col("tool").isin("view", "click"), F.col("failed")).otherwise(F.col("failed") | (F.col("value") > 90)).alias("is_error"))
+    """Tools that only read are judged by their flag alone, others by their output too."""
+    met = calls(spark, sf_dir).join(sample_logs(spark, sf_dir).withColumnRenamed("id", "event_id"), "event_id")
+    return met.select("event_id", F.when(F.col("tool").isin("view", "click"), F.col("failed")).otherwise(F.col("failed") | contains_error(F.col("text"))).alias("is_error"))
+
 
+_GATE = {"outlined": "view", "read_raw": "click", "focused": "purchase"}
 
-@query("x11_gate_flags", f"WITH {CALLS_SQL} SELECT event_id, coalesce(bool_or(tool = 'view') OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS outlined FROM calls")
+
+@query("x11_gate_flags", f"WITH {CALLS_SQL} SELECT event_id, " + ", ".join(f"coalesce(bool_or(tool = '{t}') OVER w, false) AS {n}" for n, t in _GATE.items()) + " FROM calls WINDOW w AS (PARTITION BY user_id, event_id % 3 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return calls(spark, sf_dir).select("event_id", F.coalesce(F.bool_or(F.col("tool") == "view").over(w), F.lit(False)).alias("outlined"))
+    """What a session did with a file before each call: outlined it, read it raw, looked at a symbol."""
+    w = Window.partitionBy("user_id", F.col("event_id") % 3).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return calls(spark, sf_dir).select("event_id", *[F.coalesce(F.bool_or(F.col("tool") == t).over(w), F.lit(False)).alias(n) for n, t in _GATE.items()])
 
 
 def repo_map(files: DataFrame) -> DataFrame:
@@ -123,9 +136,9 @@ def outline(symbols: DataFrame, budget: int = 6000) -> DataFrame:
     return rows.withColumn("folded", (F.col("risk") == "LOW") & (F.size("defects") == 0))
 
 
-@query("r10_outline")
+@query("r10_outline", f"SELECT *, risk = 'LOW' AND defects = '' AS folded FROM ({expected_sql(CODE, 'path', 'name', 'risk', 'defects')})")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outline(sample_code(spark, sf_dir)).select("id", "path", "name", "risk", F.array_join("defects", ",").alias("defects"), "folded")
+    return outline(snippets(spark, sf_dir, CODE)).select("id", "path", "name", "risk", F.array_join("defects", ",").alias("defects"), "folded")
 
 
 def focus(rows: DataFrame, symbol: str, downstream: int = 10, limit: float = 0.85) -> DataFrame:
@@ -145,7 +158,16 @@ def focus(rows: DataFrame, symbol: str, downstream: int = 10, limit: float = 0.8
     return out.withColumn("accepted", F.length("text") < F.col("before") * limit).select("file", "before", "rest", "text", "accepted")
 
 
-@query("r11_focus_compression")
+_FOCUS_SQL = r"""WITH d AS (SELECT source AS file, doc_id AS id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1 THEN 'center' ELSE 's' || doc_id END AS name, text AS code FROM documents),
+  m AS (SELECT d.*, c.code AS center FROM d JOIN d c ON c.file = d.file AND c.name = 'center'),
+  z AS (SELECT *, CASE WHEN name = 'center' THEN 'focus' WHEN regexp_matches(code, '(^|[^a-zA-Z0-9_$])center($|[^a-zA-Z0-9_$])') THEN 'upstream' WHEN contains(center, name) THEN 'downstream' ELSE 'rest' END AS zone FROM m),
+  r AS (SELECT *, row_number() OVER (PARTITION BY file, zone ORDER BY id) AS rank FROM z),
+  t AS (SELECT *, CASE WHEN zone = 'focus' THEN code WHEN zone = 'downstream' AND rank <= 10 THEN split_part(code, chr(10), 1) WHEN zone = 'upstream' AND rank <= 10 THEN name END AS t, CASE zone WHEN 'focus' THEN 0 WHEN 'downstream' THEN 1 ELSE 2 END AS o FROM r),
+  g AS (SELECT file, CAST(sum(length(code)) AS BIGINT) AS before, count(*) FILTER (WHERE zone = 'rest') AS rest, coalesce(string_agg(t, chr(10) ORDER BY o, id), '') AS text FROM t GROUP BY 1)
+  SELECT *, length(text) < before * 0.85 AS accepted FROM g"""
+
+
+@query("r11_focus_compression", _FOCUS_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("id"), F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("code"))
     d = d.withColumn("name", F.when(F.row_number().over(Window.partitionBy("file").orderBy("id")) == 1, "center").otherwise(F.col("name")))

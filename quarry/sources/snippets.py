@@ -28,55 +28,57 @@ class Snippet:
     references: str = ""
     blank: str = ""
     exported: str = "false"
+    outline: str = ""
+    occurrences: str = ""
 
 
 CODE = [
     Snippet(
         "a/plain.ts",
         "import x from './m{u}';\nexport function calc{u}(a) { if (a) { a += 1 } }",
-        name="calc{u}", imports="./m{u}", exports="calc{u}", exported="true", references="calc{u},./m{u}",
+        name="calc{u}", imports="./m{u}", exports="calc{u}", exported="true", outline="2:calc{u}", occurrences="1:high", references="calc{u},./m{u}",
         light="import x from './m{u}';\nexport function calc{u}(a) { if (a) { a += 1 } }",
     ),
     Snippet(
         "a/price.ts",
         "export async function calculatePrice{u}(a: any) {\n  if (a) { a += 1; }\n  for (const b of a) { b.push(a * 2); }\n  return a.price * a.volume;\n}",
-        name="calculatePrice{u}", risk="HIGH", defects="type-escape-any", exports="calculatePrice{u}", exported="true", references="calculatePrice{u},b.push",
+        name="calculatePrice{u}", risk="HIGH", defects="type-escape-any", exports="calculatePrice{u}", exported="true", outline="1:calculatePrice{u}", occurrences="", references="calculatePrice{u},b.push",
         light="export async function calculatePrice{u}(a: any) {\n  if (a) { a += 1; }\n  for (const b of a) { b.push(a * 2); }\n  return a.price * a.volume;\n}",
     ),
     Snippet(
         "a/check.js",
         "function validate{u}(x) {\n  x.add(1); // once\n  x.add(2);\n  x.add(3);\n}",
-        name="validate{u}", risk="MED", references="validate{u},x.add",
+        name="validate{u}", risk="MED", outline="1:validate{u}", occurrences="1:high,2:high,3:high,4:high", references="validate{u},x.add",
         light="function validate{u}(x) {\n  x.add(1);\n  x.add(2);\n  x.add(3);\n}",
     ),
     Snippet(
         "a/bad.ts",
         "try { go(); } catch (e) {}\n// @ts-ignore\nconst v = w!.x;\nfunction f{u}() { return v as any; }",
-        name="f{u}", defects="swallowed-error,ts-suppress,type-escape-any,non-null-assert", references="go,f{u}",
+        name="f{u}", defects="swallowed-error,ts-suppress,type-escape-any,non-null-assert", outline="4:f{u}", occurrences="3:high", references="go,f{u}",
         light="try { go(); } catch (e) {}\n\nconst v = w!.x;\nfunction f{u}() { return v as any; }",
     ),
     Snippet(
         "a/loads.ts",
         "import { Alpha as A1, type Beta } from './lib/util{u}.js';\nimport fs from 'fs';\nconst { gamma: g } = require('./g{u}');\nimport './side{u}';\nconst d = await import('./dyn{u}');\nexport const Total{u} = A1;",
-        imports="./dyn{u},./g{u},./lib/util{u}.js,./side{u},fs", exports="Total{u}", dependencies="Alpha>A1>util{u},Beta>Beta>util{u},gamma>g>g{u}", references="require,import,./lib/util{u}.js,fs",
+        imports="./dyn{u},./g{u},./lib/util{u}.js,./side{u},fs", exports="Total{u}", dependencies="Alpha>A1>util{u},Beta>Beta>util{u},gamma>g>g{u}", outline="", occurrences="", references="require,import,./lib/util{u}.js,fs",
         light="import { Alpha as A1, type Beta } from './lib/util{u}.js';\nimport fs from 'fs';\nconst { gamma: g } = require('./g{u}');\nimport './side{u}';\nconst d = await import('./dyn{u}');\nexport const Total{u} = A1;",
     ),
     Snippet(
         "b/box.py",
         "import os\nfrom .core{u} import Widget as W, helper\nclass Box{u}:\n    \"\"\"A box.\"\"\"\n    def inner(self): return '#1'  # one\nasync def go{u}(): pass\nprint('x', (1))\n",
-        name="inner", imports=".core{u},os", exports="Box{u},go{u}", dependencies="Widget>W>core{u},helper>helper>core{u}", exported="true", references="inner,go{u},print",
+        name="inner", imports=".core{u},os", exports="Box{u},go{u}", dependencies="Widget>W>core{u},helper>helper>core{u}", exported="true", outline="3:Box{u},5:inner,6:go{u}", occurrences="7:review", references="inner,go{u},print",
         light="import os\nfrom .core{u} import Widget as W, helper\nclass Box{u}:\n    \"\"\n    def inner(self): return '#1'\nasync def go{u}(): pass\n",
     ),
     Snippet(
         "c/run.go",
         "package main\nimport (\n\t\"fmt\"\n\tlocal \"./local{u}\"\n)\nfunc Run{u}(a int) string { return fmt.Sprint(a) }\ntype small{u} struct {}\nvar Big{u} = 1",
-        name="Run{u}", imports="./local{u},fmt", exports="Big{u},Run{u}", exported="true", references="import,Run{u},fmt.Sprint",
+        name="Run{u}", imports="./local{u},fmt", exports="Big{u},Run{u}", exported="true", outline="6:Run{u}", occurrences="", references="import,Run{u},fmt.Sprint",
         light="package main\nimport (\n\t\"fmt\"\n\tlocal \"./local{u}\"\n)\nfunc Run{u}(a int) string { return fmt.Sprint(a) }\ntype small{u} struct {}\nvar Big{u} = 1",
     ),
     Snippet(
         "a/noise.js",
         "/* head\n */\nlet a{u} = 'b';\nconsole.log('x)', (1 + (2)));\n\n\n\n// tail\ndebugger;\nlet b = 2;",
-        references="console.log",
+        outline="", occurrences="4:review", references="console.log",
         light="let a{u} = 'b';\n\nlet b = 2;",
     ),
 ]

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 
@@ -19,6 +20,9 @@ from quarry.streaming.breaker import Breaker, Call, Ledger, Rules, trend
 from quarry.streaming.events import token_bucket
 
 
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
 def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first()["x"]
 
@@ -309,3 +313,108 @@ def test_late_events_are_dropped_and_windows_close(spark, tmp_path):
     rows = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").parquet(str(tmp_path))
     out = run(windowed(rows.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours"), "append")
     assert sorted((str(r.start), r.n) for r in out.collect()) == [("2024-01-01 00:00:00", 2), ("2024-01-02 00:00:00", 2), ("2024-01-03 00:00:00", 1)]
+
+
+def test_two_sides_of_a_graph():
+    from quarry.plans.spectral import bipartition
+
+    pairs = [(i + a, j + a) for a in (0, 5) for i in range(5) for j in range(i)] + [(0, 5)]
+    u, v = np.array(pairs).T
+    sides = bipartition(spectrum(10, u, v, np.ones(len(u))), set(range(10)))
+    inner = [x for k, x in enumerate(sides) if k not in (0, 5)]
+    assert len(set(inner[:4])) == len(set(inner[4:])) == 1 and inner[0] != inner[-1]
+
+
+def test_connectivity_of_feature_rows():
+    from quarry.plans.spectral import commit_connectivity
+
+    assert commit_connectivity(5, *edges(5, "clique")) == pytest.approx(1.25)
+    assert commit_connectivity(26_000, *edges(5, "clique")) == 0.5
+    assert commit_connectivity(26_000, np.array([], int), np.array([], int), np.array([])) == 0.0
+
+
+def trade_pairs(spark):
+    from quarry.sources.tables import trade
+
+    return sorted((r.src, r.dst) for r in trade(spark, SF_DIR).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no data")
+def test_spectrum_of_an_ego_graph_equals_brute_force(spark):
+    got = QUERIES["c22_trade_spectrum_ego"](spark, SF_DIR).first()
+    pairs = trade_pairs(spark)
+    own = {frozenset(p) for p in pairs if 3 in p}
+    near = sorted({x for p in own for x in p})
+    weights = {frozenset(p) for p in own}
+    lap = np.zeros((len(near), len(near)))
+    for p in weights:
+        i, j = (near.index(x) for x in p)
+        lap[[i, j], [j, i]] -= 1
+        lap[[i, j], [i, j]] += 1
+    assert got["lambda2"] == pytest.approx(sorted(np.linalg.eigvalsh(lap))[1], abs=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no data")
+def test_health_audit_equals_brute_force(spark):
+    rows = {r.part: r for r in QUERIES["r13_health_audit"](spark, SF_DIR).collect()}
+    pairs, parent = trade_pairs(spark), list(range(25))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    undirected = {frozenset(p) for p in pairs}
+    for a, b in map(tuple, undirected):
+        parent[find(a)] = find(b)
+    circuits = len(undirected) - 25 + len({find(x) for x in range(25)})
+    assert rows["cycles"].value == pytest.approx(circuits / max(1, len(undirected)), abs=1e-6)
+    rank = np.full(25, 1 / 25)
+    out = collections.Counter(a for a, _ in pairs)
+    for _ in range(20):
+        new = np.full(25, 0.15 / 25 + 0.85 * sum(rank[k] for k in range(25) if not out[k]) / 25)
+        for a, b in pairs:
+            new[b] += 0.85 * rank[a] / out[a]
+        rank = new
+    p = rank / rank.sum()
+    assert rows["spread"].value == pytest.approx(-(p * np.log(p)).sum() / np.log(25), abs=1e-5)
+    total = sum(r.score * r.weight for r in rows.values()) / sum(r.weight for r in rows.values())
+    assert rows["spread"]["index"] == pytest.approx(math.floor(total * 100 + 0.5) / 10)
+
+
+def test_occurrences_and_stubs():
+    from quarry.functions.compress import compress, key_references, stub_bodies
+    from quarry.functions.structure import occurrences
+
+    code = "const a = { x: x, 'x': 1 }; // x\nfoo(x);\n`x`"
+    assert occurrences(code, "x") == [(1, "review"), (2, "high"), (3, "review")]
+    body = "function f(a) {\n  const b = go(a);\n  return log.it(b);\n}\nif (x) {\n  y();\n  z();\n}"
+    assert stub_bodies(body) == "function f(a) { /* go, log.it */ }\nif (x) {\n  y();\n  z();\n}"
+    assert key_references("a(); b.c(); if (x) {} d(); e(); f(); g()") == ["a", "b.c", "d", "e", "f"]
+    assert len(compress(body, ".ts", "aggressive", {})) < len(compress(body, ".ts", "light", {}))
+    assert compress("#!/usr/bin/env x\ndef f():\n    \'\'\'doc # no\'\'\'\n    return \'#1\'  # c\n", ".py", "light", {}) == "#!/usr/bin/env x\ndef f():\n    \'\'\n    return \'#1\'\n"
+
+
+def test_words_are_pruned_by_score_and_protected():
+    from quarry.functions.compress import kept_words, prune, scored
+
+    text_ = "return the the value of Thing (x) a.b 12 the"
+    words = scored(text_, 0.5, {"the": 0.07, "of": 0.03})
+    safe = {text_[a:b] for a, b, _, p in words if p}
+    assert safe == {"return", "the", "Thing", "(x)", "a.b", "12"} and [p for *_, p in words][:3] == [True, True, False]
+    assert [text_[a:b] for a, b, *_ in kept_words(words, 0.5)] == ["return", "the", "value", "of", "Thing", "(x)", "a.b", "12"]
+    assert prune("a  b\n\n\n\nc", 0.0, 0.5, {}) == "a b\n\nc" and prune("", 0.5, 0.5, {}) == ""
+
+
+def test_committed_tables_and_candidates(spark, tmp_path):
+    from quarry.sources.maintenance import commit_tables, first_existing, last_version, read_committed
+
+    root = f"file://{tmp_path}/t"
+    assert last_version(spark, root) == 0 and read_committed(spark, root, "a", "id long").count() == 0
+    commit_tables(spark, root, 1, {"a": spark.range(3), "b": spark.range(2)})
+    spark.range(9).write.parquet(f"{root}/v00000002/a")  # never finished
+    assert last_version(spark, root) == 1 and read_committed(spark, root, "a", "id long").count() == 3
+    commit_tables(spark, root, 2, {"a": spark.range(4)})  # and tried again
+    assert read_committed(spark, root, "a", "id long").count() == 4
+    assert first_existing(spark, [f"{root}/none", f"{root}/v00000001", root]) == f"{root}/v00000001"
+    assert first_existing(spark, [f"{root}/none"]) is None
