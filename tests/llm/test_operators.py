@@ -604,3 +604,50 @@ def test_pseudo_labels_are_the_surest_of_all_documents(spark):
     for view, kind, ids, both in got:
         want = sorted((i for i in p if (p[i] if kind else 1 - p[i]) >= quality.SURE), key=lambda i: -p[i] if kind else p[i])[: 12 if kind else 7] if view == 0 else []
         assert ids == want and both[0].shape == (len(ids), quality.TEXT_FEATURES)
+
+
+# --- all of them ----------------------------------------------------------------------
+
+
+def labelled(spark, column):
+    return spark.createDataFrame([(1, 1), (2, 0), (None, 1), (4, None)], f"doc_id long, {column} int")
+
+
+def operators(spark, tmp_path):
+    """Every operator as a function of documents (or pages) alone."""
+    bench = spark.createDataFrame([(1, "same text"), (None, None), (2, "")], "item_id long, text string")
+
+    def files(d):
+        uri = f"{tmp_path}/files-{random.random()}"
+        binary_output.write_token_files(d, uri, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+        return binary_output.read_token_files(spark, uri)
+
+    return {
+        "token counts": lambda d: token_counts.count_documents(d, public_tokenizers.path("piece_bpe_32k.model")),
+        "decontamination": lambda d: decontaminate.contamination(d, bench),
+        "html": lambda d: html_extract.extract_pages(d, "doc_id", "source", "text"),
+        "toxicity": lambda d: toxicity.score_documents(d, labelled(spark, "toxic")),
+        "clean": lambda d: toxicity.keep_clean(d, labelled(spark, "toxic")),
+        "licenses": lambda d: license_scan.scan(d, license_scan.default_templates(spark)),
+        "exact": exact_dedup.exact_dedup,
+        "near": near_dedup.near_duplicates,
+        "files": files,
+        "packing": lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json")),
+        "quality": lambda d: quality.score_documents(d, labelled(spark, "quality")),
+    }
+
+
+NAMES = ["token counts", "decontamination", "html", "toxicity", "clean", "licenses", "exact", "near", "files", "packing", "quality"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_empty_tables_give_empty_tables(spark, tmp_path, odd, name):
+    assert operators(spark, tmp_path)[name](odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in ("decontamination", "licenses", "packing")])
+def test_each_row_counts_whatever_other_columns_there_are(spark, tmp_path, odd, name):
+    clashing = odd
+    for c in ("key", "label", "score", "digest", "norm", "best", "_text", "_id", "x", "n_tokens", "kept", "bucket"):
+        clashing = clashing.withColumn(c, F.lit("other"))
+    assert operators(spark, tmp_path)[name](clashing).count() == len(ODD)

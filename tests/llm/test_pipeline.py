@@ -34,6 +34,23 @@ def test_drop_and_keep_rows_with_clashing_columns(spark):
     assert drop_rows(d.limit(0), gone).count() == 0
 
 
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "same text as that"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, "no id"), (None, None), (1, None), (2, ""), (3, "x" * 60_000), (4, "same text as that"), (4, "same text as that"), (5, "word " * 9000)]
+    odd = docs(spark, rows)
+    for c in ("row", "_row", "key", "kept", "_text", "digest"):
+        odd = odd.withColumn(c, F.lit("other"))
+    left = {"toxicity": 8, "exact_duplicates": 5, "near_duplicates": 7, "benchmark_leaks": 6}
+    for name, stage in cp.STAGES:
+        got = stage(spark, odd, str(tmp_path))
+        if name == "packing":
+            assert got.where("piece = 0").count() == len(rows)
+        else:
+            assert got.columns == odd.columns and got.count() == left[name], name
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+
+
 def test_run_equals_brute_force(spark, tmp_path):
     import random
 
