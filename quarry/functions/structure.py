@@ -91,6 +91,12 @@ def clean_signature(raw: str) -> str:
     return re.sub(MODIFIERS, "", raw.strip())
 
 
+def declared_name(raw: str) -> str:
+    """The name that a signature declares, without modifiers, keyword, parameters and types."""
+    found = re.match(r"(?:(?:function\*?|class|interface|type|enum|const|let|var|def|func|get|set)\s+)*(?:\([^)]*\)\s*)?([A-Za-z_$][\w$]*)", clean_signature(raw))
+    return found[1] if found else ""
+
+
 def dependencies(code: str, ext: str) -> list[tuple[str, str, str]]:
     """(symbol, local name, path hint) of what a source imports from its own project, each once."""
     found: list[tuple[str, str, str]] = []
@@ -180,10 +186,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("id", apply(spark, listed, "string", F.col("code"), extension(F.col("path"))).alias("dependencies"))
 
 
-@query("t26_shorthand", "SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) <= 2 THEN '[' || lang || '] ' || text END AS whole FROM documents")
+@query("t26_shorthand", expected_sql(CODE[:4], "shorthand"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = apply(spark, lambda k, c: shorthand(k, c, 1, 1 + c.count("\n")), "string", F.col("lang"), F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(F.split("text", "\n", -1)) <= 2, short).alias("whole"))
+    files = snippets(spark, sf_dir, CODE[:4])
+    short = apply(spark, lambda k, c: shorthand(k, c, 1, 1 + c.count("\n")), "string", F.ltrim(extension(F.col("path")), F.lit(".")), F.col("code"))
+    return files.select("id", short.alias("shorthand"))
 
 
 # Signatures before and after, and whether a type was lost.

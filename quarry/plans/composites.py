@@ -118,9 +118,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repo_map(files: DataFrame) -> DataFrame:
-    """path, imports, exports, n_lines of (path, code)."""
+    """imports, exports, n_lines of (path, code), besides the other columns."""
     ext = extension(F.col("path"))
-    return files.select("path", extract_imports(F.col("code"), ext).alias("imports"), extract_exports(F.col("code"), ext).alias("exports"), F.size(F.split("code", "\n", -1)).cast("long").alias("n_lines"))
+    return files.select(*[c for c in files.columns if c != "code"], extract_imports(F.col("code"), ext).alias("imports"), extract_exports(F.col("code"), ext).alias("exports"), F.size(F.split("code", "\n", -1)).cast("long").alias("n_lines"))
 
 
 @query("r15_repository_map", f"WITH {CODE_SQL} SELECT path, count(*) AS files, count(DISTINCT regexp_extract(code, '(?:function|def|func) ([A-Za-z0-9]+)', 1)) AS exports, CAST(sum(len(string_split(code, chr(10)))) AS BIGINT) AS n_lines FROM code GROUP BY 1")
@@ -129,6 +129,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("path").agg(F.count("*").alias("files"), F.count_distinct("exports").alias("exports"), F.sum("n_lines").alias("n_lines"))
 
 
+def map_views(repo: DataFrame) -> DataFrame:
+    """path, skeleton (what a file exports), full (also what it imports, and its lines)."""
+    skeleton = F.concat("path", F.lit(": "), F.array_join("exports", ", "))
+    return repo.select("*", skeleton.alias("skeleton"), F.concat(skeleton, F.lit(" <- "), F.array_join("imports", ", "), F.lit(" ("), F.col("n_lines").cast("string"), F.lit(")")).alias("full"))
+
+
+@query("r15_map_views", f"""SELECT id, path || ': ' || replace(exports, ',', ', ') AS skeleton, path || ': ' || replace(exports, ',', ', ') || ' <- ' || replace(imports, ',', ', ') || ' (' || len(string_split(code, chr(10))) || ')' AS "full"
+  FROM ({expected_sql(CODE, 'path', 'code', 'exports', 'imports')})""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_views(repo_map(snippets(spark, sf_dir, CODE))).select("id", "skeleton", "full")
+
+
 def outline(symbols: DataFrame, budget: int = 6000) -> DataFrame:
     """id, risk, defects, folded: rows of low risk without any defect fold into a list of names."""
     name, lines = F.regexp_extract("code", r"(?:function|def|func) (\w+)", 1), F.size(F.split("code", "\n", -1))

@@ -30,31 +30,33 @@ class Snippet:
     exported: str = "false"
     outline: str = ""
     occurrences: str = ""
+    shorthand: str = ""
+    is_error: str = "false"
 
 
 CODE = [
     Snippet(
         "a/plain.ts",
         "import x from './m{u}';\nexport function calc{u}(a) { if (a) { a += 1 } }",
-        name="calc{u}", imports="./m{u}", exports="calc{u}", exported="true", outline="2:calc{u}", occurrences="1:high", references="calc{u},./m{u}",
+        name="calc{u}", imports="./m{u}", exports="calc{u}", exported="true", outline="2:calc{u}", occurrences="1:high", shorthand="[ts] import x from './m{u}';\nexport function calc{u}(a) { if (a) { a += 1 } }", references="calc{u},./m{u}",
         light="import x from './m{u}';\nexport function calc{u}(a) { if (a) { a += 1 } }",
     ),
     Snippet(
         "a/price.ts",
         "export async function calculatePrice{u}(a: any) {\n  if (a) { a += 1; }\n  for (const b of a) { b.push(a * 2); }\n  return a.price * a.volume;\n}",
-        name="calculatePrice{u}", risk="HIGH", defects="type-escape-any", exports="calculatePrice{u}", exported="true", outline="1:calculatePrice{u}", occurrences="", references="calculatePrice{u},b.push",
+        name="calculatePrice{u}", risk="HIGH", defects="type-escape-any", exports="calculatePrice{u}", exported="true", outline="1:calculatePrice{u}", occurrences="", shorthand="[ts] export async function calculatePrice{u}(a: any) { /* L1-L5 */ }", references="calculatePrice{u},b.push",
         light="export async function calculatePrice{u}(a: any) {\n  if (a) { a += 1; }\n  for (const b of a) { b.push(a * 2); }\n  return a.price * a.volume;\n}",
     ),
     Snippet(
         "a/check.js",
         "function validate{u}(x) {\n  x.add(1); // once\n  x.add(2);\n  x.add(3);\n}",
-        name="validate{u}", risk="MED", outline="1:validate{u}", occurrences="1:high,2:high,3:high,4:high", references="validate{u},x.add",
+        name="validate{u}", risk="MED", outline="1:validate{u}", occurrences="1:high,2:high,3:high,4:high", shorthand="[js] function validate{u}(x) { /* L1-L5 */ }", references="validate{u},x.add",
         light="function validate{u}(x) {\n  x.add(1);\n  x.add(2);\n  x.add(3);\n}",
     ),
     Snippet(
         "a/bad.ts",
         "try { go(); } catch (e) {}\n// @ts-ignore\nconst v = w!.x;\nfunction f{u}() { return v as any; }",
-        name="f{u}", defects="swallowed-error,ts-suppress,type-escape-any,non-null-assert", outline="4:f{u}", occurrences="3:high", references="go,f{u}",
+        name="f{u}", defects="swallowed-error,ts-suppress,type-escape-any,non-null-assert", outline="4:f{u}", occurrences="3:high", shorthand="[ts] try { /* L1-L4 */ }", references="go,f{u}",
         light="try { go(); } catch (e) {}\n\nconst v = w!.x;\nfunction f{u}() { return v as any; }",
     ),
     Snippet(
@@ -91,6 +93,22 @@ LITERALS = [
     Snippet("a/v.ts", "no literal here", blank="no literal here"),
 ]
 
+#: Outputs of tools, and whether they tell an error.
+OUTPUTS = [
+    Snippet("o", "error TS2304: cannot find {u}", is_error="true"),
+    Snippet("o", "npm ERR! code {u}", is_error="true"),
+    Snippet("o", "ok\n  FAIL lib/t{u}.js", is_error="true"),
+    Snippet("o", "Process exited with code 1", is_error="true"),
+    Snippet("o", "Process exited with code 0 after {u} tests"),
+    Snippet("o", "2 tests failed, {u} passed", is_error="true"),
+    Snippet("o", "catches a TypeError: in docs, {u}"),
+    Snippet("o", "RangeError: {u}\nat a.ts"),
+    Snippet("o", "TypeError: x{u}\nat a.ts", is_error="true"),
+    Snippet("o", "ENOENT: no file {u}, Cannot find module", is_error="true"),
+    Snippet("o", "ENOENT may be ignored {u}"),
+    Snippet("o", ""),
+]
+
 
 def snippets(spark: SparkSession, sf_dir: str, of: list[Snippet]) -> DataFrame:
     """id, path, code of every event."""

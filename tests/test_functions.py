@@ -418,3 +418,10 @@ def test_committed_tables_and_candidates(spark, tmp_path):
     assert read_committed(spark, root, "a", "id long").count() == 4
     assert first_existing(spark, [f"{root}/none", f"{root}/v00000001", root]) == f"{root}/v00000001"
     assert first_existing(spark, [f"{root}/none"]) is None
+
+
+@pytest.mark.parametrize(("raw", "name"), [("export async function go(a)", "go"), ("private static get size()", "size"), ("class Box<T>", "Box"), ("def run(self)", "run"), ("func (s *T) Serve(a int)", "Serve"), ("const a = 1", "a"), ("(", "")])
+def test_declared_names(raw, name):
+    from quarry.functions.structure import declared_name
+
+    assert declared_name(raw) == name
