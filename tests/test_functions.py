@@ -234,22 +234,33 @@ def test_structure_functions():
 
 
 def pruned(texts, share, alpha):
-    """id -> words and kept words, by brute force."""
-    corpus = collections.Counter(w.lower() for t in texts.values() for w in t.split())
+    """Words, and kept words by the rules of the operator: common words by their share of the corpus, all protections."""
+    every = [w.lower() for t in texts.values() for w in t.split()]
+    share_of = {w: n / len(every) for w, n in collections.Counter(every).items()}
     out = {}
     for k, t in texts.items():
-        tf = collections.Counter(w.lower() for w in t.split())
-        score = {w: round(alpha * -math.log2(corpus[w] / corpus.total()) + (1 - alpha) * n / max(tf.values()) * math.log2(1 + len(tf) / n), 9) for w, n in tf.items()}
-        all_ = sorted(score[w.lower()] for w in t.split())
-        cut = all_[math.floor(len(all_) * share)]
-        out[k] = (len(all_), sum(score[w.lower()] >= cut or bool(re.search(r"^[A-Z]|[0-9]|\.\w", w)) for w in t.split()))
+        words, own = t.split(), collections.Counter(w.lower() for w in t.split())
+        kinds, safe, before = len(own), [], ""
+        scores = []
+        for w in words:
+            p = share_of[w.lower()] if share_of[w.lower()] >= 0.001 else 0.0001
+            scores.append(round(alpha * -math.log2(p) + (1 - alpha) * own[w.lower()] / max(own.values()) * math.log2(1 + kinds / own[w.lower()]), 9))
+            plain = re.fullmatch(r"[{}()\[\];:,=<>!&|+\-*/%^~?@#]|=>|\.\.\.|\d+(\.\d+)?", w)
+            safe.append(bool(plain) or w[0].isupper() or any(c in w for c in ".()") or w.lower() in code_words or before in code_words)
+            before = w.lower()
+        free = sorted(x for x, p in zip(scores, safe, strict=True) if not p)
+        cut = free[int(len(free) * share)] if free else 0
+        out[k] = (len(words), sum(p or x >= cut for x, p in zip(scores, safe, strict=True)))
     return out
 
 
+code_words = "function class interface type import export return throw await const let var new extends implements from as enum def func struct package async yield".split()
+
+
 @pytest.mark.parametrize(("name", "share", "alpha"), [("t9_medium_pruning", 0.3, 0.5), ("t11_aggressive_pruning", 0.5, 0.7)])
 def test_pruning_covers_every_document(spark, tmp_path, name, share, alpha):
     rng = random.Random(13)
-    words = ["the", "of", "Graph", "node", "a.b", "x1", "edge", "Of", "rare", "path", "end."]
+    words = ["the", "of", "Graph", "node", "a.b", "x1", "edge", "Of", "rare", "path", "end.", "return", "12", "f(x)", "=>", "new"]
     texts = {k: " ".join(rng.choices(words, range(len(words), 0, -1), k=rng.randrange(1, 60))) for k in range(1, 26)}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.id: (r.words, r.kept) for r in QUERIES[name](spark, str(tmp_path)).collect()} == pruned(texts, share, alpha)
