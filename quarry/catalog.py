@@ -2,10 +2,10 @@
 
 from quarry.functions import code, compress, structure
 from quarry.operators import aggregates, logs, relations, retrieval, stored_index, windows
-from quarry.plans import composites, graph, spectral
+from quarry.plans import composites, definitions, graph, spectral
 from quarry.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 from quarry.sources import files, maintenance
 from quarry.streaming import events
 
-MODULES = [retrieval, stored_index, aggregates, windows, relations, graph, spectral, logs, code, events, files, composites, structure, compress, maintenance]
+MODULES = [retrieval, stored_index, aggregates, windows, relations, graph, spectral, logs, code, events, files, composites, definitions, structure, compress, maintenance]
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]

@@ -68,7 +68,7 @@ def signature(code: str) -> str:
         if c in QUOTES:
             k = _after_string(code, k)
             continue
-        if c in "([" or c == "<" and re.match(r"[\w\s]", code[k + 1 : k + 2] or " "):
+        if c in "([" or c == "<" and re.match(r"[\w\s{\[(]", code[k + 1 : k + 2] or " "):
             depth += 1
         elif c in ")]" or c == ">" and depth and code[k - 1] not in "=-":
             depth -= 1
