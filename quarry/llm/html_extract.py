@@ -9,8 +9,11 @@ decision tree, trained on the labelled table below, tells content from the rest.
 from __future__ import annotations
 
 import html
+import itertools
 import re
-from dataclasses import dataclass
+from bisect import bisect_right
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,16 @@ _WEAK_WORDS = re.compile(rf"(?:^|[\s_-])(?:{_WEAK})(?=$|[\s_-])", re.I)
 _OWN_HEADER = re.compile(r"(?:^|(?<=\s))(?:entry|article|post|story|content|section)[_-]?header(?=$|\s)", re.I)
 _CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|posts|entry|story|body|text|prose|page-content|hentry)(?=$|[\s_-])", re.I)
 
-#: Classes of a layout that say what stands beside, as in has-sidebar.
-_LAYOUT_WORDS = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|show|hide|is|js)[-_][\w-]+", re.I)
+#: Classes of a layout that say what stands beside, as in has-sidebar, and classes of a topic, as in tag-advertising.
+_LAYOUT_WORDS = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without|show|hide|is|js|tags?|category|cat|topic|subject|format|type|status|author|series)[-_][\w-]+", re.I)
+#: Elements that a form for input does not hold.
+_STRUCTURE = re.compile(r"<(?:article|main|nav|header|footer|h1)\b", re.I)
+_FORM = re.compile(r"</?form\b", re.I)
+_PARAGRAPH = re.compile(r"<p\b", re.I)
+#: Paragraphs from which a form is a wrapper of the page.
+FORM_PARAGRAPHS = 3
+#: Words without links that one named element must hold, and times the words found outside it, to be the page's text in spite of its name.
+NAMED_WORDS, NAMED_TIMES = 40, 4
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -73,6 +84,8 @@ class Block:
     furniture: bool
     named: float
     heading: bool
+    root: int = -1  # the outermost element whose name means furniture
+    inner: float = 0.0  # what the names inside that element say
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -80,8 +93,9 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    # Open elements: (tag, article, furniture, named, dropped, heading, link).
-    stack: list[tuple] = [("", False, False, 0.0, False, False, False)]
+    # Open elements: (tag, article, furniture, named, dropped, heading, link, root, inner).
+    stack: list[tuple] = [("", False, False, 0.0, False, False, False, -1, 0.0)]
+    forms: list[int] | None = None  # where tags of forms stand
     # Places in the stack by tag, and of the elements that stray end tags don't leave.
     places: dict[str, list[int]] = {}
     barriers: list[int] = [0]
@@ -93,8 +107,8 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 words = len(text.split())
                 link = len(html.unescape(" ".join(link_parts)).split())
-                _, article, furniture, named, _, heading, _ = stack[-1]
-                out.append(Block(text, words, min(words, link), article, furniture, named, heading))
+                _, article, furniture, named, _, heading, _, root, inner = stack[-1]
+                out.append(Block(text, words, min(words, link), article, furniture, named, heading, root, inner))
             parts.clear()
             link_parts.clear()
 
@@ -172,17 +186,27 @@ def blocks_of(page: str) -> list[Block]:
                 elif tag not in ("body", "html") and not (tag == "header" and top[1]):
                     own_name = max(own_name, _named(value, tag, top[1]))
                     said_content |= bool(_CONTENT_WORDS.search(value))
-        named = max(top[3], own_name)
+        named, root, inner = max(top[3], own_name), top[7], max(top[8], own_name) if top[7] >= 0 else 0.0
         if tag in CONTENT and not begun and not top[2]:
-            # The page's first article or main part counts whatever its wrappers are named.
-            begun, named = True, 0.0 if top[3] else own_name
+            # The page's first article or main part counts whatever it and its wrappers are named.
+            begun, named, root, inner = True, 0.0, -1, 0.0
+        if named == 1.0 and root < 0:
+            root, inner = i, 0.0
         article = top[1] or tag in CONTENT or said_content and not named
         # A heading block of an article may stand in its own header element.
         furniture = top[2] or tag in FURNITURE and not (tag == "header" and top[1])
+        if tag == "form" and furniture and not top[2]:
+            # A form around the page's parts or paragraphs asks for nothing.  Forms don't nest, so each is read once.
+            if forms is None:
+                forms = [x.start() for x in _FORM.finditer(page)]
+            k = bisect_right(forms, i)
+            end = forms[k] if k < len(forms) else n
+            paragraphs = itertools.islice(_PARAGRAPH.finditer(page, at, end), FORM_PARAGRAPHS)
+            furniture = not _STRUCTURE.search(page, at, end) and sum(1 for _ in paragraphs) < FORM_PARAGRAPHS
         places.setdefault(tag, []).append(len(stack))
         if tag in BARRIERS:
             barriers.append(len(stack))
-        stack.append((tag, article, furniture, named, dropped, top[5] or tag in HEADINGS, top[6] or tag == "a"))
+        stack.append((tag, article, furniture, named, dropped, top[5] or tag in HEADINGS, top[6] or tag == "a", root, inner))
     flush()
     return out
 
@@ -284,12 +308,29 @@ def train_tree(table: np.ndarray = LABELLED) -> Tree:
     return Tree(table[:, :-1], table[:, -1])
 
 
+def _text_in_spite_of_name(blocks: list[Block], keep: np.ndarray) -> int | None:
+    """The element that holds the page's text though its name means furniture: most words without links, and hardly any elsewhere."""
+    plain = Counter()
+    for b in blocks:
+        if not b.furniture and not b.heading:
+            plain[b.root] += b.words - b.link_words
+    named = [(n, -root) for root, n in plain.items() if root >= 0]
+    if not named:
+        return None
+    n, root = max(named)
+    found = sum(b.words - b.link_words for b, k in zip(blocks, keep, strict=True) if k and not b.heading)
+    return -root if n >= NAMED_WORDS and n > NAMED_TIMES * found and 2 * n > sum(plain.values()) else None
+
+
 def main_text(page: str | None, tree: Tree) -> str:
     """The content blocks of a page in order, joined by one space; empty for a null page."""
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
     keep = tree.predict(features_of(blocks))
+    if (root := _text_in_spite_of_name(blocks, keep)) is not None:
+        blocks = [replace(b, named=b.inner, article=True) if b.root == root else b for b in blocks]
+        keep = tree.predict(features_of(blocks))
     return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 

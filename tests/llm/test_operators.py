@@ -150,6 +150,46 @@ def test_contamination_on_odd_rows(spark, odd):
 # --- HTML -----------------------------------------------------------------------------
 
 TREE = html_extract.train_tree()
+PLAIN = [" ".join(f"word{k}" for k in range(a, a + 60)) for a in (0, 100)]
+
+
+@pytest.mark.parametrize(
+    "begin,end",
+    [
+        ('<article class="category-social-media">', "</article>"),
+        ('<article class="post tag-advertising hentry">', "</article>"),
+        ('<article class="newsletter cookies">', "</article>"),
+        ('<div class="post category-promotions">', "</div>"),
+        ('<main><section class="privacy-notice">', "</section></main>"),
+        ('<div id="menu-content">', "</div>"),
+        ('<form id="aspnetForm" action="x"><input type="hidden" value="y"><div id="main"><article>', "</article></div></form>"),
+        ("<form><div>", f"<p>{PLAIN[0]}</p></div></form>"),
+        ('<div class="social"><div>', "</div></div>"),
+    ],
+)
+def test_a_topic_or_a_wrapper_does_not_hide_the_article(begin, end):
+    menu = '<nav><a href="/">Home</a> <a href="/x">More</a></nav>'
+    third = f" {PLAIN[0]}" if "<p>" in end else ""
+    for page in (f"{begin}<p>{PLAIN[0]}</p><p>{PLAIN[1]}</p>{end}", f"<body>{menu}{begin}<p>{PLAIN[0]}</p><p>{PLAIN[1]}</p>{end}<footer>All rights</footer></body>"):
+        assert html_extract.main_text(page, TREE) == f"{PLAIN[0]} {PLAIN[1]}{third}"
+
+
+@pytest.mark.parametrize(
+    "other",
+    [
+        f'<section class="comments"><p>{PLAIN[1]}</p><p>{PLAIN[1]}</p><p>{PLAIN[1]}</p></section>',
+        f'<div id="cookie-notice"><p>{PLAIN[1]}</p></div>',
+        f'<form><p>Name</p><input name="a"><textarea></textarea><p>{PLAIN[1]}</p></form>',
+        f'<div class="ad tag-x"><p>{PLAIN[1]}</p></div>',
+    ],
+)
+def test_names_and_forms_beside_an_article_still_hide(other):
+    for wrap in ("<article><p>%s</p></article>", '<div class="post tag-news"><p>%s</p></div>'):
+        assert html_extract.main_text(wrap % PLAIN[0] + other, TREE) == PLAIN[0]
+
+
+def test_a_page_of_unclosed_forms_is_read_once():
+    assert html_extract.main_text("<form><p>a" * 50_000, TREE) == ""
 
 
 def test_main_text_of_a_page():
