@@ -199,6 +199,8 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), _lists(text_features(batch.column(1).to_pylist())), *batch.columns[2:]], ["id", "x", *batch.schema.names[2:]])
 
 
+#: Groups in which the surest documents of all tasks are ranked first.
+SALTS = 32
 META = "lang string, source string, n_chars int, n_lines int"
 PICKED = "view int, kind double, sure double, place long, id long, both array<float>"
 
@@ -237,14 +239,17 @@ def _surest(views: list[Logistic], wanted: dict[float, int], taken: set[int]):
 def unlabelled(pool: DataFrame) -> Hand:
     """Hands over documents of a stored table of text views: id, x and the columns of ``META``.
 
-    A round is one pass over the table.  Each task hands on its surest documents, of which
-    the surest of all go to the driver, so many as are wanted.
+    A round is one pass over the table.  Each task hands on its surest documents.  The surest of each of ``SALTS`` groups
+    are found first, and of those, a bounded number however many tasks there are, the surest of all, which
+    go to the driver, so many as are wanted.
     """
 
     def hand(views: list[Logistic], wanted: dict[float, int], taken: set[int]) -> list[tuple[int, float, list[int], list[np.ndarray]]]:
-        top = Window.partitionBy("view", "kind").orderBy(F.desc("sure"), "place", "id")
+        order = (F.desc("sure"), "place", "id")
+        some, top = Window.partitionBy("view", "kind", "salt").orderBy(*order), Window.partitionBy("view", "kind").orderBy(*order)
         most = F.when(F.col("kind") > 0, wanted[1.0]).otherwise(wanted[0.0])
         picked = arrow_map(pool, _surest(views, wanted, taken), PICKED).dropDuplicates(["view", "kind", "id"])
+        picked = picked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("rank", F.row_number().over(some)).where(F.col("rank") <= max(wanted.values()))
         rows = picked.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= max(wanted.values())).where(F.col("rank") <= most).collect()
         out, gone = [], set()
         for view in (0, 1):

@@ -90,12 +90,17 @@ def features(words: set[str]) -> list[str]:
     return [*words, *(w[:k] + "*" for w in words for k in PREFIXES if len(w) > k)]
 
 
+#: Share of the bound on training characters from which a text is long.
+LONG_SHARE = 0.02
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
     """_id, _text, _label, stored: one row for each of at most ``max_train`` labelled ids that are not held out.
 
     Null ids and labels are left out; of conflicting labels of an id the higher counts, of
     its texts the last in binary order, null as empty.  Documents of which the
-    characters up to them, in the order of the hash, exceed ``max_chars`` are left out.
+    characters up to them exceed ``max_chars`` are left out; the order is that of the hash, but
+    texts of more than ``LONG_SHARE`` of that bound come last, so a long text takes no other's place.
     Empty tables give no rows; other columns are ignored.
     """
     key = F.col(f"`{id_col}`").cast("long")
@@ -105,7 +110,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     texts = docs.select(key.alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text")).join(F.broadcast(some), "_id")
     rows = materialize(texts.groupBy("_id").agg(F.max("_text").alias("_text"), F.max("_label").alias("_label")), "training")
-    total = F.sum("_n").over(Window.orderBy(F.xxhash64("_id"), "_id"))  # over max_train rows at most
+    total = F.sum("_n").over(Window.orderBy(F.col("_n") > max_chars * LONG_SHARE, F.xxhash64("_id"), "_id"))  # over max_train rows at most
     over = rows.select("_id", F.char_length("_text").cast("long").alias("_n")).select("_id", total.alias("_n")).where(F.col("_n") > max_chars)
     return rows.join(F.broadcast(over), "_id", "left_anti")
 
@@ -151,13 +156,13 @@ def _bags(names: list[str]):
     return task
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> Model:
     """Fit on a bounded sample of the labelled rows.
 
     The sample is stored once and read three times.  The driver gets at most
     ``MAX_FEATURES`` features and ``max_train`` bags of their numbers.  Without labels, or with labels of one kind, the model scores 0 everywhere.
     """
-    rows = training_rows(docs, labels, id_col, text_col, label_col, max_train).select("_text", "_label")
+    rows = training_rows(docs, labels, id_col, text_col, label_col, max_train, max_chars).select("_text", "_label")
     totals = rows.agg(F.count("*").alias("n"), F.sum(F.col("_label").cast("long")).alias("toxic")).first()
     n, toxic = totals["n"], totals["toxic"] or 0
     if not 0 < toxic < n:

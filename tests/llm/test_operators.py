@@ -627,6 +627,32 @@ def test_quality_held_out_accuracy(spark):
     assert sum(r.predicted == truth[r.doc_id] for r in unseen) >= 0.97 * len(unseen)
 
 
+def test_the_surest_of_many_tasks(spark):
+    rng = np.random.default_rng(41)
+    x = np.zeros((4000, quality.TEXT_FEATURES), dtype=np.float32)
+    x[:, 0] = rng.random(4000)
+    rows = [(k, v.tolist(), "en", "s", 100, 2) for k, v in enumerate(x)]
+    pool = materialize(spark.createDataFrame(rows, f"id long, x array<float>, {quality.META}").repartition(1000), "pool")
+    w = np.zeros(quality.TEXT_FEATURES)
+    w[0] = 40.0
+    views = [quality.Logistic(np.zeros(len(w)), np.ones(len(w)), w, -20.0), quality._constant(quality.META_FEATURES, 0.5)]
+    with_many = {(view, kind): ids for view, kind, ids, _ in quality.unlabelled(pool)(views, {1.0: 50, 0.0: 30}, set())}
+    order = np.argsort(x[:, 0], kind="stable")
+    assert set(with_many[0, 1.0]) == set(order[-50:].tolist()) and set(with_many[0, 0.0]) == set(order[:30].tolist())
+
+
+def test_one_long_labelled_text_does_not_empty_the_training_set(spark):
+    rng = random.Random(43)
+    rows = [(k, rand_text(rng, 5)) for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int")
+    first = frame(spark, rows).where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    short = toxicity.training_rows(frame(spark, rows), labels, "doc_id", "text", "toxic", 1000, 1_500).count()
+    with_long = frame(spark, [(k, "long " * 5000 if k == first else t) for k, t in rows])
+    got = toxicity.training_rows(with_long, labels, "doc_id", "text", "toxic", 1000, 1_500)
+    assert got.count() >= short - 1 > 20 and got.where(F.col("_id") == first).count() == 0
+    assert toxicity.training_rows(with_long, labels, "doc_id", "text", "toxic", 1000).where(F.col("_id") == first).count() == 1
+
+
 def test_quality_on_odd_rows(spark, odd):
     rows = quality.score_documents(odd.drop("lang").withColumn("source", F.lit(None).cast("string")), spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert len(rows) == len(ODD) and len({round(r.score, 9) for r in rows}) == 1
