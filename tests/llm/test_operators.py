@@ -90,6 +90,61 @@ def test_alignment_equals_brute_force():
         score, lo, hi = decontaminate.align(np.array(a), np.array(b))
         assert score == smith_waterman(a, b)
         assert not score or smith_waterman(a, b[lo:hi]) == score
+    several = [([rng.randrange(4) for _ in range(rng.randrange(1, 15))], [rng.randrange(4) for _ in range(rng.randrange(1, 30))]) for _ in range(50)]
+    together = decontaminate.align_all([np.array(a, dtype=np.uint64) for a, _ in several], [np.array(b, dtype=np.uint64) for _, b in several])
+    assert together == [decontaminate.align(np.array(a), np.array(b)) for a, b in several]
+
+
+def zipf(rng, n, vocabulary):
+    """Text as it is used: few words make up most of it."""
+    return " ".join(f"w{int(len(vocabulary) ** rng.random())}" for _ in range(n))
+
+
+@pytest.mark.parametrize("edit", [3, 4, 5, "added"])
+def test_dense_edits_are_found_in_natural_text(spark, edit):
+    rng = random.Random(23)
+    vocabulary = range(20_000)
+    items = [(k, zipf(rng, 40, vocabulary)) for k in range(150)]
+    docs = [(k, zipf(rng, 400, vocabulary)) for k in range(300)]
+    for k, text in items[:40]:
+        words = text.split()
+        if edit == "added":
+            words = [x for j, w in enumerate(words) for x in ([w, f"new{j}"] if j % 4 == 3 else [w])]
+        else:
+            words = [f"new{j}" if j % edit == k % edit else w for j, w in enumerate(words)]
+        docs.append((1000 + k, f"{zipf(rng, 100, vocabulary)} {' '.join(words)} {zipf(rng, 100, vocabulary)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(frame(spark, docs), bench).collect()}
+    of = {i: t.lower().split() for i, t in items}
+    want = {(1000 + k, k) for k in range(40) if smith_waterman(of[k], dict(docs)[1000 + k].split()) >= len(of[k])}
+    assert len(want) >= 25 and len(got & want) >= 0.95 * len(want) and {d for d, _ in got} <= set(range(1000, 1040))
+
+
+def test_frequent_pairs_cost_no_meetings():
+    rng = np.random.default_rng(29)
+    p = 1 / np.arange(1, 5001)
+    text = lambda n: " ".join(f"w{k}" for k in rng.choice(5000, n, p=p / p.sum()))
+    items = decontaminate.Items(list(range(400)), [text(40) for _ in range(400)])
+    words = hash_words([text(400) for _ in range(400)])
+    hashes, doc, _ = decontaminate._document_pairs(words)
+    at, number, _ = decontaminate.Members(items.different).find(hashes)
+    holding = np.bincount(np.unique(doc[at] * len(items.different) + number) % len(items.different), minlength=len(items.different))
+    seeds = items.seeds(holding, 400)
+    df = dict(zip(items.different.tolist(), holding.tolist(), strict=True))
+    often = [h for h in seeds.hashes.tolist() if df[h] > decontaminate.FREQUENT_DOCUMENTS]
+    assert min(df[h] for h in seeds.hashes.tolist()) > 0 and len(often) < 0.1 * len(seeds.hashes)
+    leaked = items.seeds(np.full_like(holding, 300), 400)  # all pairs are frequent
+    assert (np.bincount(leaked.item, minlength=400) == decontaminate.LEAST_SEEDS).all()
+    assert sum(1 for _ in decontaminate._stretches(seeds, words)) < 0.02 * 400 * 400  # of all pairs of documents and items
+
+
+def test_a_long_text_of_many_copies(spark):
+    rng = random.Random(31)
+    item = rand_text(rng, 40, 3000)
+    docs = [(1, " ".join([item, rand_text(rng, 5, 3000)] * 4000)), (2, rand_text(rng, 200_000, 3000) + " " + item)]
+    got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame([(1, item), (2, rand_text(rng, 40, 3000))], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == {(1, 1, 1.0), (2, 1, 1.0)}
+    assert next(r.start_word for r in got if r.doc_id == 2) == 200_000
 
 
 def test_leaks_are_found_and_clean_documents_left(spark):
@@ -114,7 +169,7 @@ def test_edited_leaks_are_found(spark, verbatim):
     items = [(k, rand_text(rng, n, 3000)) for k, n in enumerate((16, 25, 40, 55) * 6)]
     docs, want = [], set()
     for k, text in items:
-        for step in (4, 5, 6):
+        for step in (3, 4, 5, 6):
             edited = text.split()
             for at in range(rng.randrange(step), len(edited), step):
                 edited[at] = f"changed{rng.randrange(10**6)}"
