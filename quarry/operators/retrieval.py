@@ -91,24 +91,6 @@ def bm25_sql(query_terms: list[str]) -> str:
 QUERY = ["ndnt", "thtion", "ined", "ing", "ined"]
 
 
-@query("r1_bm25", f"WITH {CHUNKS_SQL}, {bm25_sql(QUERY)} SELECT id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 20")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25(build_index(chunks(spark, sf_dir)), QUERY, 20).select("id", F.round("score", 6).alias("score"))
-
-
-def keyword_search(index: Index, terms: list[str], limit: int = 10) -> DataFrame:
-    """Top 2 x limit by BM25, weighted by path, cut to limit; texts join after the cut."""
-    top = bm25(index, terms, 2 * limit)
-    paths = index.chunks.select("id", "path")
-    best = paths.join(F.broadcast(top), "id").select("id", "path", F.round(F.col("score") * path_boost(F.col("path")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
-    return best
-
-
-@query("r4_keyword_search", f"WITH {CHUNKS_SQL}, {bm25_sql(QUERY)}, top AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 20) SELECT id, path, round(score * {PATH_BOOST_SQL}, 6) AS score FROM top JOIN chunks USING (id) ORDER BY 3 DESC, id LIMIT 10")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keyword_search(build_index(chunks(spark, sf_dir)), QUERY, 10)
-
-
 def dot(a: Column, b: Column) -> Column:
     """Dot product in double precision; 0 for vectors of different length."""
     wide = lambda v: F.transform(v, lambda x: x.cast("double"))
@@ -141,17 +123,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("id", "path").join(F.broadcast(top), "id").select("id", "path", F.round(1 - F.col("distance"), 6).alias("score"))
 
 
-def hybrid(index: Index, vectors: DataFrame, query_vector: DataFrame, terms: list[str], limit: int = 10) -> DataFrame:
-    """Reciprocal rank fusion of the two top lists, weighted by path."""
-    rank = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  at most POOL rows
-    kw = rank(bm25(index, terms, POOL), F.desc("score"), F.col("id")).select("id", F.col("rank").alias("kr"))
-    vec = rank(knn(vectors, query_vector, POOL), F.col("distance"), F.col("id")).select("id", F.col("rank").alias("vr"))
-    part = lambda c: F.coalesce(1 / (RRF + F.col(c)), F.lit(0.0))
-    fused = kw.join(vec, "id", "full_outer").select("id", (part("kr") + part("vr")).alias("rrf"))
-    met = index.chunks.select("id", "path").join(F.broadcast(fused), "id")
-    return met.select("id", "path", F.round(F.col("rrf") * path_boost(F.col("path")), 9).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
-
-
 HYBRID_SQL = f"""{bm25_sql(QUERY)}, {KNN_SQL},
   kw AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm QUALIFY r <= {POOL}),
   vec AS (SELECT id, row_number() OVER (ORDER BY distance, id) AS r FROM knn QUALIFY r <= {POOL}),
@@ -159,12 +130,6 @@ HYBRID_SQL = f"""{bm25_sql(QUERY)}, {KNN_SQL},
   hyb AS (SELECT id, path, round(rrf * {PATH_BOOST_SQL}, 9) AS score FROM fused JOIN chunks USING (id))"""
 
 
-@query("r3_hybrid_search", f"WITH {CHUNKS_SQL}, {HYBRID_SQL} SELECT id, path, round(score, 6) AS score FROM hyb ORDER BY hyb.score DESC, id LIMIT 10")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    return hybrid(build_index(chunks(spark, sf_dir)), v, v.where("id = 7"), QUERY, 10).select("id", "path", F.round("score", 6).alias("score"))
-
-
 def rerank(results: DataFrame, vertices: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     """Weights results by the place of their path in a graph of paths.
 
@@ -199,18 +164,13 @@ def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return degree.withColumn("tier", F.when(F.col("in_degree") >= 4, "core").when(F.col("in_degree") >= 3, "logic").otherwise("leaf")), edges
 
 
-@query("r6_topology_search", f"""WITH {CHUNKS_SQL}, {bm25_sql(QUERY)}, {LINKS_SQL},
+def topology_sql() -> str:
+    return f"""WITH {CHUNKS_SQL}, {bm25_sql(QUERY)}, {LINKS_SQL},
   res AS (SELECT id, symbol_name AS path, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm JOIN chunks USING (id) QUALIFY rank <= 50),
   epi AS (SELECT DISTINCT path FROM res WHERE rank <= 3), bl AS (SELECT DISTINCT src AS path FROM links WHERE dst IN (SELECT path FROM epi) AND src <> dst)
   SELECT id, r.path, round(score * CASE WHEN v.tier IS NULL THEN 1 ELSE 1 + CASE v.tier WHEN 'core' THEN 0.5 WHEN 'logic' THEN 0.2 ELSE 0 END + 0.15 * log2(1 + v.in_degree) END * CASE WHEN bl.path IS NOT NULL THEN 1.5 ELSE 1 END, 6) AS score,
     coalesce(v.tier, 'orphan') AS tier, coalesce(v.in_degree, 0) AS in_degree, rank <= 3 AS is_top3, bl.path IS NOT NULL AS is_blast
-  FROM res r LEFT JOIN verts v ON v.source = r.path LEFT JOIN bl ON bl.path = r.path ORDER BY 3 DESC, id LIMIT 10""")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
-    top = bm25(build_index(c), QUERY, 50)
-    results = c.select("id", F.col("symbol_name").alias("path")).join(F.broadcast(top), "id")
-    vertices, edges = _links(spark, sf_dir)
-    return rerank(results, vertices, edges, 10)
+  FROM res r LEFT JOIN verts v ON v.source = r.path LEFT JOIN bl ON bl.path = r.path ORDER BY 3 DESC, id LIMIT 10"""
 
 
 def definitions(chunks: DataFrame, symbol: str, kinds: list[str] | None = None) -> DataFrame:

@@ -284,10 +284,97 @@ def test_stored_index_follows_its_chunks(spark, tmp_path):
     assert [r.id for r in boosted(index, ["delta"], 1).collect()] == [20]
     index.remove(spark.createDataFrame([(20,), (99,)], "id long"))
     assert index.docs().count() == 11 and 20 not in dict(found(index))
+    assert StoredIndex.open(spark, index.path, version=2).docs().count() == 12 and StoredIndex.open(spark, index.path, version=1).search(["beta3"], 5).count() == 0
     index.wipe()
     assert StoredIndex.open(spark, index.path).docs().count() == 0
 
 
+INDEXED = "id long, path string, raw string, vector array<float>"
+
+
+def test_one_version_of_all_tables_of_an_index(spark, tmp_path):
+    from quarry.operators.stored_index import StoredIndex
+
+    rows = [(k, f"/src/f{k // 2}", f"alpha beta{k} own{k}", [float(k), 1.0] if k % 3 else []) for k in range(10)]
+    frame = lambda r: spark.createDataFrame(r, INDEXED)
+    index = StoredIndex(spark, f"file://{tmp_path}/a")
+    index.update(frame(rows))
+    assert index.dim == 2 and sorted(r.id for r in index.vectors().collect()) == [k for k in range(10) if k % 3]
+    assert [r.id for r in index.nearest([1.0, 0.0], 2).collect()] == [8, 7] and {r.path for r in index.files_with("own3").collect()} == {"/src/f1"}
+    index.remove_paths(spark.createDataFrame([("/src/f1",), ("/none",)], "path string"))
+    whole = lambda i: tuple(sorted({r.id for r in t.collect()}) for t in (i.docs(), i.postings(), i.identifiers(), i.vectors()))
+    left = [k for k in range(10) if k not in (2, 3)]
+    assert whole(index) == (left, left, left, [k for k in left if k % 3]) and (index.n, index.dead) == (8, 2)
+    assert index.files_with("own3").count() == 0 and [r.id for r in index.search(["own", "3"], 3).collect() if r.id == 3] == []
+    packed = index.vacuum(f"file://{tmp_path}/b")
+    assert whole(packed) == whole(index) and (packed.n, packed.total, packed.dead, packed.dim) == (8, index.total, 0, 2)
+    index.update(frame([(1, "/src/f0", "alpha", [1.0, 2.0, 3.0])]))  # vectors of another length
+    assert index.dim == 3 and whole(index) == ([1], [1], [1], [1]) and index.version == 1
+    index.update(frame([]))
+    assert whole(index) == ([], [], [], []) and index.n == 0 and index.search(["alpha"], 5).count() == 0
+
+
+@pytest.mark.parametrize("failing", ["postings", "identifiers", "vectors", "docs", "dead", "version"])
+def test_a_failed_update_leaves_the_last_version(spark, tmp_path, monkeypatch, failing):
+    from quarry.operators.stored_index import StoredIndex
+
+    frame = lambda r: spark.createDataFrame(r, INDEXED)
+    first = [(1, "/a", "alpha beta", [1.0]), (2, "/b", "alpha", None)]
+    second = [(2, "/b", "alpha alpha gamma", [2.0]), (3, "/c", "alpha", [3.0])]
+    index = StoredIndex(spark, f"file://{tmp_path}/a")
+    index.update(frame(first))
+    state = lambda i: ([(r.id, r.score) for r in i.search(["alpha", "gamma"], 9).collect()], sorted(r.id for r in i.vectors().collect()), i.n, i.total)
+    before = state(index)
+    write = StoredIndex._write
+
+    def broken(self, name, rows):
+        if name.split("/")[0] == failing:
+            raise OSError("no space")
+        write(self, name, rows)
+
+    monkeypatch.setattr(StoredIndex, "_write", broken)
+    if failing == "version":
+        monkeypatch.setattr(StoredIndex, "_finish", lambda *a: (_ for _ in ()).throw(OSError("no space")))
+    with pytest.raises(OSError):
+        StoredIndex.open(spark, index.path).update(frame(second))
+    monkeypatch.undo()
+    left = StoredIndex.open(spark, index.path)
+    assert left.version == 1 and state(left) == before
+    assert left.recover() == ("forward" if failing == "version" else "nothing" if failing == "postings" else "back")
+    fresh = StoredIndex(spark, f"file://{tmp_path}/b")
+    fresh.update(frame(second))
+    if failing != "version":
+        assert state(StoredIndex.open(spark, index.path)) == before and left.recover() == "nothing"
+        left.update(frame(second))
+    assert state(StoredIndex.open(spark, index.path)) == state(fresh)
+
+
+def test_derived_tables_are_made_anew_only_for_other_inputs(spark, tmp_path):
+    from quarry.plans.derived import Derived, fingerprint
+
+    at = lambda k: f"file://{tmp_path}/{k}"
+    for k in range(3):
+        (tmp_path / "in" / f"d{k}").mkdir(parents=True)
+        (tmp_path / "in" / f"d{k}" / "f.txt").write_text("x\n" * k)
+    kept, calls = Derived(spark, at("kept")), []
+
+    def make():
+        calls.append(1)
+        return spark.read.option("recursiveFileLookup", "true").text(at("in"))
+
+    assert kept.table("t", [at("in")], make).count() == kept.table("t", [at("in")], make).count() == 3 and len(calls) == kept.made == 1
+    before = fingerprint(spark, [at("in")])
+    (tmp_path / "in" / "d0" / "g.txt").write_text("y\n")
+    assert fingerprint(spark, [at("in")]) != before and kept.table("t", [at("in")], make).count() == 4 and len(calls) == 2
+    os.rename(tmp_path / "in" / "d0" / "g.txt", tmp_path / "in" / "d1" / "g.txt")
+    assert kept.table("t", [at("in")], make).count() == 4 and len(calls) == 3  # another place is another input
+    kept.table("t", [at("in")], make, version=2)
+    assert len(calls) == 4
+    with pytest.raises(ZeroDivisionError):
+        kept.folder("u", [at("in")], lambda place: spark.range(1).write.parquet(f"{place}/x") or 1 / 0)
+    assert kept.folder("u", [at("in")], lambda place: spark.range(2).write.parquet(f"{place}/x")) and kept.made == 5
+
+
 def test_line_keys_are_those_of_columns(spark):
     rng = random.Random(5)
     lines = ["".join(rng.choice(["a", ":12:3", "0xAf", " ", "1234567890123", "node_modules/", ":7)", "internal/", "<anonymous>", "x)"]) for _ in range(rng.randrange(6))) for _ in range(300)]
