@@ -33,21 +33,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(gone, ["l_orderkey", "l_linenumber"], "left_anti")
 
 
-@query("k6_wipe", "SELECT doc_id, text FROM documents WHERE false")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text").limit(0)
-
-
 @query("j1_hydrate", f"WITH {CHUNKS_SQL}, ids AS (SELECT * FROM (VALUES (3), (17), (17), (999999999)) v(id)) SELECT id, path, node_type FROM ids JOIN chunks USING (id)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spark.createDataFrame([(3,), (17,), (17,), (999999999,)], "id long")
     return chunks(spark, sf_dir).select("id", "path", "node_type").join(F.broadcast(ids), "id")
 
 
-@query("j2_full_outer_fusion", "SELECT coalesce(d.doc_id, e.vec_id) AS id, round(coalesce(1.0 / (10 + d.doc_id), 0) + coalesce(1.0 / (10 + e.vec_id), 0), 8) AS score FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) d FULL JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0) e ON d.doc_id = e.vec_id")
+@query("j2_full_outer_fusion", "SELECT coalesce(d.doc_id, e.vec_id) AS id, round(coalesce(1.0 / (10 + d.doc_id), 0) + coalesce(1.0 / (10 + e.vec_id), 0), 8) AS score FROM labels d FULL JOIN embeddings e ON d.doc_id = e.vec_id")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.lit(True).alias("in_d"))
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.lit(True).alias("in_e"))
+    """Labelled documents and vectors, two lists that overlap in part, by their ids as ranks."""
+    d = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("in_d"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(True).alias("in_e"))
     part = lambda c: F.when(F.col(c), 1 / (10 + F.col("id"))).otherwise(0.0)
     return d.join(e, "id", "full_outer").select("id", F.round(part("in_d") + part("in_e"), 8).alias("score"))
 
@@ -102,10 +98,10 @@ def ghosts(exports: DataFrame, uses: DataFrame) -> DataFrame:
     return met.where(~elsewhere).select("path", "ident")
 
 
-@query("j12_ghost_exports", """WITH i AS (SELECT DISTINCT source AS path, unnest(regexp_extract_all(text, '[a-zA-Z_$][a-zA-Z0-9_$]*')) AS ident FROM documents) SELECT path, ident FROM i WHERE length(ident) >= 12 AND NOT EXISTS (SELECT 1 FROM i j WHERE j.ident = i.ident AND j.path <> i.path)""")
+@query("j12_ghost_exports", """WITH i AS (SELECT DISTINCT source AS path, unnest(regexp_extract_all(text, '[a-zA-Z_$][a-zA-Z0-9_$]*')) AS ident FROM documents) SELECT path, ident FROM i WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.ident = i.ident AND j.path <> i.path)""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.explode(identifiers(F.col("text"))).alias("ident")).distinct()
-    return ghosts(i.where(F.length("ident") >= 12), i)
+    return ghosts(i, i)
 
 
 @query("j13_note_validity", "SELECT e.event_id, CASE WHEN o.user_id IS NULL THEN 'gone' WHEN e.value = o.value OR lower(e.props) LIKE 'assert%' THEN 'valid' ELSE 'stale' END AS state FROM (SELECT * FROM events WHERE event_id % 2 = 0) e LEFT JOIN (SELECT user_id, event_type, max_by(value, event_id) AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2) o ON e.user_id = o.user_id AND e.event_type = o.event_type")
@@ -182,11 +178,48 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(read, "o_orderkey", "left_anti").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
 
 
-@query("j19_pattern_existence", "SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM nation WHERE n_regionkey < 2 AND regexp_matches(p_name, '(^|[^a-z])' || lower(substr(n_name, 1, 2))))")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The patterns are a small table (a nation each): one alternation, one scan, no nested loop.
-    stems = sorted({r["s"] for r in table(spark, sf_dir, "nation").where("n_regionkey < 2").select(F.lower(F.substring("n_name", 1, 2)).alias("s")).collect()})
-    return table(spark, sf_dir, "part").where(F.col("p_name").rlike(f"(^|[^a-z])({'|'.join(stems)})")).select("p_partkey")
+# What a test's name has after that of the file it tests, and how it imports.
+TEST_NAME = r"\.(?:test|spec)\."
+TEST_IMPORT = r"(?:from\s*|require\s*\(|import\s*\(|import\s+)['\"`]([^'\"`]*)['\"`]"
+HEAD_LINES = 50
+
+
+def whole_parts(text: Column) -> Column:
+    """The pieces of a text that a pattern with word boundaries at both its ends can match: runs of words and what lies between them."""
+    pieces = F.regexp_extract_all(F.regexp_replace(text, r"^\W+|\W+$", ""), F.lit(r"\w+|\W+"), F.lit(0))
+    to = lambda i: F.transform(F.sequence(i, F.size(pieces)), lambda j: F.array_join(F.slice(pieces, i, j - i + 1), ""))
+    return F.when(F.size(pieces) > 0, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(pieces)), to)))).otherwise(F.array().cast("array<string>"))
+
+
+def tested(files: DataFrame, tests: DataFrame) -> DataFrame:
+    """path of the ``files`` (path) that one of the ``tests`` (path, code) has: by its name, or by an import in its first lines.
+
+    A test names a file if its own name goes on after the file's with .test. or .spec.; it imports a file if a quoted name
+    in its first 50 lines, comments left out, holds the file's name as a whole.  Each test gives
+    the few names that it can have; they meet the files in a join, whatever the number of either.
+    """
+    base = F.regexp_replace(F.regexp_extract("path", r"[^/]*$", 0), r"\.(?:ts|tsx|js|jsx)$", "")
+    own = F.regexp_extract("path", r"[^/]*$", 0)
+    # The name before each of the marks that it has.
+    marks = F.transform(F.sequence(F.lit(1), F.regexp_count(own, F.lit(TEST_NAME))), lambda k: F.array_join(F.slice(F.split(own, TEST_NAME), 1, k), "."))
+    named = tests.where(own.rlike(TEST_NAME)).select(F.explode(marks).alias("base"))
+    head = F.array_join(F.slice(F.split(F.coalesce("code", F.lit("")), "\n", -1), 1, HEAD_LINES), "\n")
+    clean = F.regexp_replace(F.regexp_replace(head, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
+    imported = tests.select(F.explode(F.regexp_extract_all(clean, F.lit(TEST_IMPORT), F.lit(1))).alias("name")).select(F.explode(whole_parts(F.col("name"))).alias("base"))
+    return files.withColumn("base", base).join(named.unionByName(imported).distinct(), "base", "left_semi").select("path")
+
+
+@query("j19_test_coverage", "SELECT 'src/n' || c_nationkey || '/c' || c_custkey || '.ts' AS path FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey = c_custkey) OR EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 3 = 1 AND o_custkey + 2 = c_custkey)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files, orders as tests: of one by name, of another by an import; imports in comments and far down do not count."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    text = lambda k: k.cast("string")
+    files = c.select(F.concat(F.lit("src/n"), text(F.col("c_nationkey")), F.lit("/c"), text(F.col("c_custkey")), F.lit(".ts")).alias("path"))
+    kind, key, who = F.col("o_orderkey") % 3, F.col("o_orderkey"), F.col("o_custkey")
+    path = F.when(kind == 0, F.concat(F.lit("test/c"), text(who), F.lit(".spec.ts"))).otherwise(F.concat(F.lit("test/t"), text(key), F.lit(".test.ts")))
+    real = F.concat(F.lit("// from './c"), text(who + 1), F.lit("'\nimport {\n  x,\n} from '../src/c"), text(who + 2), F.lit(".js';\n"))
+    far = F.concat(F.lit("/* require('./c"), text(who), F.lit("') */\n"), F.lit("\n" * HEAD_LINES), F.lit("import './c"), text(who + 3), F.lit("';"))
+    return tested(files, o.select(path.alias("path"), F.when(kind == 1, real).when(kind == 2, far).otherwise("").alias("code")))
 
 
 @query("j22_direction", "WITH u AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49), d AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity < 2) SELECT s_suppkey, CASE WHEN u.k IS NOT NULL THEN 'upstream' WHEN d.k IS NOT NULL THEN 'downstream' ELSE 'unrelated' END AS zone FROM supplier LEFT JOIN u ON u.k = s_suppkey LEFT JOIN d ON d.k = s_suppkey")

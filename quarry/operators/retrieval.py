@@ -261,12 +261,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_index(chunks(spark, sf_dir)).lengths().agg(F.count("*").alias("n_docs"), F.round(F.avg("len"), 6).alias("avg_len"), F.sum("len").cast("long").alias("total"))
 
 
-@query("w13_bigrams", f"WITH {CHUNKS_SQL}, t AS (SELECT id, {tokenize_sql('raw')} AS t FROM chunks), b AS (SELECT DISTINCT id, list_extract(t, k) || ' ' || list_extract(t, k + 1) AS bigram FROM (SELECT id, t, unnest(range(1, len(t))) AS k FROM t)) SELECT bigram, count(*) AS df FROM b GROUP BY 1 HAVING count(*) >= 3")
+@query("w13_bigrams", f"WITH {CHUNKS_SQL}, t AS (SELECT id, {tokenize_sql('raw')} AS t FROM chunks), b AS (SELECT DISTINCT id, list_extract(t, k) || ' ' || list_extract(t, k + 1) AS bigram FROM (SELECT id, t, unnest(range(1, len(t))) AS k FROM t)) SELECT bigram, count(*) AS df FROM b GROUP BY 1")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = chunks(spark, sf_dir).select("id", tokenize(F.col("raw")).alias("t"))
     pairs = F.zip_with("t", F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     own = t.where(F.size("t") > 1).select("id", F.explode(F.array_distinct(F.slice(pairs, 1, F.size("t") - 1))).alias("bigram"))
-    return own.groupBy("bigram").agg(F.count("*").alias("df")).where("df >= 3")
+    return own.groupBy("bigram").agg(F.count("*").alias("df"))
 
 
 @query("j27_lateral_top_k", f"""WITH {CHUNKS_SQL}, syms AS (SELECT * FROM (VALUES ('thtion'), ('ining'), ('ndnt')) s(symbol)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,9 +37,15 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(~F.col("text").rlike(SENSITIVE)).select("doc_id")
 
 
-@query("f10_cosmetic_changes", "SELECT event_id, regexp_matches(event_type || ': x', '(?i)^(?:view|click)\\b') AS cosmetic FROM events")
+_SUBJECTS = ["fix: <n>", "Chore(deps): <n>", "style <n>", "chores: <n>", "docs: <n>", "document <n>", "fmt", "FORMAT <n>", "lint! <n>", "typos in <n>", "Bump <n> to 2", "Merge branch '<n>'", "re-merge <n>", "typo: <n>"]
+_COSMETIC_ONES = [1, 2, 4, 6, 7, 8, 10, 11, 13]
+
+
+@query("f10_cosmetic_changes", f"SELECT p_partkey, p_partkey % {len(_SUBJECTS)} IN ({', '.join(map(str, _COSMETIC_ONES))}) AS cosmetic FROM part")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(": x")).rlike(r"(?i)^(?:view|click)\b").alias("cosmetic"))
+    """Subjects of changes of parts: with each of the words, in any case, and with longer words that begin alike."""
+    form = F.element_at(F.array(*map(F.lit, _SUBJECTS)), (F.col("p_partkey") % len(_SUBJECTS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.replace(form, F.lit("<n>"), F.col("p_name")).rlike(COSMETIC).alias("cosmetic"))
 
 
 @query("f11_entry_files", f"WITH {CHUNKS_SQL}, p AS (SELECT id, CASE id % 4 WHEN 0 THEN 'index.ts' WHEN 1 THEN 'src/index.ts' WHEN 2 THEN 'lib/a.test.ts' ELSE 'src/b.ts' END AS path FROM chunks) SELECT id, path FROM p WHERE regexp_matches(path, '^index\\.|^main\\.|^app\\.|^server\\.|\\.config\\.|\\.test\\.|\\.spec\\.|^cli\\.')")
@@ -47,17 +55,51 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(F.col("path").rlike("|".join(ENTRY_FILES)))
 
 
-@query("f13_pin_admission", "SELECT doc_id FROM (SELECT doc_id, text AS pin FROM documents) WHERE length(pin) BETWEEN 1 AND 200 AND NOT contains(pin, chr(10)) AND NOT regexp_matches(pin, '(?i)ignore (all|previous)|system prompt|<script') ORDER BY doc_id LIMIT 10")
+# What a pinned rule may not hold, its length and how many there are at most.
+BLOCKED = {"url": r"(?i)https?://[^\s]+", "sudo": r"(?i)\bsudo\b", "destructive": r"(?i)\brm\s+-rf\b", "download": r"(?i)\b(?:curl|wget)\b", "traversal": r"\.\./", "substitution": r"\$\(", "backtick": r"`[^`]*\$[({][^`]*`", "script": r"(?i)<script\b", "eval": r"(?i)\beval\s*\(", "exec": r"(?i)\bexec\s*\("}
+PIN_LENGTH, MOST_PINS = 200, 10
+
+
+def normal_form(text: Column) -> Column:
+    """Compatibility characters replaced by those that they stand for; plain texts do not leave the JVM's hands changed."""
+
+    @F.pandas_udf("string")
+    def nfkc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+    return nfkc(text)
+
+
+def pin_admission(pins: DataFrame) -> DataFrame:
+    """``pins`` (with text) with normalized and reason: why a pin is refused, by the first rule that it breaks, or null."""
+    trimmed = F.trim("text")
+    rules = F.when(trimmed.isNull() | (trimmed == ""), "empty").when(F.length(trimmed) > PIN_LENGTH, "long").when(trimmed.contains("\0"), "nul")
+    for name, pattern in BLOCKED.items():
+        rules = rules.when(F.col("normalized").rlike(pattern), name)
+    return pins.withColumn("normalized", normal_form(trimmed)).withColumn("reason", rules)
+
+
+_PINS = ["keep <n>", "see HTTP://x.y/<n>", "SUDO <n>", "rm  -rf <n>", "use Wget <n>", "../<n>", "$(<n>)", "`x ${<n>}`", "<Script <n>", "eval (<n>)", "Exec(<n>)", "ｓｕｄｏ <n>", "<n>\0", "  ", "pseudo <n>, evaluate(x)", "ﬁne <n>"]
+_REASONS = ["", "url", "sudo", "destructive", "download", "traversal", "substitution", "backtick", "script", "eval", "exec", "sudo", "nul", "empty", "", ""]
+
+
+@query("f13_pin_admission", f"SELECT c_custkey, CASE c_custkey % {len(_PINS)} {' '.join(f"WHEN {k} THEN '{r}'" for k, r in enumerate(_REASONS))} END AS reason, CASE c_custkey % {len(_PINS)} WHEN 0 THEN 'keep ' || c_name WHEN 14 THEN 'pseudo ' || c_name || ', evaluate(x)' WHEN 15 THEN 'fine ' || c_name END AS pinned FROM customer")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pins = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pin"))
-    good = F.length("pin").between(1, 200) & ~F.col("pin").contains("\n") & ~F.col("pin").rlike("(?i)ignore (all|previous)|system prompt|<script")
-    return pins.where(good).select("doc_id").orderBy("doc_id").limit(10)
+    """Pins of customers, one form for each rule; what is kept is kept in its normal form."""
+    form = F.element_at(F.array(*map(F.lit, _PINS)), (F.col("c_custkey") % len(_PINS) + 1).cast("int"))
+    found = pin_admission(table(spark, sf_dir, "customer").select("c_custkey", F.replace(form, F.lit("<n>"), F.col("c_name")).alias("text")))
+    return found.select("c_custkey", F.coalesce("reason", F.lit("")).alias("reason"), F.when(F.col("reason").isNull(), F.col("normalized")).alias("pinned"))
+
+
+#: Rows that a group of chunks keeps.
+CHUNK_CAP = 2_000
 
 
-@query("f14_chunk_cap", f"WITH {CHUNKS_SQL} SELECT id FROM chunks QUALIFY row_number() OVER (PARTITION BY symbol_name ORDER BY id) <= 20")
+@query("f14_chunk_cap", f"SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) <= {CHUNK_CAP}")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.row_number().over(Window.partitionBy("symbol_name").orderBy("id"))
-    return chunks(spark, sf_dir).withColumn("r", r).where("r <= 20").select("id")
+    """The cap is the feature; each task keeps no more rows of a group than the cap before the groups meet."""
+    r = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber"))
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", r.alias("r")).where(F.col("r") <= CHUNK_CAP).drop("r")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -207,24 +207,50 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_status(files, known)
 
 
-@query("c12_diagnostic_rows", "SELECT 'E' || l_linenumber AS code, l_orderkey + 1 AS line, l_partkey + 1 AS col, 'f' || l_suppkey || '.ts' AS file FROM lineitem")
+_MESSAGES = "array<struct<ruleId:string,severity:int,line:int,column:int,message:string>>"
+
+
+def diagnostic_rows(reports: DataFrame) -> DataFrame:
+    """file, line, column, code, severity, message of reports (file, messages): a JSON array with positions from zero, which become positions from one.
+
+    Reports that are no such array, and messages without a position, have no rows; messages without a rule have the code unknown.
+    """
+    m = reports.select("file", F.explode(F.from_json("messages", _MESSAGES)).alias("m")).where(F.col("m.line").isNotNull())
+    severity = F.when(F.col("m.severity") >= 2, "error").otherwise("warning")
+    return m.select("file", (F.col("m.line") + 1).alias("line"), (F.coalesce("m.column", F.lit(0)) + 1).alias("column"), F.coalesce("m.ruleId", F.lit("unknown")).alias("code"), severity.alias("severity"), F.trim("m.message").alias("message"))
+
+
+@query("c12_diagnostic_rows", """SELECT 'f' || l_orderkey || '.ts' AS file, CAST(l_partkey + 1 AS INTEGER) AS line, CAST(l_suppkey + 1 AS INTEGER) AS column, CASE WHEN l_returnflag = 'N' THEN 'unknown' ELSE 'rule-' || l_returnflag END AS code,
+  CASE WHEN l_linenumber >= 2 THEN 'error' ELSE 'warning' END AS severity, 'said "' || l_linestatus || '"' AS message FROM lineitem""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions from zero become positions from one."""
-    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("E"), F.col("l_linenumber").cast("string")).alias("code"), (F.col("l_orderkey") + 1).alias("line"), (F.col("l_partkey") + 1).alias("col"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("file"))
+    """An order is a file, its lines are what a checker reported of it."""
+    rule = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("rule-"), "l_returnflag"))
+    one = F.struct(rule.alias("ruleId"), F.col("l_linenumber").alias("severity"), F.col("l_partkey").alias("line"), F.col("l_suppkey").alias("column"), F.concat(F.lit(' said "'), "l_linestatus", F.lit('" ')).alias("message"))
+    reports = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_list(one)).alias("messages"))
+    broken = reports.select(F.lit("broken.ts").alias("file"), F.concat(F.lit("no "), "messages").alias("messages"))
+    return diagnostic_rows(reports.select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("file"), "messages").unionByName(broken))
+
+
+def usage_report(calls: DataFrame) -> DataFrame:
+    """user, text: a line for each tool with its calls and tokens, most tokens first, after a line with the totals.  ``calls``: user, tool, tokens."""
+    per_tool = calls.groupBy("user", "tool").agg(F.count("*").alias("n"), F.floor(F.sum("tokens")).alias("t"))
+    line = F.format_string("%s: %d calls, %d tokens", "tool", "n", "t")
+    per_user = per_tool.groupBy("user").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.array_sort(F.collect_list(F.struct((-F.col("t")).alias("o"), "tool", line.alias("line")))).alias("l"))
+    return per_user.select("user", F.concat_ws("\n", F.format_string("total: %d calls, %d tokens", "n", "t"), F.transform("l", lambda x: x["line"])).alias("text"))
 
 
-@query("c25_usage_report", "SELECT event_type, event_type || ': ' || lpad(CAST(count(*) AS VARCHAR), 6, ' ') || ' calls, ' || CAST(floor(sum(value)) AS BIGINT) || ' tokens' AS line FROM events GROUP BY 1")
+@query("c25_usage_report", """WITH t AS (SELECT user_id AS "user", event_type AS tool, count(*) AS n, CAST(floor(sum(value)) AS BIGINT) AS t FROM events GROUP BY 1, 2)
+  SELECT "user", 'total: ' || sum(n) || ' calls, ' || sum(t) || ' tokens' || chr(10) || string_agg(tool || ': ' || n || ' calls, ' || t || ' tokens', chr(10) ORDER BY t DESC, tool) AS text FROM t GROUP BY 1""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.floor(F.sum("value")).alias("t"))
-    return totals.select("event_type", F.format_string("%s: %6d calls, %d tokens", "event_type", "n", "t").alias("line"))
+    return usage_report(table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("tool"), F.col("value").alias("tokens")))
 
 
-@query("c23_expected_changes", "SELECT event_id FROM events WHERE event_id % 4 <> 0 OR user_id % 2 = 1")
+@query("c23_expected_changes", "SELECT l_orderkey, l_linenumber, l_linestatus FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = l_linestatus)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes that are no own writes: an expected (path, hash) is ignored once it arrives."""
-    changes = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("path"), F.sha2(F.concat_ws(":", F.col("event_id").cast("string"), "props"), 256).alias("hash"))
-    expected = changes.where("event_id % 4 = 0 and path % 2 = 0").select("path", "hash")
-    return changes.join(expected, ["path", "hash"], "left_anti").select("event_id")
+    """Changes that are no own writes: an order expects its own status, any other of a line is a change from outside."""
+    changes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus")
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("l_linestatus"))
+    return changes.join(expected, ["l_orderkey", "l_linestatus"], "left_anti")
 
 
 @query("x13_resume_and_poison", "SELECT event_id FROM events WHERE event_id % 7 <> 0 AND event_id % 3 <> 0")

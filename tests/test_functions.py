@@ -523,3 +523,27 @@ def test_declared_names(raw, name):
     from quarry.functions.structure import declared_name
 
     assert declared_name(raw) == name
+
+
+def test_tests_are_met_by_name_and_by_import(spark):
+    files = [f"src/{n}" for n in ("a.ts", "a.b.ts", "deep/c-d.tsx", "e.js", "f.py", "g.mts", "unused.ts", "x.ts")]
+    tests = [("t/a.b.test.ts", None), ("t/q.spec.js", "import {\n z,\n} from '../src/deep/c-d.js'\n// import './unused'\n/* require('./unused')\n*/"), ("t/r.test.ts", "const e = require( \"./e\" )"), ("t/s.test.ts", "\n" * 50 + "import './x'"), ("t/u.test.ts", "import './xx'; import './unused2'; from 'g.mts'")]
+    got = relations.tested(spark.createDataFrame([(f,) for f in files], "path string"), spark.createDataFrame(tests, "path string, code string"))
+    assert sorted(r.path for r in got.collect()) == ["src/a.b.ts", "src/deep/c-d.tsx", "src/e.js", "src/g.mts"]
+    assert relations.tested(got.limit(0), spark.createDataFrame(tests, "path string, code string")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a", "../src/a-b.c", "--", "", "x..y", "a b"])
+def test_whole_parts_are_what_word_boundaries_allow(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(relations.whole_parts(F.col("t")).alias("p")).first().p
+    parts = {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
+    want = {p for p in parts if any(m.start() < m.end() for m in re.finditer(rf"\b{re.escape(p)}\b", text))}
+    assert set(got) == want
+
+
+def test_pins_are_refused_for_each_reason(spark):
+    from quarry.plans.composites import pin_admission
+
+    texts = {"ok": None, "  ": "empty", "x" * 201: "long", "a\0b": "nul", "Http://a": "url", "ｈｔｔｐ://a": "url", "ａ/../b": "traversal", "evaluate (x)": None, "$(x)": "substitution", "`$(x)`": "substitution", None: "empty"}
+    rows = pin_admission(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.text: r.reason for r in rows} == texts
