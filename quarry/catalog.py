@@ -5,7 +5,7 @@ from quarry.operators import aggregates, logs, relations, retrieval, stored_inde
 from quarry.plans import composites, definitions, derived, graph, imports, spectral
 from quarry.registry import FLAGSHIP, ORACLE_SQL, QUERIES
 from quarry.sources import files, maintenance, repository, tail
-from quarry.streaming import changes, events
+from quarry.streaming import changes, events, snapshots
 
-MODULES = [retrieval, stored_index, aggregates, windows, relations, graph, spectral, logs, code, events, files, composites, definitions, derived, imports, structure, compress, maintenance, tail, repository, changes]
+MODULES = [retrieval, stored_index, aggregates, windows, relations, graph, spectral, logs, code, events, files, composites, definitions, derived, imports, structure, compress, maintenance, tail, repository, changes, snapshots]
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.code import CODE_SQL, defects, extract_exports, extract_imports, sample_code, triage_risk
-from quarry.functions.ship import ship
 from quarry.functions.text import contains_error, extension, has_symbol, round_half_up
 from quarry.operators.aggregates import bucket_score, bucket_score_inverse, normalized_entropy, score_label
 from quarry.operators.logs import sample_logs
@@ -256,30 +254,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health_audit(v, cut(trade(spark, sf_dir).select("src", "dst")), v.where("node % 2 = 0"))
 
 
-def feature_rows(commits: DataFrame) -> DataFrame:
-    """Features of a graph per commit: nodes, edges, density, second eigenvalue, largest rank."""
-    ship(commits.sparkSession)
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        from quarry.plans.spectral import spectrum
-
-        pairs = pdf[["src", "dst"]].drop_duplicates().sort_values(["src", "dst"])
-        nodes = np.unique(pairs.to_numpy())
-        u, v = np.searchsorted(nodes, pairs["src"]), np.searchsorted(nodes, pairs["dst"])
-        s = spectrum(len(nodes), u, v, np.ones(len(u)))
-        n = len(nodes)
-        return pd.DataFrame([(key[0], n, len(pairs), len(pairs) / max(1, n), float(s.lambda2 or 0.0))], columns=["commit", "n", "e", "density", "lambda2"])
-
-    return commits.groupBy("commit").applyInPandas(one, "commit long, n long, e long, density double, lambda2 double")
-
-
-@query("r17_feature_rows", "WITH g AS (SELECT DISTINCT year(l_shipdate) AS commit, l_suppkey % 20 AS src, 100 + l_partkey % 20 AS dst FROM lineitem WHERE l_quantity > 48) SELECT commit, (SELECT count(*) FROM (SELECT src FROM g h WHERE h.commit = g.commit UNION SELECT dst FROM g h WHERE h.commit = g.commit)) AS n, count(*) AS e FROM g GROUP BY 1")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Distinct edges before the grouping: a commit's graph is what reaches Python.
-    g = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.year("l_shipdate").cast("long").alias("commit"), (F.col("l_suppkey") % 20).alias("src"), (100 + F.col("l_partkey") % 20).alias("dst")).distinct()
-    return feature_rows(g).select("commit", "n", "e")
-
-
 @query("c22_trade_spectrum_ego")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.plans.graph import ego

@@ -527,7 +527,7 @@ def test_declared_names(raw, name):
 
 def test_tests_are_met_by_name_and_by_import(spark):
     files = [f"src/{n}" for n in ("a.ts", "a.b.ts", "deep/c-d.tsx", "e.js", "f.py", "g.mts", "unused.ts", "x.ts")]
-    tests = [("t/a.b.test.ts", None), ("t/q.spec.js", "import {\n z,\n} from '../src/deep/c-d.js'\n// import './unused'\n/* require('./unused')\n*/"), ("t/r.test.ts", "const e = require( \"./e\" )"), ("t/s.test.ts", "\n" * 50 + "import './x'"), ("t/u.test.ts", "import './xx'; import './unused2'; from 'g.mts'")]
+    tests = [("t/a.b.test.ts", None), ("t/q.spec.js", "import {\n z,\n} from '../src/deep/c-d.js'\n// import './unused'\n/* require('./unused')\n*/"), ("t/r.test.ts", "const e = require(\"./e\")"), ("t/s.test.ts", "\n" * 50 + "import './x'"), ("t/u.test.ts", "import './xx'; import './unused2'; from 'g.mts'")]
     got = relations.tested(spark.createDataFrame([(f,) for f in files], "path string"), spark.createDataFrame(tests, "path string, code string"))
     assert sorted(r.path for r in got.collect()) == ["src/a.b.ts", "src/deep/c-d.tsx", "src/e.js", "src/g.mts"]
     assert relations.tested(got.limit(0), spark.createDataFrame(tests, "path string, code string")).count() == 0
