@@ -11,8 +11,8 @@
 * **Compaction.**  As soon as a level holds ``FANOUT`` runs they are merged into one of the
   next level; of equal digests the preferred identifier survives (the largest or the
   smallest) and sizes add up.  So a memtable probes few runs.
-* **Verification.**  Rows of hits are compared by their bytes: texts are grouped by digest
-  *and* bytes, so a collision of digests splits the group instead of merging two texts.
+* **Verification.**  What the merged runs say of a hit holds for its rows once their bytes are
+  compared: a digest with two texts, a collision, is split by bytes instead of merging them.
 
 All of it is DataFrame operations.
 """
@@ -22,9 +22,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from quarry.llm.common import KeyFilter, delete, discard, materialize, new_path, row_hash
 
@@ -48,6 +47,10 @@ def normalized(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def digest_of(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 @dataclass
 class Run:
     """A flushed or merged set of sorted runs, one per range of digests; its filter is made when it is first probed."""
@@ -144,39 +147,39 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), normalized(F.col(f"`{text_col}`")).alias("norm"), row_hash(id_col, text_col).alias("row"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    ids = materialize(rows.select("id", "row", "digest"), "digests")
+    rows = rows.withColumn("digest", digest_of(F.col("norm")))
 
+    # The digests are written once, a folder for each memtable.
+    n = min(MOST_MEMTABLES, max(LEAST_MEMTABLES, -(-docs.count() // memtable_rows)))
+    path = new_path(spark, "digests")
+    rows.select("id", "row", "digest", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("block")).write.partitionBy("block").parquet(path)
+    ids = spark.read.schema("id long, row binary, digest binary, block int").parquet(path)
     index = DigestIndex(spark, new_path(spark, "digest-index"), keep)
-    n = min(MOST_MEMTABLES, max(LEAST_MEMTABLES, -(-ids.count() // memtable_rows)))
-    arrival = F.pmod(F.xxhash64("row"), F.lit(n))
     for block in range(n):
-        index.flush(ids.where(arrival == block).select("digest", "id"))
+        index.flush(ids.where(F.col("block") == block).select("digest", "id"))
 
+    # What stays, and how many there are, is what compaction kept for the hits.
+    hits = materialize(index.hits(), "hits")
+    settled = materialize(index.compact().join(hits, "digest", "left_semi"), "settled")
     # Byte verification of the hits.  Rows that cannot be hits go on the map side.  Equal
     # texts meet before the shuffle, so a frequent text costs a row per task.
-    # `texts` is 1 unless two texts share a digest.
-    hits = materialize(index.hits(), "hits")
-    best = F.max if keep == "max" else F.min
-    by_bytes = KeyFilter(hits, "digest").maybe(rows, "digest").groupBy("digest", "norm").agg(best("id").alias("best"), F.count("*").alias("size"))
-    texts = F.count("*").over(_per_digest())
-    verified = materialize(by_bytes.select("digest", "best", "size", texts.alias("texts"), F.when(texts > 1, F.col("norm")).alias("norm")), "verified")
-    # Rows of no hit stand alone; so do those that only passed the filter.
-    settled = verified.where((F.col("texts") == 1) & (F.col("size") > 1)).select("digest", "best", "size")
+    suspects = KeyFilter(hits, "digest").maybe(rows, "digest")
+    texts = suspects.select("digest", "norm").distinct().groupBy("digest").agg(F.count("*").alias("texts"))
+    split = materialize(texts.where("texts > 1").select("digest"), "split")
+    out = ids.select("id", "row", "digest")
     # Two texts under one digest: never seen, but then the bytes decide.
-    split = verified.where(F.col("texts") > 1).select("digest", "norm", "best", "size")
     several = not split.isEmpty()
-    alone = ids.join(split.select("digest").distinct(), "digest", "left_anti") if several else ids
-    out = alone.join(settled, "digest", "left").select("id", "row", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("best")).alias("best"), F.coalesce("size", F.lit(1).cast("long")).alias("size"), "digest")
     if several:
-        out = out.unionByName(rows.join(split, ["digest", "norm"]).select("id", "row", "best", "size", "digest"))
+        out, settled = (d.join(split, "digest", "left_anti") for d in (out, settled))
+    out = out.join(settled, "digest", "left").select("id", "row", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("best")).alias("best"), F.coalesce("size", F.lit(1).cast("long")).alias("size"), "digest")
+    if several:
+        best = F.max if keep == "max" else F.min
+        own = suspects.join(split, "digest", "left_semi")
+        by_bytes = own.groupBy("digest", "norm").agg(best("id").alias("best"), F.count("*").alias("size"))
+        out = out.unionByName(own.join(by_bytes, ["digest", "norm"]).select("id", "row", "best", "size", "digest"))
     return out.select(F.col("id").alias("doc_id"), F.col("best").alias("keep_id"), F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("best")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "row")
 
 
-def _per_digest() -> WindowSpec:
-    return Window.partitionBy("digest")
-
-
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
 

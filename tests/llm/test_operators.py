@@ -473,6 +473,21 @@ def test_memtables_do_not_change_the_result(spark, monkeypatch):
     assert few == many and {r[2] for r in few} == {3, 4}
 
 
+def test_what_stays_is_what_compaction_kept(spark, monkeypatch):
+    rows = [(k, f"text {k % 5}") for k in range(40)] + [(100, "alone")]
+    kept = lambda: {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    assert kept() == {k: (35 + k % 5, 8) for k in range(40)} | {100: (100, 1)}
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_best", lambda self, col: F.min(col))
+    assert kept() == {k: (k % 5, 8) for k in range(40)} | {100: (100, 1)}
+
+
+def test_texts_that_share_a_digest_are_split_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: F.unhex(F.sha2(F.substring(norm, 1, 2), 256)))
+    rows = [(1, "ab"), (2, "AB"), (3, "abc"), (4, "abc"), (5, "abd"), (6, "x"), (7, "x"), (8, "y")]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (4, 2, False), 4: (4, 2, True), 5: (5, 1, True), 6: (7, 2, False), 7: (7, 2, True), 8: (8, 1, True)}
+
+
 # --- near duplicates ------------------------------------------------------------------
 
 
