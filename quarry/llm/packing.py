@@ -18,14 +18,14 @@ runs take part in supersteps until no piece is left:
 
 A sequence takes as many pieces of one length at once as its run's successor holds, so the number of
 supersteps grows with the logarithm of the length and not with the documents.  All
-tables of a superstep are DataFrames of at most a few thousand rows, whatever the number of
-documents, so each is held in one partition and its windows shuffle nothing.  Only the
-first and the last step touch pieces:
+tables of a superstep have some thousand rows, whatever the number of
+documents, so each is held in one partition, its windows shuffle nothing, and the driver hands it from
+one superstep to the next.  Only the first and the last step touch pieces:
 
 * executors encode texts and cut them; each piece is written with its rank among the pieces
   of its length in its task (no shuffle); pieces per (length, task) are counted and
   prefix-summed, which gives the rank in the whole run,
-* the runs of the result are broadcast (a bounded table) and joined on length and rank.
+* the runs of the result are broadcast (a bounded table) and joined on length and a bucket of ranks.
 """
 
 from __future__ import annotations
@@ -34,9 +34,10 @@ import contextlib
 import math
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,6 +53,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 #: pieces of length ``size`` with ranks from ``lo`` to before ``hi`` lie in sequences from ``sequence`` on,
 #: ``per`` in each, the first at ``offset``.
 RUNS = "kind string, size long, lo long, hi long, per long, sequence long, offset long"
+
+
+class Placed(NamedTuple):
+    """Pieces of one length with ranks from ``lo`` to before ``hi``: ``per`` in each sequence from ``sequence`` on, the first at ``offset``."""
+
+    size: int
+    lo: int
+    hi: int
+    per: int
+    sequence: int
+    offset: int
+
+
 #: Pieces that are left: their length and ranks.
 LEFT = "size long, lo long, hi long"
 
@@ -116,37 +130,71 @@ def _tiny(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def plan(counts: DataFrame, max_len: int) -> DataFrame:
-    """Where the pieces lie: ``RUNS`` of kind ``placed``.  ``counts``: length, n of all pieces.
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table in one partition."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)).coalesce(1)
+
+
+def _joined(gaps: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of gaps (size, lo, hi); neighbours of one size become one."""
+    out: list[tuple[int, int, int]] = []
+    for size, lo, hi in sorted(gaps):
+        if out and out[-1][0] == size and out[-1][2] == lo:
+            out[-1] = (size, out[-1][1], hi)
+        else:
+            out.append((size, lo, hi))
+    return out
+
+
+def _joined_places(runs: list[Placed]) -> list[Placed]:
+    """Runs of places by length and rank; one that goes on where the last ends, in the next sequences, becomes part of it."""
+    out: list[Placed] = []
+    for r in sorted(runs):
+        last = out[-1] if out else None
+        if last and (last.size, last.hi, last.per, last.offset) == (r.size, r.lo, r.per, r.offset) and (last.hi - last.lo) % last.per == 0 and last.sequence + (last.hi - last.lo) // last.per == r.sequence:
+            out[-1] = last._replace(hi=r.hi)
+        else:
+            out.append(r)
+    return out
+
+
+def plan(counts: DataFrame, max_len: int) -> list[Placed]:
+    """Where the pieces lie, by length and rank.  ``counts``: length, n of all pieces.
 
-    Of each superstep the driver gets one number a length, the pieces placed, and the
-    largest gap, to tell how many sequences the next one opens.
+    A superstep is one job over a table of runs; what it leaves comes back as a few
+    thousand rows at most, whatever the number of pieces, in which neighbouring runs are joined for the next one.
     """
     spark = counts.sparkSession
     left = {r["length"]: (0, r["n"]) for r in counts.collect()}
     if any(not 0 < x <= max_len for x in left):
         raise ValueError(f"pieces must have 1 to {max_len} tokens")
-    gaps, out, opened, widest = spark.createDataFrame([], "size long, lo long, hi long"), [], 0, 0
+    gaps: list[tuple[int, int, int]] = []
+    placed: list[Placed] = []
+    opened = 0
     with _tiny(spark):
         while left:
-            most = max(left)
+            most, widest = max(left), max((size for size, _, _ in gaps), default=0)
             own = sorted((x, lo, hi) for x, (lo, hi) in left.items() if x * 2 > most)
             alone = [(hi - lo, max_len // x) for x, lo, hi in own if x > widest]
             if alone:
                 # So many sequences hold them if each is filled with pieces of one length.
                 n = math.ceil(sum(Fraction(c, fit) for c, fit in alone))
-                gaps = gaps.unionByName(spark.createDataFrame([(max_len, opened, opened + n)], "size long, lo long, hi long"))
+                gaps.append((max_len, opened, opened + n))
                 opened += n
-            runs = materialize(superstep(gaps.coalesce(1), spark.createDataFrame(own, LEFT).coalesce(1), max_len).coalesce(1), "runs")
-            seen = runs.groupBy("kind", "size").agg(F.max("hi").alias("hi")).collect()
-            widest = max((r["size"] for r in seen if r["kind"] == "gap"), default=0)
-            for r in seen:
+            # Gaps that are too small for any of these pieces wait.
+            least = own[0][0]
+            waiting, open_ = ([g for g in gaps if (g[0] >= least) == fits] for fits in (False, True))
+            runs = superstep(_local(spark, open_, "size long, lo long, hi long"), _local(spark, own, LEFT), max_len).collect()
+            gaps = _joined(waiting + [(r["size"], r["lo"], r["hi"]) for r in runs if r["kind"] == "gap"])
+            for r in runs:
                 if r["kind"] == "placed":
-                    left[r["size"]] = (r["hi"], left[r["size"]][1])
+                    placed.append(Placed(r["size"], r["lo"], r["hi"], r["per"], r["sequence"], r["offset"]))
+                    left[r["size"]] = (max(left[r["size"]][0], r["hi"]), left[r["size"]][1])
             left = {x: (lo, hi) for x, (lo, hi) in left.items() if lo < hi}
-            gaps = runs.where("kind = 'gap'").select("size", "lo", "hi")
-            out.append(runs.where("kind = 'placed'"))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], RUNS)
+    return _joined_places(placed)
 
 
 def cut(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -191,16 +239,24 @@ def pack(pieces: DataFrame, max_len: int) -> DataFrame:
     The table must be stored, since ranks refer to the tasks that wrote it.  Ties of length go
     by rank; other columns come through; an empty table gives none.
     """
+    spark = pieces.sparkSession
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     w = Window.partitionBy("length").orderBy("task")
     before = per_task.select("length", "task", (F.sum("n").over(w) - F.col("n")).alias("before"))
     placed = plan(pieces.groupBy("length").agg(F.count("*").alias("n")), max_len)
-    # The plan has a few runs per length, so a row meets only the runs of its own length.
-    table = F.broadcast(placed.select(F.col("size").alias("length"), "lo", "hi", "per", "sequence", F.col("offset").alias("from")))
-    ranked = pieces.join(before, ["length", "task"]).withColumn("_rank", F.col("before") + F.col("rank"))
-    out = ranked.join(table, "length").where((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).withColumn("_at", F.col("_rank") - F.col("lo"))
+    # A row meets the runs of its length in its bucket of ranks: one or two, as there are as many buckets as runs.
+    runs_of, most = Counter(r.size for r in placed), Counter()
+    for r in placed:
+        most[r.size] = max(most[r.size], r.hi)
+    width = {x: -(-most[x] // runs_of[x]) for x in most}
+    buckets = [(r.size, b, r.lo, r.hi, r.per, r.sequence, r.offset) for r in placed for b in range(r.lo // width[r.size], (r.hi - 1) // width[r.size] + 1)]
+    table = F.broadcast(_local(spark, buckets, "length long, _bucket long, lo long, hi long, per long, sequence long, from long"))
+    widths = F.broadcast(_local(spark, sorted(width.items()), "length long, _width long"))  # a row a length
+    ranked = pieces.join(before.join(widths, "length"), ["length", "task"]).withColumn("_rank", F.col("before") + F.col("rank"))
+    ranked = ranked.withColumn("_bucket", F.expr("_rank div _width"))
+    out = ranked.join(table, ["length", "_bucket"]).where((F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi"))).withColumn("_at", F.col("_rank") - F.col("lo"))
     out = out.withColumn("sequence_id", F.expr("sequence + _at div per")).withColumn("offset", F.expr("`from` + (_at % per) * length"))
-    return out.drop("_rank", "_at", "before", "rank", "task", "lo", "hi", "per", "sequence", "from")
+    return out.drop("_rank", "_at", "_bucket", "_width", "before", "rank", "task", "lo", "hi", "per", "sequence", "from")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_len: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached_chunks: int | None = None) -> DataFrame:

@@ -626,7 +626,7 @@ def best_fit(counts, size):
 def check_plan(spark, counts, size):
     """Whether the plan is whole and without overlap; how many sequences it takes."""
     used, placed = collections.defaultdict(list), collections.defaultdict(list)
-    for p in packing.plan(spark.createDataFrame(sorted(counts.items()), "length long, n long"), size).collect():
+    for p in packing.plan(spark.createDataFrame(sorted(counts.items()), "length long, n long"), size):
         for r in range(p.lo, p.hi):
             used[p.sequence + (r - p.lo) // p.per].append((p.offset + (r - p.lo) % p.per * p.size, p.size))
             placed[p.size].append(r)
@@ -652,7 +652,7 @@ def test_plan_is_valid_and_as_good_as_best_fit(spark, seed):
 def test_plan_of_one_length_and_of_none(spark):
     assert check_plan(spark, {7: 1000}, 64) == -(-1000 // 9)
     assert check_plan(spark, {64: 3, 1: 5}, 64) == 4
-    assert packing.plan(spark.createDataFrame([], "length long, n long"), 64).count() == 0
+    assert packing.plan(spark.createDataFrame([], "length long, n long"), 64) == []
     with pytest.raises(ValueError):
         packing.plan(spark.createDataFrame([(65, 1)], "length long, n long"), 64)
 
