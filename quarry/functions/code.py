@@ -154,9 +154,9 @@ def blank_literals(code: Column) -> Column:
 
 # What raises the risk of a symbol.
 BRANCHES = r"\b(?:if|else|switch|case|catch|for|while)\b"
-TERNARIES = r"(?<!\?)\?(?![.:?])"
+TERNARIES = r"(?<!\?)\?(?!\.|:|\?)"
 CALLS = r"\b[a-zA-Z_]\w*\s*\("
-CHANGES = r"\+=|-=|\*=|/=|%=|\+\+|--|\.(?:push|pop|shift|unshift|splice|set|delete|clear|add)\("
+CHANGES = r"\+=|-=|\*=|/=|%=|\+\+|--|\.push\(|\.pop\(|\.shift\(|\.unshift\(|\.splice\(|\.set\(|\.delete\(|\.clear\(|\.add\("
 ARITHMETIC = r"(?:\w|\]|\))\s*(?:[-+*/%](?![=+*-]))\s*(?:\w|\(|\[)"
 BUSINESS_NAMES = "(?i)calculate|validate|process|compute|handle|update|sync|transform|parse|execute|mutate|match"
 MONEY_NAMES = "(?i)pnl|price|volume|amount|balance|margin|risk|vwap|liquidation|drawdown|position|order|fill|iceberg|trade"
