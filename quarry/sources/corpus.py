@@ -63,6 +63,11 @@ _ORDER = """export async function order<o>(total: number, at = «"{"») { «// <
 _LOCAL = "const local<o> = (x: number) => x + order<o>(x)<stop>\n"
 _LIMIT = "export const LIMIT<o>: number = <price>;\n"
 _SHAPE = "interface Shape<o> { a: number; b: «'}'» }\n"
+_RISKY = """export function processPrice<o>(v: any) {
+  for (const row of v) { if (row) { v.push(row * 2); } }
+  return v.net * v.tax - v.due / 2;
+}
+"""
 _MODULE = "from app.n<pn>.s<ps> import part<pk> as p<pk>\n"
 _SUPPLIER = '''class Supplier<s>(Base):
     «"""A class
@@ -100,6 +105,7 @@ _DEFS = {
     "local": [("func", "local<o>", "", _LOCAL[:-1])],
     "limit": [("var", "LIMIT<o>", "", _LIMIT[:-1])],
     "shape": [("interface", "Shape<o>", "", _SHAPE[:-1])],
+    "risky": [("func", "processPrice<o>", "", _RISKY[:-1])],
     "supplier": [("class", "Supplier<s>", "", _SUPPLIER[: _SUPPLIER.index("\n\ndef part")]), ("func", "total", _SUPPLIER[: _SUPPLIER.index("def total")], _SUPPLIER[_SUPPLIER.index("def total") : _SUPPLIER.index("\n\ndef part")]), ("func", "part<k>", _SUPPLIER[: _SUPPLIER.index("def part")], _SUPPLIER[_SUPPLIER.index("def part") : -2])],
     "nation": [("type", "Nation<n>", _NATION[: _NATION.index("type")], _NATION[_NATION.index("type") : _NATION.index("\nfunc (")]), ("method", "Name", _NATION[: _NATION.index("func (")], _NATION[_NATION.index("func (") : _NATION.index("\nfunc Region")]), ("func", "Region<n>", _NATION[: _NATION.index("func Region")], _NATION[_NATION.index("func Region") : -1])],
     "brand": [("class", "b<b> p<k> > a", "", _BRAND[: _BRAND.index(" «/*")]), ("class", "(max-width: <size>px)", _BRAND[: _BRAND.index("@media")], _BRAND.split("\n")[1]), ("class", "in<k>", _BRAND[: _BRAND.index(".in")], _BRAND.split("\n")[1][_BRAND.split("\n")[1].index(".in") : -2]), ("class", "spin<k>", _BRAND[: _BRAND.index("@keyframes")], _BRAND.split("\n")[2])],
@@ -135,6 +141,7 @@ pieces AS (
   UNION ALL {_piece("local", _OWN, "1000000000002 + 4 * o", _LOCAL, _ORDERS)}
   UNION ALL {_piece("limit", _OWN, "1000000000003 + 4 * o", _LIMIT, _ORDERS)}
   UNION ALL {_piece("shape", _OWN, "1000000000004 + 4 * o", _SHAPE, _ORDERS)}
+  UNION ALL {_piece("risky", _OWN, "2000000000000 + o", _RISKY, "(SELECT * FROM " + _ORDERS + " WHERE priority = '1-URGENT') y")}
   UNION ALL {_piece("module", "app/n<n>/s<s>.py", "0", _MODULE, _SUPPLIERS)}
   UNION ALL {_piece("supplier", "app/n<n>/s<s>.py", "1", _SUPPLIER, _SUPPLIERS)}
   UNION ALL {_piece("nation", "go/n<n>.go", "0", _NATION, _NATIONS)}
@@ -155,11 +162,15 @@ source_chunks AS (
 SOURCES_SQL = f"""{PIECES_SQL}, sources AS (SELECT path, string_agg(text, '' ORDER BY seq) AS code, string_agg(blank, '' ORDER BY seq) AS blank FROM pieces GROUP BY 1)"""
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, code of every derived file."""
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every derived file, with the definitions in them."""
     sql = PIECES_SQL.replace("{", "{{").replace("}", "}}")
     for t in TABLES:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
-    pieces = spark.sql(f"WITH {sql} SELECT path, seq, text FROM pieces", **{t: table(spark, sf_dir, t) for t in TABLES})
+    return spark.sql(f"WITH {sql} SELECT * FROM pieces", **{t: table(spark, sf_dir, t) for t in TABLES})
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, code of every derived file."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
-    return pieces.groupBy("path").agg(F.array_join(texts, "").alias("code"))
+    return pieces(spark, sf_dir).groupBy("path").agg(F.array_join(texts, "").alias("code"))
