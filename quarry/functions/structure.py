@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions.ship import ship
 from quarry.functions.text import extension
 from quarry.registry import query
+from quarry.sources.corpus import FORMS, PIECES_SQL, source_files
 from quarry.sources.snippets import CODE, LITERALS, expected_sql, snippets
 from quarry.sources.tables import table
 
@@ -97,22 +98,61 @@ def declared_name(raw: str) -> str:
     return found[1] if found else ""
 
 
+# Imports of scripts by braces, by default and by require; of Python; of Go; and modules of Python's own library.
+NAMED_IMPORT = r"import\s+(?:type\s+)?\{([^}]+)\}\s+from\s+['\"]([^'\"]+)['\"]"
+DEFAULT_IMPORT = r"import\s+(?!\s*\{)(?:\*\s+as\s+)?([a-zA-Z0-9_$]+)\s*(?:,\s*\{[^}]*\})?\s+from\s+['\"]([^'\"]+)['\"]"
+REQUIRED = r"(?:const|let|var)\s+\{([^}]+)\}\s*=\s*require\(['\"]([^'\"]+)['\"]\)"
+PYTHON_FROM = r"(?m)^from\s+([a-zA-Z0-9_.]+)\s+import\s+(?:\(([^)]*)\)|([^#\n]+))"
+PYTHON_IMPORT = r"(?m)^import\s+([^#\n]+)"
+GO_IMPORTS = r"import\s*\([\s\S]*?\)|import\s+(?:[a-zA-Z0-9_.]+\s+)?[\"'][^\"']+[\"']"
+STANDARD = {"os", "sys", "re", "json", "time", "math", "datetime", "typing", "collections", "itertools", "pathlib", "functools", "abc", "asyncio", "logging", "copy", "enum", "hashlib", "random", "string", "threading", "warnings", "io"}
+
+
+def _renamed(names: str, mark: str = r"\s+as\s+") -> list[tuple[str, str]]:
+    """(name, local name) of a list of names, some of them renamed; a type's mark is no part of its name."""
+    parts = [re.split(mark, re.sub(r"^type\s+", "", x.strip())) for x in names.split(",") if x.strip()]
+    return [(p[0].strip(), p[-1].strip()) for p in parts]
+
+
+def _members(code: str, packages: dict[str, str], member: str) -> list[tuple[str, str, str]]:
+    """What is used of packages: (member, package.member, path hint)."""
+    return [(m[1], f"{local}.{m[1]}", hint) for local, hint in packages.items() for m in re.finditer(rf"\b{re.escape(local)}\.({member})", code)]
+
+
+def _python_dependencies(code: str) -> list[tuple[str, str, str]]:
+    found = [(name, local, m[1].split(".")[-1] or m[1]) for m in re.finditer(PYTHON_FROM, code) for name, local in _renamed((m[2] or m[3] or "").replace("\\\n", " "))]
+    modules = [(local, module.split(".")[-1]) for m in re.finditer(PYTHON_IMPORT, code) for module, local in _renamed(m[1].replace("\\\n", " "))]
+    return [x for x in found + _members(code, {local: hint for local, hint in modules if hint not in STANDARD}, r"[a-zA-Z_]\w*") if len(x[0]) > 2]
+
+
+def _go_dependencies(code: str) -> list[tuple[str, str, str]]:
+    packages = {}
+    for block in re.findall(GO_IMPORTS, code):
+        inner = re.sub(r"\)\s*$", "", re.sub(r"^import\s*\(?\s*", "", block))
+        for alias, path in re.findall(r'(?:([a-zA-Z0-9_.]+)\s+)?"([^"]+)"', inner):
+            hint = path.split("/")[-1] or path
+            # Packages of the language's own library have no dot in their first part.
+            if "." in path.split("/")[0] and (alias or hint) not in ("_", "."):
+                packages[alias or hint] = hint
+    return _members(code, packages, r"[A-Z]\w*")
+
+
 def dependencies(code: str, ext: str) -> list[tuple[str, str, str]]:
-    """(symbol, local name, path hint) of what a source imports from its own project, each once."""
-    found: list[tuple[str, str, str]] = []
-    hint = lambda p: re.sub(r"\.\w+$", "", p.rstrip("/").split("/")[-1])
+    """(symbol, local name, path hint) of what a source imports from its own project, each symbol of a path once, the last as it is named.
+
+    Scripts name what they import; of whole modules of Python and packages of Go what is used of them counts.
+    """
     if ext == ".py":
-        for module, names in re.findall(r"^\s*from\s+(\.[\w.]*|[\w.]+)\s+import\s+([^\n#(]+)", code, re.M):
-            for part in names.split(","):
-                name, _, local = part.strip().partition(" as ")
-                found.append((name.strip(), (local or name).strip(), module.split(".")[-1]))
+        found = _python_dependencies(code)
+    elif ext == ".go":
+        found = _go_dependencies(code)
     else:
-        named = re.findall(r"import\s*\{([^}]*)\}\s*from\s*['\"](\.[^'\"]*)['\"]", code) + re.findall(r"(?:const|let|var)\s*\{([^}]*)\}\s*=\s*require\(\s*['\"](\.[^'\"]*)['\"]", code)
-        for names, path in named:
-            for part in names.split(","):
-                name, _, local = re.sub(r"^type\s+", "", part.strip().replace(":", " as ")).partition(" as ")
-                found.append((name.strip(), (local or name).strip(), hint(path)))
-    return list(dict.fromkeys(x for x in found if len(x[0]) > 2))
+        hint = lambda p: re.sub(r"\.(?:ts|js)x?$", "", p.split("/")[-1]) or p
+        found = [(*n, m[2]) for m in re.finditer(NAMED_IMPORT, code) for n in _renamed(m[1])]
+        found += [(m[1], m[1], m[2]) for m in re.finditer(DEFAULT_IMPORT, code) if m[1] != "type"]
+        found += [(*n, m[2]) for m in re.finditer(REQUIRED, code) for n in _renamed(m[1], r"\s*:\s*")]
+        found = [(name, local, hint(path)) for name, local, path in found if len(name) > 2 and path[0] in "./~@"]
+    return list({(x[0], x[2]): x for x in found}.values())
 
 
 def shorthand(kind: str, code: str, first: int, last: int) -> str:
@@ -186,6 +226,20 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("id", apply(spark, listed, "string", F.col("code"), extension(F.col("path"))).alias("dependencies"))
 
 
+_LOCAL_FORMS = ", ".join(str(k) for k, f in enumerate(FORMS) if f[0] in "./~@")
+
+
+@query("t24_source_dependencies", f"""WITH {PIECES_SQL}, d AS (
+  SELECT DISTINCT 'src/n' || k.c_nationkey || '/c' || l.c || '.ts' AS path, 'order' || p AS symbol, 'o' || p AS local, 'c' || pc AS hint FROM links l JOIN customer k ON k.c_custkey = l.c WHERE pc <> l.c AND o % {len(FORMS)} IN ({_LOCAL_FORMS})
+  UNION ALL SELECT 'app/n' || a.s_nationkey || '/s' || a.s_suppkey || '.py', 'part' || (1000 + b.s_suppkey), 'p' || (1000 + b.s_suppkey), 's' || b.s_suppkey FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey // 3)
+  SELECT path, list_sort(list(symbol || '>' || local || '>' || hint)) AS dependencies FROM d GROUP BY 1""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda c, p: ",".join(sorted(">".join(x) for x in dependencies(c, p)))
+    files = source_files(spark, sf_dir)
+    found = files.select("path", apply(spark, listed, "string", F.col("code"), extension(F.col("path"))).alias("l"))
+    return found.where("l <> ''").select("path", F.split("l", ",").alias("dependencies"))
+
+
 @query("t26_shorthand", expected_sql(CODE[:4], "shorthand"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = snippets(spark, sf_dir, CODE[:4])

@@ -547,3 +547,35 @@ def test_pins_are_refused_for_each_reason(spark):
     texts = {"ok": None, "  ": "empty", "x" * 201: "long", "a\0b": "nul", "Http://a": "url", "ｈｔｔｐ://a": "url", "ａ/../b": "traversal", "evaluate (x)": None, "$(x)": "substitution", "`$(x)`": "substitution", None: "empty"}
     rows = pin_admission(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     assert {r.text: r.reason for r in rows} == texts
+
+
+@pytest.mark.parametrize(
+    "ext,source,want",
+    [
+        (".ts", "import type { Abc, type Def as D1 } from '@/x/y.tsx';\nimport Foo, { zed } from '../foo.js'\nimport * as all from '~/all'\nimport React from 'react'\nimport { ab } from './short'", {("Abc", "Abc", "y"), ("Def", "D1", "y"), ("Foo", "Foo", "foo"), ("all", "all", "all")}),
+        (".js", "const { one: uno, two } = require('./m');\nvar { three } = require('fs')", {("one", "uno", "m"), ("two", "two", "m")}),
+        (".py", "from a.b import (One as X,\n  Two)\nfrom os import path\nimport json, django.db as db, numpy\njson.loads(x)\ndb.models.Q; numpy.array(1); mydb.other", {("One", "X", "b"), ("Two", "Two", "b"), ("path", "path", "os"), ("models", "db.models", "db"), ("array", "numpy.array", "numpy")}),
+        (".go", 'import (\n "fmt"\n m "github.com/x/y/models"\n _ "github.com/x/z"\n)\nimport "example.org/util"\nfunc f() { fmt.Println(m.User{}, util.Do(), util.private, m.User) }', {("User", "m.User", "models"), ("Do", "util.Do", "util")}),
+    ],
+)
+def test_dependencies_of_a_source(ext, source, want):
+    from quarry.functions.structure import dependencies
+
+    assert set(dependencies(source, ext)) == want and len(dependencies(source, ext)) == len(want)
+
+
+def test_outline_of_odd_rows(spark):
+    from quarry.plans.definitions import define_chunks
+    from quarry.plans.outline import outline_rows, outline_texts
+
+    risky = "export function processPrice%d(v: any) {\n  for (const r of v) { if (r) { v.push(r * 2); } }\n  return v.a * v.b - v.c / 2;\n}\n"
+    rows = [("a.ts", "export class Used {}\nexport function alone() { return 1 }\nfunction local() {}\n" + "".join(risky % k for k in range(5))), ("index.ts", "export const entry = () => 1;"), ("b.ts", "new Used(); export type T = 1; export function _p() {}"), ("c.ts", None), ("d.md", "x")]
+    files = spark.createDataFrame(rows, "path string, code string")
+    notes = spark.createDataFrame([("a.ts", "local", "assert it", "no"), ("a.ts", "Used", "stale one", "no"), ("a.ts", "none", "x", "y"), (None, None, None, None)], "path string, name string, insight string, hash string")
+    got = {r.name: r for r in outline_rows(files, define_chunks(files), notes, budget=90).collect()}
+    assert {n for n, r in got.items() if r.ghost} == {"alone", *(f"processPrice{k}" for k in range(5))}
+    assert [n for n, r in sorted(got.items()) if r.expanded] == ["processPrice0", "processPrice1"]
+    assert (got["local"].note, got["Used"].note, got["Used"].stale, got["Used"].folded, got["local"].folded, got["entry"].folded) == ("assert it", None, True, True, False, True)
+    texts = {r.path: r.text for r in outline_texts(outline_rows(files, define_chunks(files), notes)).collect()}
+    assert set(texts) == {"a.ts", "index.ts", "b.ts"} and texts["a.ts"].endswith("1 of low risk: Used") and "func local [LOW] L3-L3\n  note: assert it" in texts["a.ts"]
+    assert outline_rows(files.limit(0), define_chunks(files.limit(0)), notes).count() == 0
