@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import lexer
 from quarry.functions.ship import ship
-from quarry.functions.structure import remove_calls
+from quarry.functions.structure import remove_calls, shorthand
 from quarry.registry import query
+from quarry.sources.corpus import CHUNKS_OF_SOURCES_SQL, source_files
 from quarry.sources.snippets import CODE, expected_sql, snippets
 from quarry.sources.tables import spread, table
 
@@ -104,38 +106,64 @@ def key_references(code: str) -> list[str]:
     return list(dict.fromkeys([*calls, *re.findall(r"from\s+[\"']([^\"']+)[\"']", code)]))[:KEY_REFERENCES]
 
 
-def stub_bodies(code: str) -> str:
-    """Function bodies of more than one line give way to what they refer to.
+# Lines before the first definition that stay, and lines of a body that tell what it does, by how they begin and by what they hold.
+HEAD_LINES = ("import", "export", "type ", "interface ", "from ", "package ", "require")
+KEY_BEGINNINGS = ("return ", "throw ", "await ", "yield ", "if (", "for (", "while (")
+KEY_PARTS = ("= new ", "this.")
+KEY_LINES = 5
 
-    Bodies are told by brackets, not by a parser: a block counts if what stands before its
-    bracket on the line ends a parameter list or is an arrow.
+
+def is_key_line(line: str) -> bool:
+    return line.startswith(KEY_BEGINNINGS) or any(p in line for p in KEY_PARTS) or line.startswith("const ") and "=" in line
+
+
+def signatures_and_key_lines(code: str, ext: str) -> tuple[str, int]:
+    """The imports, and of every definition its shorthand and its first key lines; and how many definitions there are."""
+    found = lexer.chunks(code, ext)
+    if not found:
+        return code, 0
+    lines = code.split("\n")
+    first = lexer.lines_of(code, [c[2] for c in found])
+    out = [x for x in lines[: min(first) - 1] if x.strip().startswith(HEAD_LINES)]
+    for (kind, _, start, end), line in zip(found, first, strict=True):
+        own = code[start:end]
+        out.append(shorthand(kind, own, line, line + own.count("\n")))
+        key = [x.strip() for x in own.split("\n") if is_key_line(x.strip())][:KEY_LINES]
+        out += ["  // Key lines:", *(f"  {x}" for x in key)] if key else []
+    return "\n".join(out), len(found)
+
+
+def stubs(code: str, ext: str) -> tuple[str, int]:
+    """The source with a stub in the place of each outer definition that is longer than that; and how many definitions there are.
+
+    A stub is the shorthand, the number of lines and the key references.
     """
+    found = lexer.chunks(code, ext)
     out, at = [], 0
-    for m in re.finditer(r"(?:\)[^\n{};]*|=>\s*)\{", code):
-        if m.start() < at or re.match(r"\s*(?:\}\s*)?(?:else\s+)?(?:if|for|while|switch|catch)\b", code[code.rfind("\n", 0, m.start()) + 1 : m.start()]):
-            continue
-        depth, k = 1, m.end()
-        while k < len(code) and depth:
-            depth += {"{": 1, "}": -1}.get(code[k], 0)
-            k += 1
-        body = code[m.end() : k - 1]
-        if depth or body.strip().count("\n") < 1:
+    for (kind, _, start, end), line in zip(found, lexer.lines_of(code, [c[2] for c in found]), strict=True):
+        if start < at:
             continue
-        refs = key_references(body)
-        out += [code[at : m.end()], f" /* {', '.join(refs)} */ " if refs else " /* ... */ "]
-        at = k - 1
-    return "".join(out) + code[at:]
+        own = code[start:end]
+        refs = key_references(own)
+        stub = f"{shorthand(kind, own, line, line + own.count(chr(10)))}\n/*[{own.count(chr(10)) + 1}L{' refs:' + ','.join(refs) if refs else ''}]*/"
+        out += [code[at:start], stub if len(stub) < len(own) else own]
+        at = end
+    return "".join(out) + code[at:], len(found)
+
 
+def structure(code: str, ext: str, level: str, path: str) -> str:
+    """What the structural stage of a level makes of a source; a source without definitions stays."""
+    text, n = (stubs if level == "aggressive" else signatures_and_key_lines)(code, ext)
+    return f"// {path} | {level} | {n} chunks\n{text}" if n else code
 
-def compress(code: str, ext: str, level: str, common: dict[str, float]) -> str:
-    """``light`` preprocesses; ``medium`` prunes words too, ``aggressive`` more, and turns bodies into stubs where that is shorter."""
+
+def compress(code: str, ext: str, level: str, common: dict[str, float], path: str = "") -> str:
+    """``light`` preprocesses; ``medium`` and ``aggressive`` prune words too, and take the structure of the source instead where that is shorter."""
     clean = preprocess(code, ext)
     if level == "light":
         return clean
     share, alpha = LEVELS[level]
-    pruned = prune(clean, share, alpha, common)
-    stubs = stub_bodies(clean) if level == "aggressive" and ext not in (".py", "") else pruned
-    return min(pruned, stubs, key=len)
+    return min(prune(clean, share, alpha, common), structure(code, ext, level, path), key=len)
 
 
 def common_words(docs: DataFrame, text_col: str) -> dict[str, float]:
@@ -168,6 +196,22 @@ def prune_documents(docs: DataFrame, id_col: str, text_col: str, share: float, a
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(task, "id long, words long, kept long, text string, digest string")
 
 
+def _extension(path: str | None) -> str:
+    found = re.search(r"\.[^./]*$", path or "")
+    return found[0].lower() if found else ""
+
+
+def structure_files(files: DataFrame, level: str) -> DataFrame:
+    """path, text: the structure of (path, code) at a level, whether or not it is shorter."""
+    ship(files.sparkSession)
+
+    @F.arrow_udf("string")
+    def run(codes: pa.Array, paths: pa.Array) -> pa.Array:
+        return pa.array([None if c is None else structure(c, _extension(p), level, p or "") for c, p in zip(codes.to_pylist(), paths.to_pylist(), strict=True)], pa.string())
+
+    return files.select("path", run("code", "path").alias("text"))
+
+
 def compress_files(files: DataFrame, level: str, common: dict[str, float] | None = None) -> Column:
     """A column of the compressed ``code`` of files with ``path``."""
     known = common_words(files, "code") if common is None and level != "light" else common or {}
@@ -175,8 +219,7 @@ def compress_files(files: DataFrame, level: str, common: dict[str, float] | None
 
     @F.arrow_udf("string")
     def run(codes: pa.Array, paths: pa.Array) -> pa.Array:
-        ext = (re.search(r"\.[^./]*$", p or "") for p in paths.to_pylist())
-        return pa.array([None if c is None else compress(c, e[0].lower() if e else "", level, known) for c, e in zip(codes.to_pylist(), ext, strict=True)], pa.string())
+        return pa.array([None if c is None else compress(c, _extension(p), level, known, p or "") for c, p in zip(codes.to_pylist(), paths.to_pylist(), strict=True)], pa.string())
 
     return run("code", "path")
 
@@ -213,6 +256,30 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("id", compress_files(files, "light").alias("light"))
 
 
+# The shorthand of a definition of a derived file, known from its text.
+_SHORTHAND = """'[' || kind || '] ' || CASE WHEN last_line - first_line < 2 THEN code ELSE CASE WHEN kind = 'class' THEN regexp_extract(code, '^(export class \\w+)', 1) WHEN name LIKE 'process%' THEN 'export function ' || name || '(v: any)' ELSE 'export async function ' || name || '(total: number, at = "{")' END || ' { /* L' || first_line || '-L' || last_line || ' */ }' END"""
+_MEDIUM_SQL = f"""WITH {CHUNKS_OF_SOURCES_SQL},
+c AS (SELECT path, start, {_SHORTHAND} || CASE WHEN name LIKE 'order%' OR name LIKE 'process%' THEN chr(10) || '  // Key lines:' || chr(10) || '  ' || trim(string_split(code, chr(10))[2]) || chr(10) || '  ' || trim(string_split(code, chr(10))[3])
+    WHEN name LIKE 'local%' THEN chr(10) || '  // Key lines:' || chr(10) || '  ' || code ELSE '' END AS t FROM source_chunks WHERE path LIKE '%.ts'),
+i AS (SELECT path, string_agg(rtrim(text, chr(10)), chr(10) ORDER BY seq) AS head FROM pieces WHERE path LIKE '%.ts' AND text LIKE 'import %' GROUP BY 1)
+SELECT path, concat_ws(chr(10), '// ' || path || ' | medium | ' || count(*) || ' chunks', any_value(head), string_agg(t, chr(10) ORDER BY start)) AS text FROM c LEFT JOIN i USING (path) GROUP BY 1"""
+_AGGRESSIVE_SQL = f"""WITH {CHUNKS_OF_SOURCES_SQL},
+c AS (SELECT path, name, {_SHORTHAND} || chr(10) || '/*[4L refs:' || CASE WHEN kind = 'class' THEN 'label' WHEN name LIKE 'process%' THEN name || ',v.push' ELSE concat_ws(',', name, nullif(regexp_extract(code, ' (o\w+)\(total\)', 1), '')) END || ']*/' || chr(10) AS t
+  FROM source_chunks WHERE path LIKE '%.ts' AND (kind = 'class' OR name LIKE 'order%' OR name LIKE 'process%')),
+n AS (SELECT path, count(*) AS n FROM source_chunks GROUP BY 1)
+SELECT p.path, '// ' || p.path || ' | aggressive | ' || any_value(n) || ' chunks' || chr(10) || string_agg(coalesce(t, text), '' ORDER BY seq) AS text FROM pieces p LEFT JOIN c ON c.path = p.path AND c.name = p.name0 JOIN n ON n.path = p.path WHERE p.path LIKE '%.ts' GROUP BY 1"""
+
+
+@query("r12_medium_structure", _MEDIUM_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_files(source_files(spark, sf_dir).where(F.col("path").endswith(".ts")), "medium")
+
+
+@query("r12_aggressive_structure", _AGGRESSIVE_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_files(source_files(spark, sf_dir).where(F.col("path").endswith(".ts")), "aggressive")
+
+
 @query("t25_key_references", expected_sql(CODE, "references"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = F.regexp_extract_all("code", F.lit(r"\b([a-zA-Z_]\w*(?:\.[a-zA-Z_]\w*)*)\s*\("), F.lit(1))

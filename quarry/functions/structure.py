@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import lexer
 from quarry.functions.ship import ship
 from quarry.functions.text import extension
 from quarry.registry import query
@@ -53,14 +54,6 @@ def remove_calls(code: str, name: str = r"console\.\w+|print") -> str:
     return "".join(out) + code[at:]
 
 
-_LITERALS = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|/\*.*?\*/|//[^\n]*", re.S)
-
-
-def blank(code: str) -> str:
-    """Strings and comments turned into blanks; every other character keeps its line and column."""
-    return _LITERALS.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
-
-
 def signature(code: str) -> str:
     """The head of a definition: up to its body, Python's colon or a lambda's arrow."""
     depth, k, assigned = 0, 0, False
@@ -171,18 +164,6 @@ def regressed(before: str, after: str) -> bool:
     return toxic(after) > toxic(before) or typed(after) < typed(before)
 
 
-def occurrences(code: str, symbol: str) -> list[tuple[int, str]]:
-    """(line, confidence) of a symbol: ``high`` where it is code, ``review`` in strings, comments and keys of objects."""
-    alone = re.compile(rf"(?<![\w$]){re.escape(symbol)}(?![\w$])")
-    clean, found = blank(code), {}
-    for m in alone.finditer(code):
-        line = code.count("\n", 0, m.start()) + 1
-        key = re.match(r"\s*:(?!:)", clean[m.end() :]) and re.search(r"[{,]\s*$", clean[: m.start()])
-        sure = clean[m.start() : m.end()] == m[0] and not key
-        found[line] = "high" if sure and found.get(line, "high") == "high" else "review"
-    return sorted(found.items())
-
-
 def apply(spark: SparkSession, f: Callable, kind: str, *cols: Column) -> Column:
     """A plain function of strings as a vectorized column; a null argument gives null."""
     ship(spark)
@@ -210,7 +191,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t19_blank_literals", expected_sql(LITERALS, "blank"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snippets(spark, sf_dir, LITERALS).select("id", apply(spark, blank, "string", F.col("code")).alias("blank"))
+    return snippets(spark, sf_dir, LITERALS).select("id", apply(spark, lexer.blank, "string", F.col("code"), extension(F.col("path"))).alias("blank"))
 
 
 @query("t20_signatures", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'import x from ''./m' || user_id || ''';' || ' export function calc' || user_id || '(a)' WHEN 1 THEN 'def run' || user_id || '()' ELSE 'func Get' || user_id || '()' END AS sig FROM events")
@@ -269,6 +250,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r16_refactoring_preview", expected_sql(CODE, "occurrences"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where x would be renamed; comments of Python are not told from code."""
-    listed = lambda c: ",".join(f"{n}:{how}" for n, how in occurrences(c, "x"))
-    return snippets(spark, sf_dir, CODE).select("id", apply(spark, listed, "string", F.col("code")).alias("occurrences"))
+    """On which lines x would be renamed, and whether all its places there are sure."""
+
+    def listed(code: str, ext: str) -> str:
+        lines: dict[int, str] = {}
+        for _, line, _, how in lexer.occurrences(code, {"x"}, ext):
+            lines[line] = "review" if "review" in (how, lines.get(line)) else how
+        return ",".join(f"{n}:{how}" for n, how in lines.items())
+
+    return snippets(spark, sf_dir, CODE).select("id", apply(spark, listed, "string", F.col("code"), extension(F.col("path"))).alias("occurrences"))

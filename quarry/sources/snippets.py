@@ -56,7 +56,7 @@ CODE = [
     Snippet(
         "a/bad.ts",
         "try { go(); } catch (e) {}\n// @ts-ignore\nconst v = w!.x;\nfunction f{u}() { return v as any; }",
-        name="f{u}", defects="swallowed-error,ts-suppress,type-escape-any,non-null-assert", outline="4:f{u}", occurrences="3:high", shorthand="[ts] try { /* L1-L4 */ }", references="go,f{u}",
+        name="f{u}", defects="swallowed-error,ts-suppress,type-escape-any,non-null-assert", outline="4:f{u}", occurrences="3:review", shorthand="[ts] try { /* L1-L4 */ }", references="go,f{u}",
         light="try { go(); } catch (e) {}\n\nconst v = w!.x;\nfunction f{u}() { return v as any; }",
     ),
     Snippet(

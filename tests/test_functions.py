@@ -480,16 +480,19 @@ def test_health_audit_equals_brute_force(spark):
     assert rows["spread"]["index"] == pytest.approx(math.floor(total * 100 + 0.5) / 10)
 
 
-def test_occurrences_and_stubs():
-    from quarry.functions.compress import compress, key_references, stub_bodies
-    from quarry.functions.structure import occurrences
-
-    code = "const a = { x: x, 'x': 1 }; // x\nfoo(x);\n`x`"
-    assert occurrences(code, "x") == [(1, "review"), (2, "high"), (3, "review")]
-    body = "function f(a) {\n  const b = go(a);\n  return log.it(b);\n}\nif (x) {\n  y();\n  z();\n}"
-    assert stub_bodies(body) == "function f(a) { /* go, log.it */ }\nif (x) {\n  y();\n  z();\n}"
+def test_levels_of_compression():
+    from quarry.functions.compress import compress, key_references, structure
+
+    body = "import x from './y'\nfunction f(a) {\n  const b = go(a);\n  other();\n  if (a) { this.x = new Y(); }\n  return log.it(b);\n}\nif (x) {\n  y();\n}\n" + "const one = 1\n"
+    assert structure(body, ".ts", "medium", "p.ts") == "// p.ts | medium | 2 chunks\nimport x from './y'\n[func] function f(a) { /* L2-L7 */ }\n  // Key lines:\n  const b = go(a);\n  if (a) { this.x = new Y(); }\n  return log.it(b);\n[var] const one = 1\n  // Key lines:\n  const one = 1"
+    assert structure(body, ".ts", "aggressive", "p.ts") == "// p.ts | aggressive | 2 chunks\nimport x from './y'\n[func] function f(a) { /* L2-L7 */ }\n/*[6L refs:f,go,other,Y,log.it]*/\nif (x) {\n  y();\n}\nconst one = 1\n"
+    assert structure("no code", ".md", "medium", "p.md") == "no code" and compress("", ".ts", "aggressive", {}) == ""
+    nested = "class A {\n  m() {\n" + "    call();\n" * 9 + "  }\n}\ntail();\n"
+    assert structure(nested, ".ts", "aggressive", "a").endswith("[class] class A { /* L1-L13 */ }\n/*[13L refs:m,call]*/\ntail();\n")
+    long = body.replace("other();", "other();\n" * 40)
+    assert compress(long, ".ts", "aggressive", {}, "p.ts") == structure(long, ".ts", "aggressive", "p.ts")  # shorter than its kept words
+    assert len(compress(long, ".ts", "medium", {}, "p.ts")) <= len(structure(long, ".ts", "medium", "p.ts"))
     assert key_references("a(); b.c(); if (x) {} d(); e(); f(); g()") == ["a", "b.c", "d", "e", "f"]
-    assert len(compress(body, ".ts", "aggressive", {})) < len(compress(body, ".ts", "light", {}))
     assert compress("#!/usr/bin/env x\ndef f():\n    \'\'\'doc # no\'\'\'\n    return \'#1\'  # c\n", ".py", "light", {}) == "#!/usr/bin/env x\ndef f():\n    \'\'\n    return \'#1\'\n"
 
 
