@@ -193,8 +193,17 @@ def defects(code: Column) -> Column:
 
 
 def normalize_web_symbol(symbol: Column, ext: Column) -> Column:
-    css = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(symbol, r"[.#]", ""), r"\s*,\s*", " "), r"\s+", " "))
-    return F.when(ext.isin(".css", ".scss", ".less"), css).when(ext == ".json", F.regexp_replace(symbol, "^[\"']|[\"']$", "")).otherwise(symbol)
+    """A selector without dots, hashes and commas, a key or an attribute's value without quotes; other symbols as they are."""
+    css = F.trim(F.regexp_replace(F.regexp_replace(symbol, r"[.#,]", " "), r"\s+", " "))
+    return F.when(ext == ".css", css).when(ext.isin(".json", ".html"), F.trim(F.regexp_replace(symbol, "^[\"']|[\"']$", ""))).otherwise(symbol)
+
+
+@query("t28_web_symbols", "SELECT p_partkey, 'b' || substr(p_brand, 7) || ' p' || p_partkey || ' x > li' AS css, p_name AS json, p_type AS html, '.' || p_name || ', #x' AS ts FROM part")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    selector = F.concat(F.lit(".b"), F.substr("p_brand", F.lit(7)), F.lit(" ,  #p"), key, F.lit(".x\n> li "))
+    of = lambda symbol, ext: normalize_web_symbol(symbol, F.lit(f".{ext}")).alias(ext)
+    return table(spark, sf_dir, "part").select("p_partkey", of(selector, "css"), of(F.concat(F.lit('"'), "p_name", F.lit('"')), "json"), of(F.concat(F.lit("' "), "p_type", F.lit("'")), "html"), of(F.concat(F.lit("."), "p_name", F.lit(", #x")), "ts"))
 
 
 @query("t32_path_parts", "SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS dir, regexp_extract(url, '[^/]*$') AS base FROM pages")

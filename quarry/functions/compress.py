@@ -224,11 +224,14 @@ def compress_files(files: DataFrame, level: str, common: dict[str, float] | None
     return run("code", "path")
 
 
-def _prune_sql(share: float, alpha: float) -> str:
+def _prune_sql(share: float, alpha: float, given: dict[str, float] | None = None) -> str:
+    shares = f"SELECT k, count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY 1 HAVING p >= {COMMON}"
+    if given is not None:
+        shares = f"SELECT * FROM (VALUES {', '.join(f"('{k}', {p})" for k, p in given.items())}) v(k, p)"
     names = ", ".join(f"'{k}'" for k in KEYWORDS)
     return rf"""WITH x AS (SELECT doc_id AS id, unnest(l) AS w, unnest(range(len(l))) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[ \t\n\r\f\v]+') AS l FROM documents)),
   t AS (SELECT id, pos, w, lower(w) AS k FROM x WHERE w <> ''),
-  c AS (SELECT k, count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY 1 HAVING p >= {COMMON}),
+  c AS ({shares}),
   own AS (SELECT id, k, count(*) AS tf FROM t GROUP BY 1, 2), d AS (SELECT id, max(tf) AS top, count(*) AS u FROM own GROUP BY 1),
   s AS (SELECT t.id, pos, w, round({alpha} * -log2(coalesce(p, {RARE})) + {1 - alpha} * (tf / top) * log2(1 + u / tf), 9) AS s,
           regexp_matches(w, '^(?:{OPERATORS}|{NUMBER})$|^[A-Z]|[.()]') OR k IN ({names}) OR coalesce(lag(k) OVER (PARTITION BY t.id ORDER BY pos) IN ({names}), false) AS safe
@@ -244,6 +247,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prune_documents(docs, "doc_id", "text", *LEVELS["medium"]).select("id", "words", "kept", "digest")
 
 
+#: Probabilities as a caller may give them, of words that the documents hold and of some that they don't.
+_GIVEN = {"the": 0.06, "of": 0.03, "and": 0.028, "in": 0.02, "der": 0.01, "le": 0.009, "que": 0.008, "nowhere": 0.5}
+
+
+@query("t9_given_probabilities", _prune_sql(0.30, 0.5, _GIVEN))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return prune_documents(docs, "doc_id", "text", *LEVELS["medium"], common=_GIVEN).select("id", "words", "kept", "digest")
+
+
 @query("t11_aggressive_pruning", _prune_sql(0.50, 0.7))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))

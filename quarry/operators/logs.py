@@ -179,3 +179,27 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.filter(mark_frames(lines), lambda l: l.rlike(r"^  \[\d+ frames in"))
     total = F.aggregate(F.transform(marked, lambda l: F.regexp_extract(l, r"(\d+)", 1).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return table(spark, sf_dir, "documents").select("doc_id", total.alias("frames"))
+
+
+@query("t12_plain_texts", "SELECT doc_id, text || 'x' || text AS text FROM documents")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without colours, titles, character sets and modes of a terminal."""
+    noisy = F.concat(F.lit("\x1b[1;31m"), "text", F.lit("\x1b[0m\x1b]0;title\x07x\x1b(B"), "text", F.lit("\x1b=\x1b[2K"))
+    return table(spark, sf_dir, "documents").select("doc_id", strip_ansi(noisy).alias("text"))
+
+
+@query("w10_block_collapse", """WITH k AS (SELECT o_orderkey AS id, count(l_orderkey) AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1), b AS (SELECT *, chr(10) || 'a' || id || chr(10) || 'b' || chr(10) || 'c' AS block FROM k)
+  SELECT id, 'begin' || CASE WHEN k = 0 THEN '' WHEN k = 1 THEN block ELSE block || chr(10) || '  [block repeated ' || k || ' times, showing once]' END || chr(10) || 'end' || CASE WHEN k > 2 THEN chr(10) || '  [repeated ' || (k - 1) || ' more times]' ELSE repeat(chr(10) || 'end', greatest(k - 1, 0)) END AS text FROM b""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block of three lines for each line of an order, and a last line as often."""
+    ship(spark)
+    counts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("k")), "id", "left")
+    k = F.coalesce("k", F.lit(0)).cast("int")
+    block = F.array(F.concat(F.lit("a"), F.col("id").cast("string")), F.lit("b"), F.lit("c"))
+    lines = F.concat(F.array(F.lit("begin")), F.flatten(F.array_repeat(block, k)), F.array_repeat(F.lit("end"), F.greatest(k, F.lit(1))))
+
+    @F.pandas_udf("string")
+    def shown(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "\n".join(collapse(t.split("\n"))))
+
+    return counts.select("id", shown(F.array_join(lines, "\n")).alias("text"))
