@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.code import CODE_SQL, defects, extract_exports, extract_imports, sample_code, triage_risk
-from quarry.functions.text import contains_error, extension, has_symbol, round_half_up
-from quarry.operators.aggregates import bucket_score, bucket_score_inverse, normalized_entropy, score_label
+from quarry.functions.text import contains_error, extension, has_symbol
 from quarry.operators.logs import sample_logs
-from quarry.plans.graph import circuit_rank, pagerank, tiers
+from quarry.plans.graph import circuit_rank
 from quarry.plans.spectral import frame_spectrum, verdict
 from quarry.plans.stored import cut
 from quarry.registry import query
@@ -226,34 +225,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return focus(d, "center")
 
 
-def health_audit(vertices: DataFrame, edges: DataFrame, tested: DataFrame) -> DataFrame:
-    """One row per component of the health index, and the index itself (fast form).
-
-    Cycles relative to the size, spread of rank, share of tested core vertices; inactive
-    components weigh nothing.
-    """
-    ranks = cut(pagerank(vertices, edges))
-    degree = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
-    core = tiers(ranks, degree).where("tier = 'core'").select("node")
-    covered = core.join(tested.withColumn("t", F.lit(1.0)), "node", "left").agg(F.coalesce(F.avg(F.coalesce("t", F.lit(0.0))), F.lit(0.0)).alias("x"))
-    cycles = circuit_rank(vertices, edges).select((F.col("rank") / F.greatest("e", F.lit(1))).alias("x"))
-    spread = normalized_entropy(ranks, "pr").select(F.col("entropy").alias("x"))
-    parts = [("cycles", cycles, bucket_score_inverse(F.col("x"), 0.05, 0.15, 0.5), 0.20), ("spread", spread, bucket_score(F.col("x"), 0.90, 0.70, 0.40), 0.25), ("coverage", covered, bucket_score(F.col("x"), 0.90, 0.70, 0.40), 0.30)]
-    rows = None
-    for name, frame, score, weight in parts:
-        one = frame.select(F.lit(name).alias("part"), F.round("x", 6).alias("value"), F.round(score, 6).alias("score"), F.lit(weight).alias("weight"))
-        rows = one if rows is None else rows.unionByName(one)
-    rows = cut(rows)
-    total = rows.agg(round_half_up(F.sum(F.col("score") * F.col("weight")) / F.sum("weight") * 10, 1).alias("index"))
-    return rows.crossJoin(F.broadcast(total)).withColumn("label", score_label(F.col("score")))
-
-
-@query("r13_health_audit")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
-    return health_audit(v, cut(trade(spark, sf_dir).select("src", "dst")), v.where("node % 2 = 0"))
-
-
 @query("c22_trade_spectrum_ego")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.plans.graph import ego

@@ -453,31 +453,73 @@ def test_spectrum_of_an_ego_graph_equals_brute_force(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no data")
-def test_health_audit_equals_brute_force(spark):
-    rows = {r.part: r for r in QUERIES["r13_health_audit"](spark, SF_DIR).collect()}
-    pairs, parent = trade_pairs(spark), list(range(25))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    undirected = {frozenset(p) for p in pairs}
-    for a, b in map(tuple, undirected):
-        parent[find(a)] = find(b)
-    circuits = len(undirected) - 25 + len({find(x) for x in range(25)})
-    assert rows["cycles"].value == pytest.approx(circuits / max(1, len(undirected)), abs=1e-6)
-    rank = np.full(25, 1 / 25)
-    out = collections.Counter(a for a, _ in pairs)
+def plain_audit(nodes, pairs, have, n_errors, scores, sessions):
+    """The parts, the index, the projected index and the issues, from their definitions."""
+    n, at = len(nodes), {x: k for k, x in enumerate(nodes)}
+    a = np.zeros((n, n))
+    for s, t in pairs:
+        a[at[s], at[t]] = a[at[t], at[s]] = 1
+    d = a.sum(0)
+    low = np.linalg.eigvalsh(np.diag(d) - a)
+    inv = 1 / np.sqrt(np.where(d > 0, d, 1))
+    norm = np.linalg.eigvalsh(np.diag((d > 0).astype(float)) - a * np.outer(inv, inv))
+    rank = np.full(n, 1 / n)
+    out = collections.Counter(s for s, _ in pairs)
     for _ in range(20):
-        new = np.full(25, 0.15 / 25 + 0.85 * sum(rank[k] for k in range(25) if not out[k]) / 25)
-        for a, b in pairs:
-            new[b] += 0.85 * rank[a] / out[a]
+        new = np.full(n, 0.15 / n + 0.85 * sum(rank[at[x]] for x in nodes if not out[x]) / n)
+        for s, t in pairs:
+            new[at[t]] += 0.85 * rank[at[s]] / out[s]
         rank = new
-    p = rank / rank.sum()
-    assert rows["spread"].value == pytest.approx(-(p * np.log(p)).sum() / np.log(25), abs=1e-5)
-    total = sum(r.score * r.weight for r in rows.values()) / sum(r.weight for r in rows.values())
-    assert rows["spread"]["index"] == pytest.approx(math.floor(total * 100 + 0.5) / 10)
+    pr = np.round(rank / rank.max(), 10)
+    p = pr / pr.sum()
+    s = math.log10(max(10, n) / 300)
+    cutoff = np.sort(pr)[int(n * min(0.995, max(0.85, 0.91 + 0.05 * s)))]
+    into = collections.Counter(t for _, t in pairs)
+    core = [x for x in nodes if into[x] and pr[at[x]] >= cutoff]
+    up = lambda x, t0, t1, t2: 1.0 if x >= t0 else 0.7 + 0.3 * (x - t1) / (t0 - t1) if x >= t1 else 0.4 + 0.3 * (x - t2) / (t1 - t2) if x >= t2 else max(0.1, 0.4 - 0.3 * (t2 - x) / (t1 - t2))
+    down = lambda x, t0, t1, t2: 1.0 if x <= t0 else 1.0 - 0.3 * (x - t0) / (t1 - t0) if x <= t1 else 0.7 - 0.3 * (x - t1) / (t2 - t1) if x <= t2 else max(0.1, 0.4 - 0.3 * (x - t2) / (t2 - t1))
+    lambda2 = 0.0 if abs(low[1]) < 1e-9 else low[1]
+    gap = norm[2] - norm[1]
+    gap = math.copysign(math.log1p(abs(gap / (len(pairs) / (n * (n - 1))))), gap)
+    weak = [x for x in core if scores.get(x, 0) >= 15]
+    ratio = lambda k: k / len(core) if core else 1.0
+    done = len(set(core) & have)
+    entropy = -sum(x * math.log(x) for x in p if x > 0) / math.log(n)
+    parts = {"coupling": (0.1 if lambda2 == 0 else down(lambda2 / (2 * len(pairs) / n), 0.05, 0.15, 0.5), 0.2), "gap": (up(gap, 3.69, 3.31, 2.69), 0.05), "spread": (entropy, 0.25), "errors": (down(n_errors / n, 0.0, 0.05, 0.15), 0.2), "coverage": (up(ratio(done), 0.9, 0.7, 0.4), 0.2), "stability": ({0: 1.0, 1: 0.7, 2: 0.7}.get(len(weak), 0.4 if len(weak) <= 5 else 0.1), 0.1 if sessions >= 5 else 0.0)}
+    index = lambda **other: math.floor(sum(other.get(k, v) * w for k, (v, w) in parts.items()) / sum(w for _, w in parts.values()) * 100 + 0.5) / 10
+    impact = round(index(coverage=up(ratio(min(done + 1, len(core))), 0.9, 0.7, 0.4)) - index(), 1)
+    issues = {(x, "untested", "critical" if into[x] > 20 else "high" if into[x] > 5 else "medium", impact) for x in core if x not in have}
+    if sessions >= 5:
+        issues |= {(x, "fragile", "critical" if scores[x] > 30 else "high", 0.0) for x in weak}
+    return parts, index(), index(coverage=1.0), issues
+
+
+@pytest.mark.parametrize("seed,sessions", [(1, 7), (2, 7), (3, 2)])
+def test_health_audit_equals_brute_force(spark, seed, sessions):
+    from quarry.plans.audit import audit
+
+    rng = random.Random(seed)
+    nodes = [f"f{k}" for k in range(60)]
+    pairs = {(f"f{rng.randrange(60)}", f"f{min(rng.randrange(60), rng.randrange(60), rng.randrange(60))}") for _ in range(150)}
+    pairs = {(s, t) for s, t in pairs if s != t}
+    have, scores = {x for x in nodes if rng.random() < 0.5}, {x: rng.randrange(40) for x in nodes if rng.random() < 0.6}
+    frame = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    rows, issues = audit(frame([(x,) for x in nodes], "node string"), frame([*pairs, ("f1", "f1")], "src string, dst string"), frame([(x,) for x in have], "node string"), frame([(3 * seed,)], "n long"), frame([(x, float(v)) for x, v in scores.items()], "node string, score double"), sessions)
+    got = {r.part: r for r in rows.collect()}
+    parts, index, projected, found = plain_audit(nodes, pairs, have, 3 * seed, scores, sessions)
+    assert {k: (r.score, r.weight) for k, r in got.items()} == {k: pytest.approx(v, abs=1e-5) for k, v in parts.items()}
+    assert {(r["index"], r.projected) for r in got.values()} == {(pytest.approx(index), pytest.approx(projected))}
+    assert {(r.node, r.kind, r.severity, round(r.impact, 1)) for r in issues.collect()} == found
+
+
+def test_health_audit_of_little(spark):
+    from quarry.plans.audit import audit
+
+    none = spark.createDataFrame([], "node string")
+    rows, issues = audit(none, spark.createDataFrame([], "src string, dst string"), none)
+    assert {r.part: r.weight for r in rows.collect()} == {"coupling": 0.2, "gap": 0.0, "spread": 0.25, "coverage": 0.3} and issues.count() == 0
+    one = spark.createDataFrame([("a",)], "node string")
+    assert audit(one, spark.createDataFrame([], "src string, dst string"), none)[0].where("part = 'coupling'").first().score == 0.7
 
 
 def test_levels_of_compression():
