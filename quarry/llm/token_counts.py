@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -25,6 +25,9 @@ MARKER = "▁"
 #: Words whose counts a worker keeps in each of two generations.
 CACHE = 400_000
 _WORDS = re.compile(r"\w+|[^\w\s]")
+_BLANK = re.compile(r"\s")
+#: Characters of a text whose words are listed at once.
+PIECE = 1 << 20
 
 
 class Automaton:
@@ -107,6 +110,17 @@ def read_pieces(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about ``PIECE`` characters that end where white space begins; a run without any is one piece."""
+    at = 0
+    while len(text) - at > PIECE:
+        found = _BLANK.search(text, at + PIECE)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 COUNTED = "struct<n_words: bigint, n_tokens: bigint, n_unknown: bigint>"
 
 
@@ -125,9 +139,15 @@ def token_counts(text: Column, pieces: list[str]) -> Column:
             _made.clear()
             _made[key] = Counts(Automaton(pieces))
         of = _made[key].__getitem__
-        words = [_WORDS.findall(t or "") for t in texts.to_pylist()]
-        sums = [sum(map(of, w)) for w in words]
-        columns = [[len(w) for w in words], [s & ((1 << 40) - 1) for s in sums], [s >> 40 for s in sums]]
+        numbers, sums = [], []
+        for t in texts.to_pylist():  # the words of one piece of a text at a time
+            n = total = 0
+            for part in _pieces(t or ""):
+                words = _WORDS.findall(part)
+                n, total = n + len(words), total + sum(map(of, words))
+            numbers.append(n)
+            sums.append(total)
+        columns = [numbers, [s & ((1 << 40) - 1) for s in sums], [s >> 40 for s in sums]]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["n_words", "n_tokens", "n_unknown"])
 
     return count(text.cast("string"))

@@ -71,6 +71,16 @@ def test_token_counts_on_odd_rows(spark, odd):
     assert token_counts.count_documents(odd.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_pieces_of_a_long_text_cut_no_word(monkeypatch):
+    rng = random.Random(47)
+    text = "".join(rng.choice("ab é,\n\u2003") for _ in range(5000)) + "z" * 400
+    want = token_counts._WORDS.findall(text)
+    for piece in (1, 7, 333, 10_000):
+        monkeypatch.setattr(token_counts, "PIECE", piece)
+        assert [w for part in token_counts._pieces(text) for w in token_counts._WORDS.findall(part)] == want
+        assert "".join(token_counts._pieces(text)) == text
+
+
 # --- decontamination ------------------------------------------------------------------
 
 
