@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.order import values_at
 from quarry.registry import query
 from quarry.sources.tables import CALLS_SQL, CHUNKS_SQL, calls, chunks, table
 
@@ -95,12 +98,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w8_percentile_cut", "WITH r AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS r, count(*) OVER () AS n FROM supplier) SELECT s_suppkey FROM supplier WHERE s_acctbal >= (SELECT s_acctbal FROM r WHERE r.r = CAST(floor(n * 0.9) AS BIGINT) + 1)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
-    # The cut needs one value: element floor(n q) of the sorted values, by counting values below (distinct values only).
-    counts = s.groupBy("s_acctbal").agg(F.count("*").alias("n"))
-    w = Window.orderBy("s_acctbal")
-    ranked = counts.withColumn("upto", F.sum("n").over(w)).crossJoin(F.broadcast(s.agg(F.count("*").alias("total"))))
-    cut = ranked.where(F.col("upto") > F.floor(F.col("total") * 0.9)).agg(F.min("s_acctbal").alias("cut"))
-    return s.crossJoin(F.broadcast(cut)).where("s_acctbal >= cut").select("s_suppkey")
+    least = values_at(s, "s_acctbal", "s_suppkey", [math.floor(s.count() * 0.9)])[0]
+    return s.where(F.col("s_acctbal") >= F.lit(least)).select("s_suppkey")
 
 
 @query("w9_run_length", f"""WITH {CALLS_SQL}, b AS (SELECT *, CASE WHEN tool = lag(tool) OVER (PARTITION BY user_id ORDER BY seq) THEN 0 ELSE 1 END AS edge FROM calls),

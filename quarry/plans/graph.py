@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.order import numbered, values_at
 from quarry.plans.stored import cut
 from quarry.registry import query
 from quarry.sources.tables import TRADE_SQL, table, trade
@@ -47,12 +48,7 @@ def tiers(ranks: DataFrame, in_degree: DataFrame) -> DataFrame:
     n = ranks.count()
     if not n:
         return ranks.select("node", "pr", F.lit("leaf").alias("tier"))
-    # The two cuts: ranks of distinct values by counting, two numbers to the driver.
-    values = ranks.groupBy("pr").agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
-    upto = values.select("pr", F.sum("c").over(Window.orderBy("pr")).alias("upto"))
-    cuts = [upto.where(F.col("upto") > int(n * q)).agg(F.min("pr").alias("cut")).first()["cut"] or 0.0 for q in tier_shares(n)]
+    cuts = [c or 0.0 for c in values_at(ranks, "pr", "node", [int(n * q) for q in tier_shares(n)])]
     met = ranks.join(in_degree, "node", "left")
     linked = F.coalesce("in_degree", F.lit(0)) > 0
     return met.select("node", "pr", F.when(linked & (F.col("pr") >= cuts[0]), "core").when(linked & (F.col("pr") >= cuts[1]), "logic").otherwise("leaf").alias("tier"))
@@ -173,11 +169,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g12_node_index", f"WITH {TRADE_SQL}, n AS (SELECT src AS node FROM trade UNION SELECT dst FROM trade) SELECT node, row_number() OVER (ORDER BY node) - 1 AS idx FROM n")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     t = cut(trade(spark, sf_dir))
     nodes = t.select(F.col("src").alias("node")).unionByName(t.select(F.col("dst").alias("node"))).distinct()
-    return nodes.select("node", (F.row_number().over(Window.orderBy("node")) - 1).cast("long").alias("idx"))
+    return numbered(nodes, ["node"], "idx").select("node", "idx")
+
+
+@query("g12_document_index", "SELECT doc_id, row_number() OVER (ORDER BY text, doc_id) - 1 AS idx FROM documents")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents in the order of their texts; copies go by their ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("text"))
+    return numbered(docs, ["text", "doc_id"], "idx").select("doc_id", "idx")
 
 
 @query("page_links", "WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM h GROUP BY 1")

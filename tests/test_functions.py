@@ -624,3 +624,17 @@ def test_outline_of_odd_rows(spark):
     texts = {r.path: r.text for r in outline_texts(outline_rows(files, define_chunks(files), notes)).collect()}
     assert set(texts) == {"a.ts", "index.ts", "b.ts"} and texts["a.ts"].endswith("1 of low risk: Used") and "func local [LOW] L3-L3\n  note: assert it" in texts["a.ts"]
     assert outline_rows(files.limit(0), define_chunks(files.limit(0)), notes).count() == 0
+
+
+def test_places_in_a_total_order(spark):
+    from quarry.plans.order import numbered, values_at
+
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 0.0, 0.0, 0.0, rng.random()]), k) for k in range(400)]
+    frame = spark.createDataFrame(rows, "v double, k long").repartition(7)
+    want = [k for _, k in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0.0, r[1]))]
+    assert [r.k for r in sorted(numbered(frame, ["v", "k"]).collect(), key=lambda r: r.place)] == want
+    values = dict((k, v) for v, k in rows)
+    places = [0, 1, 57, 200, 399]
+    assert values_at(frame, "v", "k", [*places, 400]) == [*(values[want[p]] for p in places), None]
+    assert numbered(frame.limit(0), ["v", "k"]).count() == 0 and values_at(frame.limit(0), "v", "k", [0]) == [None]
