@@ -277,7 +277,7 @@ c AS (SELECT path, start, {_SHORTHAND} || CASE WHEN name LIKE 'order%' OR name L
 i AS (SELECT path, string_agg(rtrim(text, chr(10)), chr(10) ORDER BY seq) AS head FROM pieces WHERE path LIKE '%.ts' AND text LIKE 'import %' GROUP BY 1)
 SELECT path, concat_ws(chr(10), '// ' || path || ' | medium | ' || count(*) || ' chunks', any_value(head), string_agg(t, chr(10) ORDER BY start)) AS text FROM c LEFT JOIN i USING (path) GROUP BY 1"""
 _AGGRESSIVE_SQL = f"""WITH {CHUNKS_OF_SOURCES_SQL},
-c AS (SELECT path, name, {_SHORTHAND} || chr(10) || '/*[4L refs:' || CASE WHEN kind = 'class' THEN 'label' WHEN name LIKE 'process%' THEN name || ',v.push' ELSE concat_ws(',', name, nullif(regexp_extract(code, ' (o\w+)\(total\)', 1), '')) END || ']*/' || chr(10) AS t
+c AS (SELECT path, name, {_SHORTHAND} || chr(10) || '/*[4L refs:' || CASE WHEN kind = 'class' THEN 'label' WHEN name LIKE 'process%' THEN name || ',v.push' ELSE concat_ws(',', name, nullif(regexp_extract(code, ' (o\\w+)\\(total\\)', 1), '')) END || ']*/' || chr(10) AS t
   FROM source_chunks WHERE path LIKE '%.ts' AND (kind = 'class' OR name LIKE 'order%' OR name LIKE 'process%')),
 n AS (SELECT path, count(*) AS n FROM source_chunks GROUP BY 1)
 SELECT p.path, '// ' || p.path || ' | aggressive | ' || any_value(n) || ' chunks' || chr(10) || string_agg(coalesce(t, text), '' ORDER BY seq) AS text FROM pieces p LEFT JOIN c ON c.path = p.path AND c.name = p.name0 JOIN n ON n.path = p.path WHERE p.path LIKE '%.ts' GROUP BY 1"""
