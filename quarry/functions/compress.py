@@ -20,7 +20,7 @@ from quarry.functions import lexer
 from quarry.functions.ship import ship
 from quarry.functions.structure import remove_calls, shorthand
 from quarry.registry import query
-from quarry.sources.corpus import CHUNKS_OF_SOURCES_SQL, source_files
+from quarry.sources.corpus import CHUNKS_OF_SOURCES_SQL, SOURCES_SQL, source_files
 from quarry.sources.snippets import CODE, expected_sql, snippets
 from quarry.sources.tables import spread, table
 
@@ -293,6 +293,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_files(source_files(spark, sf_dir).where(F.col("path").endswith(".ts")), "aggressive")
 
 
+@query("r12_light_sources", rf"""WITH {SOURCES_SQL} SELECT path, regexp_replace(regexp_replace(code, ' // [^\n]*', '', 'g'), ' /\* }} \*/', '', 'g') AS text FROM sources WHERE path LIKE '%.ts'""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = source_files(spark, sf_dir).where(F.col("path").endswith(".ts"))
+    return files.select("path", compress_files(files, "light").alias("text"))
+
+
 @query("t25_key_references", expected_sql(CODE, "references"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = F.regexp_extract_all("code", F.lit(r"\b([a-zA-Z_]\w*(?:\.[a-zA-Z_]\w*)*)\s*\("), F.lit(1))

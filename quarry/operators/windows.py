@@ -35,7 +35,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greedy_triples(rows: DataFrame, key: str, order: str, step: str, pattern: tuple[str, str, str]) -> DataFrame:
-    """Non-overlapping occurrences of three steps in a row, taken from the left, for each key."""
+    """Non-overlapping occurrences of three steps in a row, taken from the left, for each key.
+
+    Occurrences of three different steps cannot overlap, so all of them count, and no key's steps are gathered.
+    """
+    if len(set(pattern)) == 3:
+        w = Window.partitionBy(key).orderBy(order)
+        found = (F.col(step) == pattern[0]) & (F.lead(step, 1).over(w) == pattern[1]) & (F.lead(step, 2).over(w) == pattern[2])
+        return rows.select(key, found.alias("_found")).groupBy(key).agg(F.count_if("_found").alias("cycles"))
     ordered = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, step))), lambda x: x[step]).alias("s"))
     zero = F.struct(F.lit(0).alias("skip"), F.lit(0).cast("long").alias("n"))
     hit = lambda i: (F.get("s", i) == pattern[0]) & (F.get("s", i + 1) == pattern[1]) & (F.get("s", i + 2) == pattern[2])

@@ -114,11 +114,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(q)).select("vec_id", (F.round(cosine(F.col("embedding"), F.col("q")), 6) + 0.0).alias("similarity"))
 
 
-@query("c9_dimension_gate", "SELECT len(embedding) AS dim, count(*) AS n FROM embeddings GROUP BY 1")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n"))
-
-
 _VERDICT_SQL = """WITH s AS (SELECT s_suppkey AS id, 1 + s_suppkey % 7 / 2.0 AS l0, 1 + s_suppkey % 5 / 2.0 AS l1, 3 + s_suppkey % 4 AS v0, 2 + s_suppkey % 6 AS v1, 40 + s_suppkey % 90 AS n0, 40 + s_suppkey % 70 AS n1 FROM supplier),
   p AS (SELECT *, n1 < n0 AS shrunk, CASE WHEN n1 < n0 THEN l0 / n0 ELSE l0 * v0 / n0 END AS a, CASE WHEN n1 < n0 THEN l1 / n1 ELSE l1 * v1 / n1 END AS b, least(0.30, greatest(0.10, 0.15 * sqrt(50.0 / n1))) AS tolerance FROM s)
   SELECT id, CASE WHEN (a - b) / a > tolerance THEN CASE WHEN shrunk THEN 'APPROVED_DECOUPLING' ELSE 'REJECTED_ENTROPY' END ELSE 'APPROVED' END AS verdict FROM p"""
