@@ -221,7 +221,7 @@ def test_structure_functions():
 
     assert s.remove_calls("a; console.log('x)', f(1)); b") == "a;  b"
     assert s.remove_calls("print(1") == "print(1"
-    assert s.blank("x = 'a\\'b' // c\ny") == "x =              \ny".replace("             ", " " * 11)
+    assert s.lexer.blank("x = 'a\\'b' // c\ny") == "x =              \ny".replace("             ", " " * 11)
     assert s.signature("export function f(a: Map<string, number>, b = '{') : X {\n return 1 }") == "export function f(a: Map<string, number>, b = '{') : X"
     assert s.signature("def g(a: int = 3) -> int:\n    pass") == "def g(a: int = 3) -> int"
     assert s.signature("const h = (x) => { y }") == "const h = (x) =>"
