@@ -193,18 +193,22 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_json(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")), cut(trade(spark, sf_dir).select("src", "dst")))
 
 
-def manifest_status(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """key (of the path), status of each file against a manifest (key, digest, version): fresh, stale, outdated or missing."""
-    now = files.select(F.substring(F.sha2("path", 256), 1, 16).alias("key"), "digest")
-    met = now.join(manifest.select("key", F.col("digest").alias("was"), "version"), "key", "left")
+def manifest_status(files: DataFrame, manifest: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """key (of the path), status of each file against a manifest (key, digest, version): fresh, stale, outdated or missing.
+
+    ``also``: columns of both that tell files of one path apart.  Of several entries of a file the one of the latest version counts.
+    """
+    now = files.select(F.substring(F.sha2("path", 256), 1, 16).alias("key"), *also, "digest")
+    known = manifest.groupBy("key", *also).agg(F.max(F.struct("version", "digest")).alias("m")).select("key", *also, F.col("m.digest").alias("was"), "m.version")
+    met = now.join(known, ["key", *also], "left")
     return met.select("key", F.when(F.col("version").isNull(), "missing").when(F.col("version") != MANIFEST_VERSION, "outdated").when(F.col("was") != F.col("digest"), "stale").otherwise("fresh").alias("status"))
 
 
 @query("k15_cache_manifest", "SELECT substr(sha256(url), 1, 16) AS key, CASE page_id % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'outdated' WHEN 2 THEN 'stale' ELSE 'fresh' END AS status FROM pages")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.md5(F.col("html").cast("binary")).alias("digest"), (F.col("page_id") % 5).alias("k"))
-    known = files.where("k <> 0").select(F.substring(F.sha2("path", 256), 1, 16).alias("key"), F.when(F.col("k") == 2, "other").otherwise(F.col("digest")).alias("digest"), F.when(F.col("k") == 1, 2).otherwise(MANIFEST_VERSION).alias("version"))
-    return manifest_status(files, known)
+    files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), "page_id", F.md5(F.col("html").cast("binary")).alias("digest"), (F.col("page_id") % 5).alias("k"))
+    known = files.where("k <> 0").select(F.substring(F.sha2("path", 256), 1, 16).alias("key"), "page_id", F.when(F.col("k") == 2, "other").otherwise(F.col("digest")).alias("digest"), F.when(F.col("k") == 1, 2).otherwise(MANIFEST_VERSION).alias("version"))
+    return manifest_status(files, known, ("page_id",))
 
 
 _MESSAGES = "array<struct<ruleId:string,severity:int,line:int,column:int,message:string>>"
