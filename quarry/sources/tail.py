@@ -160,7 +160,8 @@ def _grow(rows: DataFrame, folder: str, part: int) -> None:
     def write(group: pa.Table) -> pa.Table:
         from pyarrow.fs import FileSystem
 
-        group = group.sort_by("event_id")
+        # By the line too: an identifier that repeats must not change the bytes from one writing to the next.
+        group = group.sort_by([("event_id", "ascending"), ("line", "ascending")])
         lines = [(h, s.encode() + b"\n") for h, s in zip(group["half"].to_pylist(), group["line"].to_pylist(), strict=True)]
         first, second = (b"".join(s for h, s in lines if h == k) for k in (0, 1))
         store, root = FileSystem.from_uri(folder)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.sources import maintenance
+from quarry.sources import maintenance, tail
 
 
 def test_manifests_tell_files_of_one_path_apart(spark):
@@ -17,3 +17,12 @@ def test_a_file_with_several_entries_has_one_status(spark):
     files = spark.createDataFrame([("p", "a")], "path string, digest string")
     known = files.select(F.substring(F.sha2("path", 256), 1, 16).alias("key"), F.explode(F.array(F.lit("a"), F.lit("z"))).alias("digest")).withColumn("version", F.when(F.col("digest") == "a", maintenance.MANIFEST_VERSION).otherwise(maintenance.MANIFEST_VERSION - 1))
     assert [r.status for r in maintenance.manifest_status(files, known).collect()] == ["fresh"]
+
+
+def test_growing_files_begin_alike_whatever_the_order_of_their_rows(spark, tmp_path):
+    rows = spark.range(4).select(F.col("id").alias("event_id"), F.lit(0).alias("file"), (F.col("id") % 2).alias("half"), F.concat(F.lit("good "), F.col("id").cast("string")).alias("line"))
+    broken = rows.where("event_id < 2").withColumn("line", F.lit("broken"))
+    for part, both in enumerate((rows.unionByName(broken), broken.unionByName(rows))):
+        tail._grow(both.coalesce(1), f"file://{tmp_path}/{part}", part)
+    first, second = ((tmp_path / str(k) / "0.jsonl").read_bytes() for k in (0, 1))
+    assert second.startswith(first) and second.count(b"\n") == 6
