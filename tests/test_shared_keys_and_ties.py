@@ -26,3 +26,10 @@ def test_growing_files_begin_alike_whatever_the_order_of_their_rows(spark, tmp_p
         tail._grow(both.coalesce(1), f"file://{tmp_path}/{part}", part)
     first, second = ((tmp_path / str(k) / "0.jsonl").read_bytes() for k in (0, 1))
     assert second.startswith(first) and second.count(b"\n") == 6
+
+
+def test_tokens_are_added_in_one_order(spark):
+    tokens = [0.1, 0.7, 0.2] * 30  # in this order 29.999999999999986, in seven parts 30
+    calls = spark.createDataFrame([("u", "t", x, k) for k, x in enumerate(tokens)], "user string, tool string, tokens double, id long")
+    parts = calls.repartitionByRange(7, F.col("id") % 7)
+    assert {r.text for df in (calls, parts) for r in maintenance.usage_report(df).collect()} == {"total: 90 calls, 29 tokens\nt: 90 calls, 29 tokens"}
