@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.code import defects, triage_risk
+from quarry.functions.code import judged
 from quarry.functions.text import extension, identifiers, token_estimate
 from quarry.plans.definitions import define_chunks
 from quarry.plans.stored import cut
@@ -30,7 +30,8 @@ def _exported(path: Column, name: Column, code: Column) -> Column:
 def ghosts(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """path, name of the exported definitions that no other file names; types, private names and entry files have none."""
     base = F.regexp_extract("path", "[^/]*$", 0)
-    asked = chunks.where(_exported(F.col("path"), F.col("name"), F.col("code")) & ~F.col("kind").isin("type", "interface") & ~F.col("name").startswith("_") & ~base.rlike(ENTRIES) & ~F.col("path").rlike(TESTS))
+    exported = F.col("exported") if "exported" in chunks.columns else _exported(F.col("path"), F.col("name"), F.col("code"))
+    asked = chunks.where(exported & ~F.col("kind").isin("type", "interface") & ~F.col("name").startswith("_") & ~base.rlike(ENTRIES) & ~F.col("path").rlike(TESTS))
     asked = asked.select("path", "name").distinct()
     words = files.select("path", F.explode(identifiers(F.col("code"))).alias("name"))
     # Only names that are asked for are grouped.
@@ -48,16 +49,18 @@ def outline_rows(files: DataFrame, chunks: DataFrame, notes: DataFrame, budget:
     are shown whole while the budget of tokens lasts; one that does not fit is passed over.
     """
     lines = F.col("last_line") - F.col("first_line") + 1
-    rows = chunks.withColumn("lines", lines).withColumn("risk", triage_risk(F.col("name"), F.col("code"), F.col("lines"))).withColumn("defects", defects(F.col("code")))
-    rows = rows.join(ghosts(files, chunks).withColumn("ghost", F.lit(True)), ["path", "name"], "left").withColumn("ghost", F.coalesce("ghost", F.lit(False)))
+    # What is asked of a text is found once, where the text is; joins and windows see no text.
+    seen = {"exported": _exported(F.col("path"), F.col("name"), F.col("code")), "digest": F.sha2(F.col("code").cast("binary"), 256), "tokens": token_estimate(F.col("code"))}
+    facts = cut(judged(chunks.withColumn("lines", lines)).withColumns(seen).select("path", "name", "start", "kind", "first_line", "last_line", "lines", "risk", "defects", *seen))
+    rows = facts.join(ghosts(files, facts).withColumn("ghost", F.lit(True)), ["path", "name"], "left").withColumn("ghost", F.coalesce("ghost", F.lit(False)))
     # The last of several notes on one definition counts, by their text.
     known = notes.groupBy("path", "name").agg(F.max(F.struct("insight", "hash")).alias("n")).select("path", "name", "n.insight", "n.hash")
     rows = rows.join(known, ["path", "name"], "left")
-    holds = (F.col("hash") == F.sha2(F.col("code").cast("binary"), 256)) | F.upper("insight").startswith("ASSERT")
+    holds = (F.col("hash") == F.col("digest")) | F.upper("insight").startswith("ASSERT")
     rows = rows.withColumn("holds", F.coalesce(holds, F.lit(False)))
     rows = rows.withColumn("folded", (F.col("risk") == "LOW") & ~F.col("holds") & (F.size("defects") == 0) & ~F.col("ghost"))
-    # Places, sizes and tokens of a file's definitions of high risk; no text is gathered.
-    high = rows.where((F.col("risk") == "HIGH") & (F.col("lines") <= EXPANDED_LINES)).select("path", F.struct((-F.col("lines")).alias("o"), "start", token_estimate(F.col("code")).alias("t")).alias("x"))
+    # Places, sizes and tokens of a file's definitions of high risk.
+    high = facts.where((F.col("risk") == "HIGH") & (F.col("lines") <= EXPANDED_LINES)).select("path", F.struct((-F.col("lines")).alias("o"), "start", F.col("tokens").alias("t")).alias("x"))
     none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
     take = lambda a, x: F.when(a["used"] + x["t"] <= budget, F.struct((a["used"] + x["t"]).alias("used"), F.concat(a["taken"], F.array(x["start"])).alias("taken"))).otherwise(a)
     chosen = high.groupBy("path").agg(F.array_sort(F.collect_list("x")).alias("l")).select("path", F.explode(F.aggregate("l", none, take)["taken"]).alias("start")).withColumn("expanded", F.lit(True))
@@ -105,7 +108,7 @@ def _outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
     insight = F.element_at(F.array(*map(F.lit, ("holds ", "Assert ", "old "))), (F.col("o") % 4 + 1).cast("int"))
     digest = F.sha2(F.when(F.col("o") % 4 == 0, F.col("own0")).otherwise("another text").cast("binary"), 256)
     notes = own.select("path", "name", F.concat(insight, F.col("o").cast("string")).alias("insight"), digest.alias("hash"))
-    return outline_rows(files, cut(define_chunks(files)), notes, _BUDGET)
+    return outline_rows(files, define_chunks(files), notes, _BUDGET)
 
 
 @query("r10_outline_texts", f"""WITH {_ROWS_SQL}, f AS (SELECT *, risk = 'LOW' AND note IS NULL AND NOT ghost AS folded FROM marked)
