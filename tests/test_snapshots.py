@@ -148,3 +148,19 @@ def test_queries_agree_with_each_other(spark):
     sf = "/root/testdata/sf0.001"
     nodes = {(r.repo, r.seq): r.n for r in QUERIES["r17_feature_nodes"](spark, sf).groupBy("repo", "seq").count().withColumnRenamed("count", "n").collect()}
     assert nodes == {(r.repo, r.seq): r.n for r in QUERIES["r17_commit_features"](spark, sf).collect()}
+
+
+def test_commits_of_any_size_have_plain_rows_if_no_limit_is_set():
+    files = [{"file": f"d{k % 50}/f{k}.ts", "op": "A", "imports": [f"d{(k + 1) % 50}/f{k + 1}.ts"]} for k in range(900)]
+    h, out = snapshots.History(None, None, True), []
+    for seq in range(12):
+        out += h.commit(seq, 100 + seq, False, files)
+        h = snapshots.History(h.dump(), None, True)
+    assert [(r[0], r[1], r[2], r[-1]) for r in out] == [(0, 900, 899, []), (1, 900, 899, [])]
+
+
+def test_runs_hold_a_bounded_number_of_changes():
+    assert snapshots.runs_of([]) == [] and snapshots.runs_of([(3, 10)]) == [(3, 3)]
+    assert snapshots.runs_of([(1, 4), (2, 4), (3, 4), (4, 4)]) == [(1, 2), (3, 4)]
+    assert snapshots.runs_of([(k, 5) for k in range(7)], most=11) == [(0, 1), (2, 3), (4, 5), (6, 6)]
+    assert snapshots.runs_of([(1, 50), (2, 1), (3, 1)], most=10) == [(1, 1), (2, 3)]
