@@ -65,3 +65,29 @@ def test_long_texts_and_small_caches(name, monkeypatch):
         own = tokens.Encoder(f.read())
     texts = [" ".join(f"word{i % k} and,more" for i in range(90)) for k in (3, 50)] + ["", "short"]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_unknown_pieces_of_many_texts_take_few_calls_of_the_library(name):
+    whole, _ = both(name)
+    with open(public_tokenizers.path(name), "rb") as f:
+        own = tokens.Encoder(f.read())
+    texts = [f"Wörd{chr(97 + i % 26)}{chr(97 + i // 26)}x, ÉTÉ it's{i} ￿日本 <|endoftext|>  \n" for i in range(300)]
+    calls, joined = [], own._joined
+
+    class Counted:
+        def encode_batch_fast(self, *args, **kwargs):
+            calls.append(args)
+            return joined.encode_batch_fast(*args, **kwargs)
+
+    own._joined = Counted()
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < len(calls) <= 2
+
+
+def test_latin_letters_fold_as_the_normalizer_folds_them():
+    whole, own = both("word_bpe_49k.json")
+    letters = [chr(c) for c in range(ord(tokens._LATIN) + 1) if not chr(c).isspace()]
+    assert [whole.normalizer.normalize_str(c) for c in letters] == [c.lower() for c in letters]
+    for c in letters:
+        check("word_bpe_49k.json", f"a{c}b {c} {c},{c}")
