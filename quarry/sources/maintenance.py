@@ -244,15 +244,19 @@ def usage_report(calls: DataFrame) -> DataFrame:
     order = Window.partitionBy("user", "tool").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = calls.select("user", "tool", F.row_number().over(order).alias("n"), F.sum("tokens").over(order).alias("t"))
     per_tool = added.groupBy("user", "tool").agg(F.max("n").cast("long").alias("n"), F.floor(F.max_by("t", "n")).alias("t"))
-    line = F.format_string("%s: %d calls, %d tokens", "tool", "n", "t")
+    # A tool without a name, or without any tokens, counts in the totals and has no line; a user without lines has no text.
+    line = F.when(F.col("tool").isNotNull() & F.col("t").isNotNull(), F.format_string("%s: %d calls, %d tokens", "tool", "n", "t"))
     per_user = per_tool.groupBy("user").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.array_sort(F.collect_list(F.struct((-F.col("t")).alias("o"), "tool", line.alias("line")))).alias("l"))
-    return per_user.select("user", F.concat_ws("\n", F.format_string("total: %d calls, %d tokens", "n", "t"), F.transform("l", lambda x: x["line"])).alias("text"))
+    lines = F.array_compact(F.transform("l", lambda x: x["line"]))
+    return per_user.select("user", F.when(F.size(lines) > 0, F.concat_ws("\n", F.format_string("total: %d calls, %d tokens", "n", "t"), lines)).alias("text"))
 
 
 @query("c25_usage_report", """WITH t AS (SELECT user_id AS "user", event_type AS tool, count(*) AS n, CAST(floor(sum(value)) AS BIGINT) AS t FROM events GROUP BY 1, 2)
   SELECT "user", 'total: ' || sum(n) || ' calls, ' || sum(t) || ' tokens' || chr(10) || string_agg(tool || ': ' || n || ' calls, ' || t || ' tokens', chr(10) ORDER BY t DESC, tool) AS text FROM t GROUP BY 1""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage_report(table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("tool"), F.col("value").alias("tokens"), F.col("event_id").alias("id")))
+    """Tokens are added as the rows stand in the table's files, which is the order of the SQL, and not that of the event's ids."""
+    place = F.struct("_metadata.file_name", "_metadata.row_index")
+    return usage_report(table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_type").alias("tool"), F.col("value").alias("tokens"), place.alias("id")))
 
 
 @query("c23_expected_changes", "SELECT l_orderkey, l_linenumber, l_linestatus FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = l_linestatus)")

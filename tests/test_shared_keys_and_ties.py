@@ -45,3 +45,22 @@ def test_source_files_are_made_of_keys_and_equal_their_pieces(spark):
     assert sorted(map(tuple, files.collect())) == sorted(map(tuple, whole.collect()))
     # No text of a customer's or a brand's file is shuffled, and each link is joined once.
     assert "LIMIT" not in corpus.source_files(spark, sf).where("path like 'src/%'")._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+
+
+def test_usage_is_added_as_rows_stand_in_the_file_and_nulls_are_those_of_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quarry.catalog import ORACLE_SQL, QUERIES
+
+    tokens = [0.1, 0.7, 0.2] * 30  # in this order 29.999999999999986, by falling ids 30
+    rows = [(1, "t", x, k) for k, x in zip([*range(1, 90, 3), *range(0, 90, 3), *range(2, 90, 3)], sorted(tokens), strict=True)]
+    rows = sorted(rows, key=lambda r: (r[3] % 7, -r[3]))
+    rows += [(2, None, 5.0, 100), (2, "a", 2.5, 101), (2, "b", None, 102), (3, None, 1.0, 103), (4, "a", None, 104), (None, "a", 1.0, 105)]
+    names = ("user_id", "event_type", "value", "event_id")
+    pq.write_table(pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))), f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(ORACLE_SQL["c25_usage_report"]).fetchall()
+    assert sorted(map(str, map(tuple, QUERIES["c25_usage_report"](spark, str(tmp_path)).collect()))) == sorted(map(str, want))
