@@ -164,3 +164,29 @@ def test_runs_hold_a_bounded_number_of_changes():
     assert snapshots.runs_of([(1, 4), (2, 4), (3, 4), (4, 4)]) == [(1, 2), (3, 4)]
     assert snapshots.runs_of([(k, 5) for k in range(7)], most=11) == [(0, 1), (2, 3), (4, 5), (6, 6)]
     assert snapshots.runs_of([(1, 50), (2, 1), (3, 1)], most=10) == [(1, 1), (2, 3)]
+
+
+def test_graphs_of_any_size_have_vectors():
+    from quarry.plans.spectral import MAX_NODES
+
+    n = MAX_NODES + 1
+    files = [{"file": f"d{k % 50}/f{k:06}.ts", "op": "A", "imports": [f"d{(k + 1) % 50}/f{k + 1:06}.ts"] if k % 3 < 2 else []} for k in range(n)]
+    h = snapshots.History(large=None)
+    list(h.commit(0, 100, False, files))
+    assert len(h.waiting) == 1 and len(h.vectors) == n and sum(x[0] ** 2 for x in h.vectors.values()) == pytest.approx(1)
+
+
+def test_months_of_more_files_than_a_large_commit_have_nodes(spark, tmp_path):
+    import duckdb
+
+    from quarry.catalog import QUERIES
+
+    # All orders of one nation, in twelve months, on 900 suppliers; each month changes all of them.
+    con = duckdb.connect()
+    put = lambda name, sql: con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    put("customer", "SELECT 0::BIGINT AS c_custkey, 3 AS c_nationkey")
+    put("orders", "SELECT i::BIGINT AS o_orderkey, 0::BIGINT AS o_custkey, TIMESTAMP '2000-01-15' + to_months(i::INTEGER) AS o_orderdate FROM range(12) t(i)")
+    put("lineitem", "SELECT o::BIGINT AS l_orderkey, s::BIGINT AS l_suppkey, s + o + 1 AS l_partkey, 'N' AS l_returnflag, 1 AS l_linenumber FROM range(12) t(o), range(900) u(s)")
+    put("supplier", "SELECT i::BIGINT AS s_suppkey, (i % 25)::INTEGER AS s_nationkey FROM range(900) t(i)")
+    got = QUERIES["r17_feature_nodes"](spark, str(tmp_path)).groupBy("seq").count().orderBy("seq").collect()
+    assert [r["count"] for r in got] == [900, 900]
