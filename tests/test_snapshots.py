@@ -190,3 +190,26 @@ def test_months_of_more_files_than_a_large_commit_have_nodes(spark, tmp_path):
     put("supplier", "SELECT i::BIGINT AS s_suppkey, (i % 25)::INTEGER AS s_nationkey FROM range(900) t(i)")
     got = QUERIES["r17_feature_nodes"](spark, str(tmp_path)).groupBy("seq").count().orderBy("seq").collect()
     assert [r["count"] for r in got] == [900, 900]
+
+
+def test_nodes_apart_equal_those_of_the_rows(spark, tmp_path, commits, monkeypatch):
+    monkeypatch.setattr(snapshots, "PIECE", 7)
+    rows = rows_of(commits)
+    want = {}
+    for repo, cs in commits.items():
+        h = snapshots.History(large=None)
+        for seq, ts, subject, changes in cs:
+            for x in h.commit(seq, ts, bool(subject and subject.lower() in ("fix style", "typo")), changes):
+                want |= {(repo, x[0], n[0]): (x[9], x[11], *n[1:]) for n in x[-1]}
+    got = []
+    for k, (lo, hi) in enumerate(((0, 25), (25, 33), (30, 99))):
+        spark.createDataFrame([r for r in rows if lo <= r[1] < hi], SCHEMA).write.parquet(f"{tmp_path}/in/part={k}")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/part=*")
+        got += run(snapshots.node_stream(stream), "append", checkpoint=f"{tmp_path}/state").collect()
+    labels = {(r.repo, r.seq): (r.collapse, r.tte) for r in got if r.id is None}
+    found = {(r.repo, r.seq, r.id): (*labels[r.repo, r.seq], r.v2, r.v3, r.pr, r.churn) for r in got if r.id is not None and (r.repo, r.seq) in labels}
+    assert found == want and len({k[:2] for k in found}) == len(labels) > 50
+    h = snapshots.History(large=None, apart=True)
+    for seq, ts, _, changes in commits["a"]:
+        list(h.commit(seq, ts, False, changes))
+    assert all(not w["nodes"] for w in h.waiting) and h._nodes["id"] == sorted(h.files)
